@@ -39,12 +39,7 @@ def _mean_loss(scored: DataFrame, key: str) -> DataFrame:
     return (
         scored.groupBy(key)
         .agg(F.sum("n").alias("targets"), loss.alias("loss"))
-        .select(
-            key,
-            "targets",
-            F.round("loss", 6).alias("loss"),
-            F.round(perplexity(F.col("loss")), 6).alias("perplexity"),
-        )
+        .withColumn("perplexity", perplexity(F.col("loss")))
     )
 
 

@@ -200,13 +200,11 @@ def assign_ranges(df: DataFrame, key: str, buckets: Buckets, starts: DataFrame,
     )
 
 
-def with_context(
-    df: DataFrame, group: Sequence[str], step: str, back: int, size: int = 10_000
-) -> DataFrame:
-    """Cut each group into chunks of ``size`` steps that also see ``back`` steps before them.
+def with_context(df: DataFrame, step: str, back: int, size: int = 10_000) -> DataFrame:
+    """Cut groups into chunks of ``size`` steps that also see the ``back`` steps before them.
 
     Adds ``_chunk`` and ``_context`` (true on the repeated rows, to be dropped at the end),
-    so that windows over (group, chunk) stay bounded however long one group is.
+    so that windows over group and chunk stay bounded however long one group is.
     """
     chunk = div(F.col(step), size)
     tail = F.col(step) % size >= size - back

@@ -218,6 +218,6 @@ def size_report(manifest: DataFrame) -> DataFrame:
         "shards",
         plain.alias("token_bytes"),
         (plain + F.col("shards") * HEADER_BYTES).alias("file_bytes"),
-        F.round(plain / 1e6, 6).alias("mb"),
-        F.round(plain / float(1024 * 1024), 6).alias("mib"),
+        (plain / 1e6).alias("mb"),
+        (plain / float(1024 * 1024)).alias("mib"),
     )

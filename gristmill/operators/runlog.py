@@ -35,28 +35,29 @@ def log_every(log: DataFrame, n: int = LOG_EVERY) -> DataFrame:
 
 
 def step_times(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``step_s``: time since the previous step of the run, null on its first."""
-    cut = with_context(log, ["run"], "step", 1, chunk)
+    """Add ``step_us``: microseconds since the run's previous step, null on its first."""
+    cut = with_context(log, "step", 1, chunk)
     order = Window.partitionBy("run", "_chunk").orderBy("step")
-    spent = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / 1e6
+    spent = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
     return (
-        cut.withColumn("step_s", spent).filter(~F.col("_context")).drop("_chunk", "_context")
+        cut.withColumn("step_us", spent).filter(~F.col("_context")).drop("_chunk", "_context")
     )
 
 
 def step_throughput(log: DataFrame, tokens_per_step: int) -> DataFrame:
     """Add ``step_s`` and ``tokens_per_s``."""
-    return step_times(log).withColumn(
+    timed = step_times(log).withColumn("step_s", F.col("step_us") / 1e6)
+    return timed.withColumn(
         "tokens_per_s", F.try_divide(F.lit(tokens_per_step), F.col("step_s"))
     )
 
 
 def rolling_step_time(timed: DataFrame, last: int = LAST_STEPS, chunk: int = CHUNK) -> DataFrame:
-    """Add ``mean_step_s``: mean of the last ``last`` step times."""
-    cut = with_context(timed, ["run"], "step", last - 1, max(chunk, last))
+    """Add ``mean_step_s``: mean of the last ``last`` step times, summed as whole numbers."""
+    cut = with_context(timed, "step", last - 1, max(chunk, last))
     order = Window.partitionBy("run", "_chunk").orderBy("step").rowsBetween(1 - last, 0)
     return (
-        cut.withColumn("mean_step_s", F.avg("step_s").over(order))
+        cut.withColumn("mean_step_s", F.sum("step_us").over(order) / F.count("step_us").over(order) / 1e6)
         .filter(~F.col("_context"))
         .drop("_chunk", "_context")
     )
@@ -131,11 +132,10 @@ def phase_share(phases: DataFrame, names: Sequence[str]) -> DataFrame:
     total = F.sum("seconds")
     return phases.groupBy("run", "step").agg(
         *[
-            F.round(
+            (
                 F.coalesce(F.sum(F.when(F.col("phase") == name, F.col("seconds"))), F.lit(0.0))
                 / total
-                * 100,
-                6,
+                * 100
             ).alias(f"{name}_percent")
             for name in names
         ]
@@ -145,7 +145,7 @@ def phase_share(phases: DataFrame, names: Sequence[str]) -> DataFrame:
 def mean_eval_loss(batches: DataFrame) -> DataFrame:
     """Mean batch loss per evaluation step and split."""
     return batches.groupBy("step", "split").agg(
-        F.count(F.lit(1)).alias("batches"), F.round(F.avg("loss"), 6).alias("loss")
+        F.count(F.lit(1)).alias("batches"), F.avg("loss").alias("loss")
     )
 
 
@@ -198,12 +198,12 @@ def run_summary(log: DataFrame, tokens_per_step: int, parameters: float) -> Data
     return totals.select(
         "run",
         "steps",
-        F.round(F.col("_s") / 3600, 6).alias("hours"),
+        (F.col("_s") / 3600).alias("hours"),
         (F.col("steps") * tokens_per_step).alias("tokens"),
-        F.round(rate, 6).alias("tokens_per_s"),
-        F.round(utilisation(rate, parameters), 6).alias("mfu"),
+        rate.alias("tokens_per_s"),
+        utilisation(rate, parameters).alias("mfu"),
         "final_loss",
-        F.round(perplexity(F.col("final_loss")), 6).alias("final_perplexity"),
+        perplexity(F.col("final_loss")).alias("final_perplexity"),
         "best_loss",
-        F.round(perplexity(F.col("best_loss")), 6).alias("best_perplexity"),
+        perplexity(F.col("best_loss")).alias("best_perplexity"),
     )

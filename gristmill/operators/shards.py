@@ -122,8 +122,8 @@ def ingest_progress(log: DataFrame, docs_needed: int) -> DataFrame:
     return placed.select(
         "batch",
         total.alias("total_docs"),
-        F.round(speed, 6).alias("docs_per_s"),
-        F.round((F.lit(docs_needed) - total) / F.greatest(speed, F.lit(1.0)) / 60, 6).alias("eta_min"),
+        speed.alias("docs_per_s"),
+        ((F.lit(docs_needed) - total) / F.greatest(speed, F.lit(1.0)) / 60).alias("eta_min"),
     )
 
 

@@ -12,7 +12,7 @@ from gristmill.operators import blocks, chats, filters, packing, shards, splits,
 from gristmill.operators import runlog as log_ops
 from gristmill.plans import settings as S
 from gristmill.session import stage
-from gristmill.sources.tables import scan_documents, table
+from gristmill.sources.tables import scan_documents, table, table_events
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +102,7 @@ def chat_stream(spark: SparkSession, folder: str) -> tuple[tokens.Vocabulary, Da
 
 def step_log(spark: SparkSession, folder: str) -> DataFrame:
     """``(run, step, ts, loss, phase)`` from the event table."""
-    events = table(spark, folder, "events").select(
+    events = table_events(spark, folder).select(
         "event_id",
         "ts",
         F.col("user_id").alias("run"),

@@ -31,6 +31,11 @@ def _joined(ids: str) -> F.Column:
     return F.array_join(F.col(ids).cast("array<string>"), " ")
 
 
+def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    """Rounded doubles, nudged off exact ties, which engines round differently."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, places) for c in columns})
+
+
 # --- sources, sinks, inspection ---------------------------------------------------------
 
 
@@ -260,13 +265,14 @@ def run_stats(spark, folder):
 @query
 def ingest_progress(spark, folder):
     """Arrivals per day of the event table stand for flushed batches."""
-    events = tables.table(spark, folder, "events")
+    events = tables.table_events(spark, folder)
     first = events.agg(F.min("ts")).first()[0]
     elapsed = (F.unix_micros(F.max("ts")) - F.unix_micros(F.lit(first))) / 1e6
     log = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("batch")).agg(
         F.count(F.lit(1)).alias("docs"), elapsed.alias("elapsed_s")
     )
-    return shards.ingest_progress(stage(log, "batches"), 1_000_000)
+    progress = shards.ingest_progress(stage(log, "batches"), 1_000_000)
+    return _rounded(progress, "docs_per_s", "eta_min")
 
 
 def _manifest_and_listing(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -410,7 +416,8 @@ def dataset_meta(spark, folder):
 
 @query
 def size_report(spark, folder):
-    return packing.size_report(packing.token_manifest(C.token_corpus(spark, folder).packed))
+    report = packing.size_report(packing.token_manifest(C.token_corpus(spark, folder).packed))
+    return _rounded(report, "mib")
 
 
 # --- validation -------------------------------------------------------------------------
@@ -618,16 +625,13 @@ def log_every(spark, folder):
 @query
 def step_throughput(spark, folder):
     timed = log_ops.step_throughput(C.step_log(spark, folder), S.TOKENS_PER_STEP)
-    return timed.select(
-        "run", "step", F.round("step_s", 6).alias("step_s"), F.round("tokens_per_s", 6).alias("tokens_per_s")
-    )
+    return _rounded(timed.select("run", "step", "step_s", "tokens_per_s"), "tokens_per_s")
 
 
 @query
 def rolling_step_time(spark, folder):
     timed = log_ops.step_times(C.step_log(spark, folder))
-    rolled = log_ops.rolling_step_time(timed, S.LAST_STEPS)
-    return rolled.select("run", "step", F.round("mean_step_s", 6).alias("mean_step_s"))
+    return log_ops.rolling_step_time(timed, S.LAST_STEPS).select("run", "step", "mean_step_s")
 
 
 @query
@@ -638,8 +642,8 @@ def cumulative_tokens(spark, folder):
 
 @query
 def smooth_loss(spark, folder):
-    smooth = log_ops.smooth_loss(C.step_log(spark, folder))
-    return smooth.select("run", "step", F.round("loss_smooth", 6).alias("loss_smooth"))
+    smooth = log_ops.smooth_loss(stage(C.step_log(spark, folder), "log"))
+    return _rounded(smooth.select("run", "step", "loss_smooth"), "loss_smooth")
 
 
 @query
@@ -647,19 +651,20 @@ def progress_eta(spark, folder):
     timed = log_ops.step_times(C.step_log(spark, folder))
     rolled = log_ops.rolling_step_time(timed, S.LAST_STEPS)
     left = rates.hours_left(F.col("mean_step_s"), F.col("step"), S.STEPS)
-    return rolled.select(
+    shown = rolled.select(
         "run",
         "step",
-        F.round(rates.progress_percent(F.col("step"), S.STEPS), 6).alias("percent"),
-        F.round(left, 6).alias("hours_left"),
+        rates.progress_percent(F.col("step"), S.STEPS).alias("percent"),
+        left.alias("hours_left"),
     )
+    return _rounded(shown, "percent", "hours_left")
 
 
 @query
 def mfu(spark, folder):
     timed = log_ops.step_throughput(C.step_log(spark, folder), S.TOKENS_PER_STEP)
     share = rates.utilisation(F.col("tokens_per_s"), S.PARAMETERS)
-    return timed.select("run", "step", F.round(share, 6).alias("mfu"))
+    return _rounded(timed.select("run", "step", share.alias("mfu")), "mfu")
 
 
 @query
@@ -674,31 +679,36 @@ def phase_share(spark, folder):
     phases = log.select(
         "run", (F.col("step") - F.col("step") % 10).alias("step"), "phase", F.col("loss").alias("seconds")
     )
-    return log_ops.phase_share(phases, ["click", "view", "purchase"])
+    shares = log_ops.phase_share(phases, ["click", "view", "purchase"])
+    return _rounded(shares, "click_percent", "view_percent", "purchase_percent")
 
 
 @query
 def lr_schedule(spark, folder):
     step = F.col("step")
-    return C.step_log(spark, folder).select(
+    shown = C.step_log(spark, folder).select(
         "run",
         "step",
-        F.round(rates.pretrain_rate(step, 10, 60) * 1e6, 6).alias("pretrain_rate_e6"),
-        F.round(rates.tuning_rate(step, 10, 60) * 1e6, 6).alias("tuning_rate_e6"),
+        (rates.pretrain_rate(step, 10, 60) * 1e6).alias("pretrain_rate_e6"),
+        (rates.tuning_rate(step, 10, 60) * 1e6).alias("tuning_rate_e6"),
     )
+    return _rounded(shown, "pretrain_rate_e6", "tuning_rate_e6")
 
 
 @query
 def mean_eval_loss(spark, folder):
     log = C.step_log(spark, folder)
-    return log_ops.mean_eval_loss(log.select("step", F.col("phase").alias("split"), "loss"))
+    means = log_ops.mean_eval_loss(log.select("step", F.col("phase").alias("split"), "loss"))
+    return _rounded(means, "loss")
 
 
 @query
 def perplexity(spark, folder):
-    loss = F.col("loss")
-    return C.step_log(spark, folder).select(
-        "run", "step", F.round(rates.perplexity(loss), 4).alias("perplexity")
+    shown = rates.perplexity(F.col("loss"))
+    return _rounded(
+        C.step_log(spark, folder).select("run", "step", shown.alias("perplexity")),
+        "perplexity",
+        places=2,
     )
 
 
@@ -722,28 +732,32 @@ def retain_last(spark, folder):
 
 @query
 def run_summary(spark, folder):
-    return log_ops.run_summary(C.step_log(spark, folder), S.TOKENS_PER_STEP, S.PARAMETERS)
+    summary = log_ops.run_summary(C.step_log(spark, folder), S.TOKENS_PER_STEP, S.PARAMETERS)
+    return _rounded(
+        _rounded(summary, "hours", "tokens_per_s", "mfu"),
+        "final_perplexity",
+        "best_perplexity",
+        places=2,
+    )
 
 
 def _shown_rates(flat: DataFrame) -> DataFrame:
-    return flat.select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        "event_type",
-        "events",
-        F.round("per_s", 9).alias("per_s"),
-    )
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    return _rounded(flat.withColumn("window_start", start), "per_s")
 
 
 @query
 def live_throughput(spark, folder):
     schema = tables.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return _shown_rates(throughput.run_live_throughput(spark, events, new_folder(spark, "live")))
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return _shown_rates(
+        throughput.run_live_throughput(spark, tables.instants(files), new_folder(spark, "live"))
+    )
 
 
 @query
 def batch_throughput(spark, folder):
-    return _shown_rates(throughput.batch_throughput(tables.table(spark, folder, "events")))
+    return _shown_rates(throughput.batch_throughput(tables.table_events(spark, folder)))
 
 
 # --- n-gram jobs ------------------------------------------------------------------------
@@ -764,13 +778,15 @@ def _pairs_and_bigrams(spark, folder) -> tuple[C.Corpus, DataFrame, DataFrame]:
 @query
 def bigram_loss(spark, folder):
     corpus, pairs, bigrams = _pairs_and_bigrams(spark, folder)
-    return ngram.bigram_loss(pairs, bigrams, corpus.vocab.size)
+    losses = ngram.bigram_loss(pairs, bigrams, corpus.vocab.size)
+    return _rounded(losses, "loss", "perplexity")
 
 
 @query
 def document_perplexity(spark, folder):
     corpus, pairs, bigrams = _pairs_and_bigrams(spark, folder)
-    return ngram.document_perplexity(pairs, bigrams, corpus.vocab.size)
+    losses = ngram.document_perplexity(pairs, bigrams, corpus.vocab.size)
+    return _rounded(losses, "loss", "perplexity")
 
 
 def _scores(spark, folder) -> DataFrame:
@@ -779,9 +795,8 @@ def _scores(spark, folder) -> DataFrame:
 
 
 def _shown_scores(scores: DataFrame, *more: F.Column) -> DataFrame:
-    return scores.select(
-        F.col("context").cast("long"), F.col("next").cast("long"), F.round("score", 6).alias("score"), *more
-    )
+    shown = scores.select(F.col("context").cast("long"), F.col("next").cast("long"), "score", *more)
+    return _rounded(shown, "score")
 
 
 @query
@@ -792,7 +807,7 @@ def top_k_next(spark, folder):
 @query
 def softmax_group(spark, folder):
     weighted = ngram.softmax_group(_scores(spark, folder), S.TEMPERATURE)
-    return _shown_scores(weighted, F.round("p", 6).alias("p"))
+    return _rounded(_shown_scores(weighted, F.col("p")), "p")
 
 
 @query

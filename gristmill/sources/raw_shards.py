@@ -56,9 +56,9 @@ def write_json_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest in shard order, from JSON lines or a JSON array."""
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path).orderBy("shard")
+def read_manifest(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
+    """The manifest in shard order, from JSON lines or from ``one_array`` over many lines."""
+    return spark.read.schema(MANIFEST).option("multiLine", one_array).json(path).orderBy("shard")
 
 
 def verify_checksums(manifest: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table with ``ts`` as an instant (it is stored without a time zone)."""
+    return instants(table(spark, folder, "events"))
+
+
+def instants(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Add a literal for each column the source lacks; a present null stays null."""
     for name, value in defaults.items():
