@@ -12,15 +12,19 @@ from gristmill.operators import blocks, chats, filters, packing, shards, splits,
 from gristmill.operators import runlog as log_ops
 from gristmill.plans import settings as S
 from gristmill.session import stage
-from gristmill.sources.tables import scan_documents, table, table_events
+from gristmill.sources.tables import scan_documents, spread, table, table_events
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return scan_documents(table(spark, folder, "documents"))
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_documents(spread(table(spark, folder, "documents"), "doc_id"))
+
+
 def kept_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.filter_length(documents(spark, folder), S.SHORTEST, S.LONGEST)
+    return filters.filter_length(spread_documents(spark, folder), S.SHORTEST, S.LONGEST)
 
 
 def kept_measures(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +66,7 @@ class Corpus:
 
 
 def document_vocab(spark: SparkSession, folder: str) -> tokens.Vocabulary:
-    texts = filters.drop_tiny(documents(spark, folder))
+    texts = filters.drop_tiny(spread_documents(spark, folder))
     return tokens.load_vocab(tokens.build_vocab(tokens.pretokenize(texts), S.VOCAB_SIZE))
 
 

@@ -163,7 +163,8 @@ def write_json_report(spark, folder):
 
 @query
 def filter_length(spark, folder):
-    return C.kept_documents(spark, folder).select("doc_id", "text")
+    docs = C.documents(spark, folder)
+    return filters.filter_length(docs, S.SHORTEST, S.LONGEST).select("doc_id", "text")
 
 
 @query
@@ -178,18 +179,18 @@ def drop_tiny(spark, folder):
 
 @query
 def word_count(spark, folder):
-    return filters.with_word_count(C.documents(spark, folder)).select("doc_id", "words")
+    return filters.with_word_count(C.spread_documents(spark, folder)).select("doc_id", "words")
 
 
 @query
 def token_estimate(spark, folder):
-    counted = filters.with_word_count(C.documents(spark, folder))
+    counted = filters.with_word_count(C.spread_documents(spark, folder))
     return filters.with_token_estimate(counted).select("doc_id", "words", "est_tokens")
 
 
 @query
 def take_until_budget(spark, folder):
-    docs = C.kept_documents(spark, folder)
+    docs = filters.filter_length(C.documents(spark, folder), S.SHORTEST, S.LONGEST)
     return filters.take_until_budget(docs, S.TARGET_TOKENS).select("doc_id", "text")
 
 
@@ -254,7 +255,7 @@ def incremental_ingest(spark, folder):
 
 @query
 def run_stats(spark, folder):
-    docs = C.documents(spark, folder)
+    docs = C.spread_documents(spark, folder)
     last = filters.budget_cutoff(C.kept_measures(spark, folder), S.TARGET_TOKENS)
     read = docs if last is None else docs.filter(F.col("doc_id") <= last[0])
     return shards.run_stats(
@@ -330,7 +331,7 @@ def sample_windows(spark, folder):
 
 @query
 def pretokenize(spark, folder):
-    cut = tokens.pretokenize(C.documents(spark, folder))
+    cut = tokens.pretokenize(C.spread_documents(spark, folder))
     return cut.select(
         "doc_id", F.size("pieces").cast("long").alias("n"), F.array_join("pieces", "|").alias("pieces")
     )
@@ -338,7 +339,7 @@ def pretokenize(spark, folder):
 
 @query
 def build_vocab(spark, folder):
-    texts = filters.drop_tiny(C.documents(spark, folder))
+    texts = filters.drop_tiny(C.spread_documents(spark, folder))
     return tokens.build_vocab(tokens.pretokenize(texts), S.VOCAB_SIZE).select(
         F.col("token").cast("long").alias("token"), "piece", "count"
     )
@@ -347,7 +348,7 @@ def build_vocab(spark, folder):
 @query
 def encode_documents(spark, folder):
     vocab = C.document_vocab(spark, folder)
-    texts = filters.drop_tiny(C.documents(spark, folder)).select("doc_id", "text")
+    texts = filters.drop_tiny(C.spread_documents(spark, folder)).select("doc_id", "text")
     encoded = tokens.encode_documents(texts, vocab)
     return encoded.select("doc_id", "n_tokens", _joined("tokens").alias("tokens"))
 
@@ -363,7 +364,7 @@ def encode_samples(spark, folder):
 @query
 def decode_tokens(spark, folder):
     vocab = C.document_vocab(spark, folder)
-    texts = filters.drop_tiny(C.documents(spark, folder)).select("doc_id", "text")
+    texts = filters.drop_tiny(C.spread_documents(spark, folder)).select("doc_id", "text")
     return tokens.decode_tokens(tokens.encode_documents(texts, vocab), vocab)
 
 

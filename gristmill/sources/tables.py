@@ -12,6 +12,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a few small files over all cores, for steps that compute a lot per row.
+
+    A file of one row group is read by one task. Larger inputs come in many tasks already
+    and stay as they are: they are not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    paths = df.inputFiles()
+    if not 0 < len(paths) < cores:
+        return df
+    sizes = spark.read.format("binaryFile").load(paths).agg(F.sum("length"))
+    return df.repartition(cores, key) if sizes.first()[0] < SMALL_BYTES else df
+
+
 def table_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table with ``ts`` as an instant (it is stored without a time zone)."""
     return instants(table(spark, folder, "events"))
