@@ -72,11 +72,14 @@ def smooth_loss(log: DataFrame, decay: float = DECAY) -> DataFrame:
     """Add ``loss_smooth``: ``e = decay * e + (1 - decay) * x``, starting at the first x.
 
     ``step`` counts 0, 1, 2, ... per run. A state of exactly zero restarts at x; as losses
-    are not negative, that is so only until the first loss above zero. From there on the
-    average is a sum of weighted losses. It is taken within chunks short enough for
+    are not negative and a ``decay`` above one half never rounds a state down to zero, that
+    is so only until the first loss above zero. From there on the average is a sum of
+    weighted losses. It is taken within chunks short enough for
     ``decay ** -length`` to stay a double; by the same measure a chunk hears of no more than
     the two chunks before it, whose weighted sums are one row each.
     """
+    if not 0.5 < decay < 1:
+        raise ValueError("decay must lie between one half and one")
     length = int(250 / -math.log10(decay))
     at = (F.col("step") % length).cast("double")
     fade = F.lit(float(decay))
