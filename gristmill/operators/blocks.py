@@ -33,28 +33,32 @@ def stream_positions(stream: DataFrame) -> DataFrame:
     )
 
 
-def stream_blocks(stream: DataFrame, length: int, keys: Sequence[str]) -> DataFrame:
-    """``ids`` of each block: ``length`` ids and the one after them, fewer at the end."""
+def block_parts(stream: DataFrame, length: int, keys: Sequence[str]) -> DataFrame:
+    """Each row's share of the blocks it touches: ``block``, ``low`` (position), ``part``."""
     end = F.col("start") + F.col("n_tokens") - 1
     # The id at a block's start also ends the block before it.
     first = F.greatest(div(F.col("start") - 1, length), F.lit(0))
-    cut = stream.filter("n_tokens > 0").select(
-        *keys,
-        "start",
-        "n_tokens",
-        "tokens",
-        F.explode(F.sequence(first, div(end, length))).alias("block"),
-    )
-    low = F.greatest(F.col("block") * length, F.col("start"))
-    high = F.least((F.col("block") + 1) * length, end)
-    part = F.slice(
-        "tokens", (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int")
-    )
-    parts = cut.select(*keys, "block", low.alias("low"), part.alias("part"))
-    in_order = F.array_sort(F.collect_list(F.struct("low", "part")))
-    return parts.groupBy(*keys, "block").agg(
-        F.flatten(F.transform(in_order, lambda row: row["part"])).alias("ids")
-    )
+
+    def share(block: Column) -> Column:
+        low = F.greatest(block * length, F.col("start"))
+        high = F.least((block + 1) * length, end)
+        at, count = (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int")
+        return F.struct(
+            block.alias("block"), low.alias("low"), F.slice("tokens", at, count).alias("part")
+        )
+
+    shares = F.transform(F.sequence(first, div(end, length)), share)
+    return stream.filter("n_tokens > 0").select(*keys, F.inline(shares))
+
+
+def _in_order() -> Column:
+    parts = F.array_sort(F.collect_list(F.struct("low", "part")))
+    return F.flatten(F.transform(parts, lambda row: row["part"])).alias("ids")
+
+
+def stream_blocks(stream: DataFrame, length: int, keys: Sequence[str]) -> DataFrame:
+    """``ids`` of each block: ``length`` ids and the one after them, fewer at the end."""
+    return block_parts(stream, length, keys).groupBy(*keys, "block").agg(_in_order())
 
 
 def cut_blocks(
@@ -160,9 +164,11 @@ def sample_windows(
             F.array(div(F.col("first"), length), div(F.col("first"), length) + 1)
         ).alias("block"),
     )
-    blocks = stream_blocks(stream, length, ["split"]).drop("split")
+    # Only the parts of touched blocks are shuffled.
+    parts = block_parts(stream, length, []).join(touched, "block")
+    blocks = parts.groupBy("window", "first", "block").agg(_in_order())
     whole = F.array_sort(F.collect_list(F.struct("block", "ids")))
-    joined = touched.join(blocks, "block").groupBy("window", "first").agg(whole.alias("found"))
+    joined = blocks.groupBy("window", "first").agg(whole.alias("found"))
     # Each block repeats the next one's first id; drop it from the first of two blocks.
     ids = F.concat(
         F.slice(F.col("found")[0]["ids"], 1, length),

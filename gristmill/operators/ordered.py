@@ -167,37 +167,44 @@ def up_to(order: Sequence[str], key: tuple | None) -> Column:
     return (F.col(first) < F.lit(key[0])) | (here & last)
 
 
-def assign_ranges(df: DataFrame, key: str, buckets: Buckets, starts: DataFrame, label: str) -> DataFrame:
-    """Give every row the ``label`` of the range its key falls in, without shuffling ``df``.
+@dataclass(frozen=True)
+class Ranges:
+    """Numbered key ranges, such as shards, that rows of any table can be looked up in."""
 
-    ``starts`` has one row per range: ``label`` (0, 1, 2, ...) and ``first_key``. A range is
-    listed once for each bucket it touches, and rows look up their own bucket only.
-    """
-    starts = buckets.tag(starts.withColumn(key, F.col("first_key"))).drop(key)
-    nexts = starts.select(
-        (F.col(label) - 1).alias(label),
-        F.col("first_key").alias("next_key"),
-        F.col(BUCKET).alias("_last_bucket"),
-    )
-    end = len(buckets.bounds) - 2
-    ranges = starts.join(nexts, label, "left").select(
-        label,
-        "first_key",
-        "next_key",
-        F.explode(F.sequence(BUCKET, F.coalesce("_last_bucket", F.lit(end)))).alias(BUCKET),
-    )
-    if starts.count() + end <= BROADCAST_ROWS:
-        ranges = F.broadcast(ranges)
-    inside = (F.col(key) >= F.col("first_key")) & (
-        F.col("next_key").isNull() | (F.col(key) < F.col("next_key"))
-    )
-    tagged = buckets.tag(df).alias("_row")
-    ranges = ranges.alias("_range")
-    return (
-        tagged.join(ranges, (F.col(f"_row.{BUCKET}") == F.col(f"_range.{BUCKET}")) & inside)
-        .select("_row.*", f"_range.{label}")
-        .drop(BUCKET)
-    )
+    key: str
+    label: str
+    buckets: Buckets
+    starts: DataFrame
+    group: tuple[str, ...] = ()
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Add the ``label`` of the range each row's key falls in, without shuffling ``df``.
+
+        ``starts`` has a row per range (group, label 0, 1, 2, ..., ``first_key``) and should be
+        staged. A range is listed for each bucket it touches; rows look up their own bucket.
+        """
+        group = list(self.group)
+        starts = self.buckets.tag(self.starts.withColumn(self.key, F.col("first_key"))).drop(self.key)
+        nexts = starts.select(
+            *group,
+            (F.col(self.label) - 1).alias(self.label),
+            F.col("first_key").alias("next_key"),
+            F.col(BUCKET).alias("_last_bucket"),
+        )
+        end = len(self.buckets.bounds) - 2
+        touched = F.sequence(BUCKET, F.coalesce("_last_bucket", F.lit(end)))
+        ranges = starts.join(nexts, [*group, self.label], "left").select(
+            *group, self.label, "first_key", "next_key", F.explode(touched).alias(BUCKET)
+        )
+        # Ranges are far fewer than rows, but grow with the table: check before broadcasting.
+        if starts.count() + end <= BROADCAST_ROWS:
+            ranges = F.broadcast(ranges)
+        rows, ranges = self.buckets.tag(df).alias("_row"), ranges.alias("_range")
+        key = F.col(f"_row.{self.key}")
+        here = (key >= F.col("first_key")) & (F.col("next_key").isNull() | (key < F.col("next_key")))
+        for column in [*group, BUCKET]:
+            here &= F.col(f"_row.{column}") == F.col(f"_range.{column}")
+        return rows.join(ranges, here).select("_row.*", f"_range.{self.label}").drop(BUCKET)
 
 
 def with_context(df: DataFrame, step: str, back: int, size: int = 10_000) -> DataFrame:

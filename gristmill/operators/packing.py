@@ -12,10 +12,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.ordered import BUCKET, Buckets, cutoff, running, up_to
+from gristmill.operators.ordered import BUCKET, Buckets, Ranges, cutoff, running, up_to
 from gristmill.session import stage
 
 SHARD_TOKENS = 100_000_000
@@ -155,6 +155,28 @@ def pack_token_shards(docs: DataFrame, size: int = SHARD_TOKENS) -> DataFrame:
     )
 
 
+def token_shard_ranges(packed: DataFrame) -> Ranges:
+    """The packed shards as ``doc_id`` ranges per split, for placing the documents' ids."""
+    starts = packed.groupBy("split", "shard").agg(F.min("doc_id").alias("first_key"))
+    buckets = Buckets.of(packed, F.col("doc_id"))
+    return Ranges("doc_id", "shard", buckets, stage(starts, "token-shards"), ("split",))
+
+
+def shard_stream(encoded: DataFrame, packed: DataFrame) -> DataFrame:
+    """Encoded documents with ``shard`` and ``start``.
+
+    Ids are shuffled once, by shard, and what follows per shard or block stays in place. A
+    window holds one shard, whose size packing bounds.
+    """
+    inside = (
+        Window.partitionBy("split", "shard")
+        .orderBy("doc_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    return token_shard_ranges(packed).assign(encoded).withColumn("start", before)
+
+
 def cap_tokens(docs: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
     """Documents up to the one that reaches ``most`` tokens, and whether the cap was hit."""
     if not most:

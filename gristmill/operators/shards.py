@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import WORDS_PER_TOKEN, char_count, token_estimate, word_count
-from gristmill.operators.ordered import Buckets, assign_ranges, div, running
+from gristmill.operators.ordered import BROADCAST_ROWS, Buckets, Ranges, div, running
 from gristmill.session import stage
 
 SHARD_ROWS = 50_000
 
 
-def shard_starts(narrow: DataFrame, rows: int, key: str, buckets: Buckets) -> DataFrame:
-    """First key of each run of ``rows`` rows in key order."""
-    ranked = running(narrow.select(key), [key], buckets)
-    return ranked.filter((F.col("rank") - 1) % rows == 0).select(
-        div(F.col("rank") - 1, rows).alias("shard"), F.col(key).alias("first_key")
+def row_shards(keys: DataFrame, rows: int = SHARD_ROWS, key: str = "doc_id", first_shard: int = 0) -> Ranges:
+    """Key ranges of ``rows`` consecutive keys each; ``keys`` should be staged."""
+    buckets = Buckets.of(keys, F.col(key))
+    ranked = running(keys.select(key), [key], buckets).filter((F.col("rank") - 1) % rows == 0)
+    starts = ranked.select(
+        (div(F.col("rank") - 1, rows) + first_shard).alias("shard"), F.col(key).alias("first_key")
     )
+    return Ranges(key, "shard", buckets, stage(starts, "shard-starts"))
 
 
 def shard_by_rows(
@@ -28,11 +30,7 @@ def shard_by_rows(
     Only keys are ordered. They are staged, so ``docs`` is read once for them, and texts are
     not shuffled: shard start keys are few and looked up per row.
     """
-    narrow = stage(docs.select(key), "keys")
-    buckets = Buckets.of(narrow, F.col(key))
-    starts = stage(shard_starts(narrow, rows, key, buckets), "shard-starts")
-    sharded = assign_ranges(docs, key, buckets, starts, "shard")
-    return sharded.withColumn("shard", F.col("shard") + F.lit(first_shard))
+    return row_shards(stage(docs.select(key), "keys"), rows, key, first_shard).assign(docs)
 
 
 def shard_manifest(sharded: DataFrame, words_per_token: float = WORDS_PER_TOKEN) -> DataFrame:
@@ -64,9 +62,26 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     )
 
 
-def unseen(docs: DataFrame, written: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents that no written shard holds."""
-    return docs.join(written.select(key), key, "left_anti")
+def unseen_keys(docs: DataFrame, written: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys that no written shard holds, staged."""
+    return stage(docs.select(key).join(written.select(key), key, "left_anti"), "unseen")
+
+
+def unseen(docs: DataFrame, new_keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents of ``new_keys``, found without shuffling texts where that is possible.
+
+    After a run that went in key order, all documents from the lowest new key on are new,
+    and one filter on the scan takes them. Otherwise the keys are joined.
+    """
+    lowest, count = new_keys.agg(F.min(key), F.count(F.lit(1))).first()
+    if not count:
+        return docs.limit(0)
+    later = docs.filter(F.col(key) >= F.lit(lowest))
+    if later.select(key).count() == count:
+        return later
+    return later.join(
+        F.broadcast(new_keys) if count <= BROADCAST_ROWS else new_keys, key, "left_semi"
+    )
 
 
 def next_shard(written: DataFrame) -> int:
@@ -78,7 +93,9 @@ def resume_ingest(
     docs: DataFrame, written: DataFrame, rows: int = SHARD_ROWS, key: str = "doc_id"
 ) -> DataFrame:
     """Shard only new documents, numbering on from the highest written shard."""
-    return shard_by_rows(unseen(docs, written, key), rows, key, next_shard(written))
+    new_keys = unseen_keys(docs, written, key)
+    shards = row_shards(new_keys, rows, key, next_shard(written))
+    return shards.assign(unseen(docs, new_keys, key))
 
 
 def run_stats(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +58,9 @@ def build_vocab(pretokenized: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     most = size - BYTE_IDS - 1
     order = [F.desc("count"), F.asc("piece")]
     top = piece_counts(pretokenized).orderBy(*order).limit(most)
-    # At most 65,279 rows are left here, so one sorted partition numbers them.
-    ranked = top.select(
-        F.struct((-F.col("count")).alias("least"), F.col("piece")).alias("entry")
-    ).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    return ranked.select(F.posexplode("entries").alias("at", "entry")).select(
-        (F.col("at") + BYTE_IDS).alias("token"),
-        F.col("entry.piece").alias("piece"),
-        (-F.col("entry.least")).alias("count"),
-    )
+    # At most 65,279 rows are left here, so one partition can number them.
+    number = F.row_number().over(Window.orderBy(*order))
+    return top.select((number + (BYTE_IDS - 1)).alias("token"), "piece", "count")
 
 
 def load_vocab(vocab: DataFrame) -> Vocabulary:

@@ -59,10 +59,7 @@ class Corpus:
     @property
     def stream(self) -> DataFrame:
         """``(split, doc_id, shard, start, n_tokens, tokens)``."""
-        places = self.packed.select("doc_id", "shard", "start")
-        return self.encoded.join(places, "doc_id").select(
-            "split", "doc_id", "shard", "start", "n_tokens", "tokens"
-        )
+        return packing.shard_stream(self.encoded, self.packed)
 
 
 def document_vocab(spark: SparkSession, folder: str) -> tokens.Vocabulary:

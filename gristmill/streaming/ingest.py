@@ -7,8 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import WORDS_PER_TOKEN
-from gristmill.operators.filters import MAX_CHARS, MIN_CHARS, TARGET_TOKENS, filter_length, measure, take_until_budget
-from gristmill.operators.shards import SHARD_ROWS, shard_by_rows
+from gristmill.operators.filters import (
+    MAX_CHARS,
+    MIN_CHARS,
+    TARGET_TOKENS,
+    budget_cutoff,
+    filter_length,
+    measure,
+)
+from gristmill.operators.ordered import up_to
+from gristmill.operators.shards import SHARD_ROWS, row_shards
 from gristmill.session import stage
 
 
@@ -61,10 +69,11 @@ def ingest_batch(
         return
     kept = filter_length(docs, shortest, longest)
     measured = stage(measure(kept), "measured")
-    within = take_until_budget(measured, left, words_per_token)
-    sharded = stage(shard_by_rows(within.select("doc_id", "words"), rows, first_shard=first_shard), "sharded")
+    last = budget_cutoff(measured, left, words_per_token)
+    within = up_to(["doc_id"], last)
+    shards = row_shards(measured.filter(within), rows, first_shard=first_shard)
     (
-        kept.join(sharded.select("doc_id", "shard"), "doc_id")
+        shards.assign(kept.filter(within))
         .repartition("shard")
         .write.mode("overwrite")
         .partitionBy("shard")
@@ -72,7 +81,8 @@ def ingest_batch(
         .parquet(f"{folder}/raw/batch={batch}")
     )
     (
-        sharded.groupBy("shard")
+        shards.assign(measured.filter(within))
+        .groupBy("shard")
         .agg(F.count(F.lit(1)).alias("num_rows"), F.sum("words").alias("words"))
         .write.mode("overwrite")
         .parquet(f"{manifest_path}/batch={batch}")
