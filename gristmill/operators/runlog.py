@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.runlog import perplexity, utilisation
@@ -34,14 +34,15 @@ def log_every(log: DataFrame, n: int = LOG_EVERY) -> DataFrame:
     return log.filter(F.col("step") % n == 0)
 
 
+def _since_previous() -> Column:
+    order = Window.partitionBy("run", "_chunk").orderBy("step")
+    return F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
+
+
 def step_times(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Add ``step_us``: microseconds since the run's previous step, null on its first."""
-    cut = with_context(log, "step", 1, chunk)
-    order = Window.partitionBy("run", "_chunk").orderBy("step")
-    spent = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    return (
-        cut.withColumn("step_us", spent).filter(~F.col("_context")).drop("_chunk", "_context")
-    )
+    cut = with_context(log, "step", 1, chunk).withColumn("step_us", _since_previous())
+    return cut.filter(~F.col("_context")).drop("_chunk", "_context")
 
 
 def step_throughput(log: DataFrame, tokens_per_step: int) -> DataFrame:
@@ -52,12 +53,18 @@ def step_throughput(log: DataFrame, tokens_per_step: int) -> DataFrame:
     )
 
 
-def rolling_step_time(timed: DataFrame, last: int = LAST_STEPS, chunk: int = CHUNK) -> DataFrame:
-    """Add ``mean_step_s``: mean of the last ``last`` step times, summed as whole numbers."""
-    cut = with_context(timed, "step", last - 1, max(chunk, last))
-    order = Window.partitionBy("run", "_chunk").orderBy("step").rowsBetween(1 - last, 0)
+def rolling_step_time(log: DataFrame, last: int = LAST_STEPS, chunk: int = CHUNK) -> DataFrame:
+    """Add ``step_us`` and ``mean_step_s``, the mean of the last ``last`` step times.
+
+    Times are summed as whole numbers. One shuffle serves both: a chunk sees ``last`` steps
+    before it, the first of which only times the second.
+    """
+    recent = Window.partitionBy("run", "_chunk").orderBy("step").rowsBetween(1 - last, 0)
+    mean = F.sum("step_us").over(recent) / F.count("step_us").over(recent) / 1e6
     return (
-        cut.withColumn("mean_step_s", F.sum("step_us").over(order) / F.count("step_us").over(order) / 1e6)
+        with_context(log, "step", last, max(chunk, last))
+        .withColumn("step_us", _since_previous())
+        .withColumn("mean_step_s", mean)
         .filter(~F.col("_context"))
         .drop("_chunk", "_context")
     )

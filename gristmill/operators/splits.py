@@ -14,12 +14,15 @@ VAL_SAMPLE_SHARE = 0.005
 MIN_VAL_SAMPLES = 500
 
 
-def split_by_shard(sharded: DataFrame, share: float = VAL_SHARD_SHARE) -> DataFrame:
+def split_by_shard(
+    sharded: DataFrame, share: float = VAL_SHARD_SHARE, manifest: DataFrame | None = None
+) -> DataFrame:
     """Add ``split``: the last ``max(1, int(n * share))`` shards validate, the rest train.
 
-    The border is one shard number, so no row moves.
+    With a ``manifest`` the shards are counted there. The border is one shard number, so no
+    row moves.
     """
-    shards = sharded.select("shard").distinct()
+    shards = (sharded if manifest is None else manifest).select("shard").distinct()
     held_out = max(1, int(shards.count() * share))
     border = shards.orderBy(F.desc("shard")).limit(held_out).agg(F.min("shard")).first()[0]
     if border is None:

@@ -44,8 +44,9 @@ def budget_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Kept documents with raw shard and split."""
-    sharded = shards.shard_by_rows(kept_documents(spark, folder), S.RAW_SHARD_ROWS)
-    return splits.split_by_shard(sharded, S.VAL_SHARD_SHARE)
+    docs = kept_documents(spark, folder)
+    ranges = shards.row_shards(stage(docs.select("doc_id"), "keys"), S.RAW_SHARD_ROWS)
+    return splits.split_by_shard(ranges.assign(docs), S.VAL_SHARD_SHARE, ranges.starts)
 
 
 @dataclass(frozen=True)

@@ -631,8 +631,8 @@ def step_throughput(spark, folder):
 
 @query
 def rolling_step_time(spark, folder):
-    timed = log_ops.step_times(C.step_log(spark, folder))
-    return log_ops.rolling_step_time(timed, S.LAST_STEPS).select("run", "step", "mean_step_s")
+    rolled = log_ops.rolling_step_time(C.step_log(spark, folder), S.LAST_STEPS)
+    return rolled.select("run", "step", "mean_step_s")
 
 
 @query
@@ -649,8 +649,7 @@ def smooth_loss(spark, folder):
 
 @query
 def progress_eta(spark, folder):
-    timed = log_ops.step_times(C.step_log(spark, folder))
-    rolled = log_ops.rolling_step_time(timed, S.LAST_STEPS)
+    rolled = log_ops.rolling_step_time(C.step_log(spark, folder), S.LAST_STEPS)
     left = rates.hours_left(F.col("mean_step_s"), F.col("step"), S.STEPS)
     shown = rolled.select(
         "run",

@@ -59,7 +59,7 @@ def test_smoothing_over_many_chunks(spark, decay):
 def test_step_times_and_rolling_mean(spark, chunk):
     table = log(spark, {1: range(40), 2: range(5)})
     timed = log_ops.step_times(table, chunk)
-    rolled = log_ops.rolling_step_time(timed, 6, chunk)
+    rolled = log_ops.rolling_step_time(table, 6, chunk)
     times = values(timed, "step_us")
     means = values(rolled, "mean_step_s")
     for run, n in ((1, 40), (2, 5)):
