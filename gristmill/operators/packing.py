@@ -63,13 +63,13 @@ def _closes(size: int):
 
 def _chain(jumps: DataFrame, ends: list, size: int) -> list[tuple]:
     """Open position and shard number with which each (split, bucket) starts."""
-    few = jumps.count() <= CHAIN_ROWS
+    found = jumps.limit(CHAIN_ROWS + 1).collect()
+    few = len(found) <= CHAIN_ROWS
     by_split: dict[str, tuple[list, list]] = {}
-    if few:
-        for row in jumps.orderBy("split", "high").collect():
-            highs, rows = by_split.setdefault(row["split"], ([], []))
-            highs.append(row["high"])
-            rows.append(row)
+    for row in sorted(found, key=lambda row: row["high"]) if few else ():
+        highs, rows = by_split.setdefault(row["split"], ([], []))
+        highs.append(row["high"])
+        rows.append(row)
 
     def outcome(split: str, wanted: int):
         if few:

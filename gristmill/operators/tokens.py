@@ -33,7 +33,12 @@ def pretokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def piece_counts(pretokenized: DataFrame) -> DataFrame:
-    return pretokenized.select(F.explode("pieces").alias("piece")).groupBy("piece").count()
+    """Pieces and their counts, summed in each task before the shuffle.
+
+    The outer form keeps Spark from adding a filter that would match the pattern twice.
+    """
+    spread = pretokenized.select(F.explode_outer("pieces").alias("piece"))
+    return spread.filter(F.col("piece").isNotNull()).groupBy("piece").count()
 
 
 @dataclass(frozen=True)
