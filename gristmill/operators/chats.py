@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import char_count, strip
 from gristmill.operators.ordered import Buckets, cutoff, div, up_to
+from gristmill.session import stage
 
 # Speaker names and the text around each turn.
 HUMAN_ROLES = ("human", "user")
@@ -138,7 +139,8 @@ def cap_samples(
 ) -> DataFrame:
     """Verdicts of the chats read until ``most`` are kept; later chats are not read."""
     verdicts = accept(conversation_flags(turns, min_reply), least).select("conv_id", "kept")
-    buckets = Buckets.of(turns, F.col("conv_id"))
+    verdicts = stage(verdicts, "verdicts")  # one pass over the texts
+    buckets = Buckets.of(verdicts, F.col("conv_id"))
     last = cutoff(verdicts, ["conv_id"], buckets, F.col("kept").cast("long"), most)
     return verdicts.filter(up_to(["conv_id"], last))
 

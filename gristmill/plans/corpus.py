@@ -36,10 +36,14 @@ def budgeted_measures(spark: SparkSession, folder: str) -> DataFrame:
     return filters.take_until_budget(kept_measures(spark, folder), S.TARGET_TOKENS)
 
 
+def sharded_measures(measured: DataFrame) -> DataFrame:
+    """Shards of staged measures; their keys need no staging of their own."""
+    return shards.row_shards(measured, S.RAW_SHARD_ROWS).assign(measured)
+
+
 def budget_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: filter, estimate, stop at the budget, shard, and describe the shards."""
-    sharded = shards.shard_by_rows(budgeted_measures(spark, folder), S.RAW_SHARD_ROWS)
-    return shards.shard_manifest(sharded)
+    return shards.shard_manifest(sharded_measures(budgeted_measures(spark, folder)))
 
 
 def split_documents(spark: SparkSession, folder: str) -> DataFrame:

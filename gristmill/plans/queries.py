@@ -225,12 +225,8 @@ def manifest_totals(spark, folder):
 def resume_ingest(spark, folder):
     """A budgeted run came first; the rest of the documents follow in new shards."""
     measured = C.kept_measures(spark, folder)
-    first_run = stage(
-        shards.shard_by_rows(
-            filters.take_until_budget(measured, S.TARGET_TOKENS), S.RAW_SHARD_ROWS
-        ).select("doc_id", "shard"),
-        "written",
-    )
+    first_run = C.sharded_measures(filters.take_until_budget(measured, S.TARGET_TOKENS))
+    first_run = stage(first_run.select("doc_id", "shard"), "written")
     docs = C.kept_documents(spark, folder)
     return shards.resume_ingest(docs, first_run, S.RAW_SHARD_ROWS).select("doc_id", "shard")
 
@@ -279,10 +275,9 @@ def ingest_progress(spark, folder):
 def _manifest_and_listing(spark, folder) -> tuple[DataFrame, DataFrame]:
     """All kept documents are in the manifest; only a budgeted run's shards have files."""
     measured = C.kept_measures(spark, folder)
-    manifest = shards.shard_manifest(shards.shard_by_rows(measured, S.RAW_SHARD_ROWS))
-    listing = shards.shard_by_rows(
-        filters.take_until_budget(measured, S.TARGET_TOKENS), S.RAW_SHARD_ROWS
-    ).select("shard").distinct()
+    manifest = shards.shard_manifest(C.sharded_measures(measured))
+    budgeted = filters.take_until_budget(measured, S.TARGET_TOKENS)
+    listing = C.sharded_measures(budgeted).select("shard").distinct()
     return manifest, listing
 
 

@@ -27,7 +27,8 @@ from pyspark.sql.datasource import (
 from gristmill.operators.quality import HEADER_INTS, MAGIC, TOKEN_BYTES, VERSION
 
 HEADER_BYTES = HEADER_INTS * 4
-READ_IDS = 1_000_000
+TASK_IDS = 64_000_000
+ROW_IDS = 1_000_000
 HEADER_FIELDS = ("split", "shard", "magic", "version", "tokens", "vocab_size", "payload_bytes")
 NAME = re.compile(r"([a-z]+)_(\d+)\.bin$")
 SCHEMA = "split string, shard long, start long, tokens array<int>"
@@ -121,7 +122,7 @@ class TokenFileReader(DataSourceReader):
                 continue
             offset = HEADER_BYTES if self.header else 0
             ids = (info.size - offset) // TOKEN_BYTES
-            for start in range(0, max(ids, 1), READ_IDS):
+            for start in range(0, max(ids, 1), TASK_IDS):
                 ranges.append(
                     IdRange(
                         info.path,
@@ -129,7 +130,7 @@ class TokenFileReader(DataSourceReader):
                         int(named.group(2)),
                         offset + start * TOKEN_BYTES,
                         start,
-                        min(READ_IDS, ids - start),
+                        min(TASK_IDS, ids - start),
                     )
                 )
         return ranges
@@ -138,16 +139,18 @@ class TokenFileReader(DataSourceReader):
         files, _ = _open(self.path)
         with files.open_input_file(part.path) as source:
             source.seek(part.offset)
-            ids = np.frombuffer(source.read(part.count * TOKEN_BYTES), "<u2")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([part.split]),
-                pa.array([part.shard], pa.int64()),
-                pa.array([part.start], pa.int64()),
-                pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
-            ],
-            ["split", "shard", "start", "tokens"],
-        )
+            for done in range(0, max(part.count, 1), ROW_IDS):
+                wanted = min(ROW_IDS, part.count - done)
+                ids = np.frombuffer(source.read(wanted * TOKEN_BYTES), "<u2")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part.split]),
+                        pa.array([part.shard], pa.int64()),
+                        pa.array([part.start + done], pa.int64()),
+                        pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
+                    ],
+                    ["split", "shard", "start", "tokens"],
+                )
 
 
 class TokenFiles(DataSource):

@@ -37,8 +37,10 @@ def _manifest_before(spark: SparkSession, path: str, batch: int) -> tuple[int, i
     """Words and shards of earlier batches; a repeated batch does not see itself."""
     try:
         written = spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return 0, 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, 0  # nothing written yet
     totals = written.filter(F.col("batch") < batch).agg(
         F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
         F.coalesce(F.max("shard") + 1, F.lit(0)).alias("shards"),

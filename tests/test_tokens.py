@@ -228,9 +228,11 @@ def test_ids_beyond_16_bits_are_refused(spark):
 def test_reading_in_ranges(spark, monkeypatch):
     path = new_folder(spark, "files")
     token_files.export_token_shards(stream(spark, [30]), path, 100)
-    monkeypatch.setattr(token_files, "READ_IDS", 8)
+    monkeypatch.setattr(token_files, "TASK_IDS", 14)
+    monkeypatch.setattr(token_files, "ROW_IDS", 8)
     back = token_files.import_token_shards(spark, path).orderBy("start").collect()
-    assert [(r.start, r.n_tokens) for r in back] == [(0, 8), (8, 8), (16, 8), (24, 6)]
+    runs = [(0, 8), (8, 6), (14, 8), (22, 6), (28, 2)]
+    assert [(r.start, r.n_tokens) for r in back] == runs
     assert sum((r.tokens for r in back), []) == list(range(30))
 
 
