@@ -12,11 +12,14 @@ IGNORED = -1
 RECENT = 50
 
 
-def bigram_counts(pairs: DataFrame, split: str = "train") -> DataFrame:
-    """``(token, next, n)`` on one split; counted before the shuffle."""
-    return pairs.filter(F.col("split") == split).groupBy("token", "next").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """``(split, token, next, n)``, counted before the shuffle. Stage it: one pass serves all."""
+    return pairs.groupBy("split", "token", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bigram_counts(counts: DataFrame, split: str = "train") -> DataFrame:
+    """``(token, next, n)`` of one split."""
+    return counts.filter(F.col("split") == split).select("token", "next", "n")
 
 
 def _scored(counted: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataFrame:
@@ -43,10 +46,9 @@ def _mean_loss(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def bigram_loss(pairs: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataFrame:
-    """Mean loss and perplexity per split; equal pairs are counted first, then scored once."""
-    counted = pairs.groupBy("split", "token", "next").agg(F.count(F.lit(1)).alias("n"))
-    return _mean_loss(_scored(counted, bigrams, vocab_size), "split")
+def bigram_loss(counts: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataFrame:
+    """Mean loss and perplexity per split; equal pairs are scored once."""
+    return _mean_loss(_scored(counts, bigrams, vocab_size), "split")
 
 
 def document_perplexity(pairs: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataFrame:

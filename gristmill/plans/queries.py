@@ -605,8 +605,7 @@ def _pairs(corpus: C.Corpus) -> DataFrame:
 
 @query
 def next_token_pairs(spark, folder):
-    pairs = _pairs(C.token_corpus(spark, folder))
-    return pairs.groupBy("split", "token", "next").agg(F.count(F.lit(1)).alias("n"))
+    return ngram.pair_counts(_pairs(C.token_corpus(spark, folder)))
 
 
 # --- step log ---------------------------------------------------------------------------
@@ -760,33 +759,33 @@ def batch_throughput(spark, folder):
 
 @query
 def bigram_counts(spark, folder):
-    counts = ngram.bigram_counts(_pairs(C.token_corpus(spark, folder)))
+    counts = ngram.bigram_counts(ngram.pair_counts(_pairs(C.token_corpus(spark, folder))))
     return counts.select(F.col("token").cast("long"), F.col("next").cast("long"), "n")
 
 
-def _pairs_and_bigrams(spark, folder) -> tuple[C.Corpus, DataFrame, DataFrame]:
+def _corpus_and_counts(spark, folder) -> tuple[C.Corpus, DataFrame]:
     corpus = C.token_corpus(spark, folder)
-    pairs = _pairs(corpus)
-    return corpus, pairs, stage(ngram.bigram_counts(pairs), "bigrams")
+    return corpus, stage(ngram.pair_counts(_pairs(corpus)), "pair-counts")
 
 
 @query
 def bigram_loss(spark, folder):
-    corpus, pairs, bigrams = _pairs_and_bigrams(spark, folder)
-    losses = ngram.bigram_loss(pairs, bigrams, corpus.vocab.size)
+    corpus, counts = _corpus_and_counts(spark, folder)
+    losses = ngram.bigram_loss(counts, ngram.bigram_counts(counts), corpus.vocab.size)
     return _rounded(losses, "loss", "perplexity")
 
 
 @query
 def document_perplexity(spark, folder):
-    corpus, pairs, bigrams = _pairs_and_bigrams(spark, folder)
-    losses = ngram.document_perplexity(pairs, bigrams, corpus.vocab.size)
+    corpus, counts = _corpus_and_counts(spark, folder)
+    bigrams = ngram.bigram_counts(counts)
+    losses = ngram.document_perplexity(_pairs(corpus), bigrams, corpus.vocab.size)
     return _rounded(losses, "loss", "perplexity")
 
 
 def _scores(spark, folder) -> DataFrame:
-    _, _, bigrams = _pairs_and_bigrams(spark, folder)
-    return ngram.candidate_scores(bigrams)
+    _, counts = _corpus_and_counts(spark, folder)
+    return ngram.candidate_scores(ngram.bigram_counts(counts))
 
 
 def _shown_scores(scores: DataFrame, *more: F.Column) -> DataFrame:
@@ -815,12 +814,12 @@ def weighted_draw(spark, folder):
 @query
 def repetition_penalty(spark, folder):
     """Candidates after each document's last id before the end, given its last 50 ids."""
-    corpus, _, bigrams = _pairs_and_bigrams(spark, folder)
+    corpus, counts = _corpus_and_counts(spark, folder)
     ids = F.slice("tokens", 1, F.size("tokens") - 1)
     recent = F.when(F.size(ids) > S.RECENT, F.slice(ids, -S.RECENT, S.RECENT)).otherwise(ids)
     prompts = corpus.encoded.select(
         "doc_id", recent.alias("recent"), F.element_at(ids, -1).alias("context")
     )
-    best = ngram.top_k_next(ngram.candidate_scores(bigrams), S.TOP_K)
+    best = ngram.top_k_next(ngram.candidate_scores(ngram.bigram_counts(counts)), S.TOP_K)
     penalised = ngram.repetition_penalty(prompts.join(best, "context"), S.PENALTY)
     return _shown_scores(penalised, F.col("doc_id"))

@@ -162,7 +162,8 @@ def test_loss_leaves_ignored_targets_out(spark):
         [("train", 0, 1, 2), ("train", 0, 1, 2), ("train", 0, 1, 3), ("val", 1, 1, 2), ("val", 1, 1, -1)],
         "split string, doc_id long, token int, next int",
     )
-    bigrams = ngram.bigram_counts(pairs)
-    found = {r["split"]: (r.targets, r.loss) for r in ngram.bigram_loss(pairs, bigrams, 10).collect()}
+    counts = ngram.pair_counts(pairs)
+    bigrams = ngram.bigram_counts(counts)
+    found = {r["split"]: (r.targets, r.loss) for r in ngram.bigram_loss(counts, bigrams, 10).collect()}
     assert found["val"] == (1, pytest.approx(-math.log(3 / 13)))
     assert found["train"] == (3, pytest.approx(-(2 * math.log(3 / 13) + math.log(2 / 13)) / 3))
