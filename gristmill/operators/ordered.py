@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 MAX_BUCKETS = 10_000
+BUCKET_ROWS = 1_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -30,15 +31,21 @@ class Buckets:
 
     @classmethod
     def of(cls, df: DataFrame, position: Column, count: int | None = None) -> Buckets:
-        """Quantile bounds of ``position``: one aggregate over that column alone."""
-        if count is None:
-            count = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        count = max(2, min(count, MAX_BUCKETS))
-        shares = [i / count for i in range(1, count)]
-        found = df.select(
-            F.percentile_approx(position.cast("double"), shares, 10 * count)
-        ).first()[0]
-        return cls(position, (-math.inf, *sorted(set(found or [0.0])), math.inf))
+        """Quantile bounds of ``position``: one aggregate over that column alone.
+
+        Without a ``count``, four buckets per shuffle partition, or fewer for few rows.
+        """
+        most = count or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = max(2, min(most, MAX_BUCKETS))
+        shares = [i / most for i in range(1, most)]
+        found, rows = df.select(
+            F.percentile_approx(position.cast("double"), shares, 10 * most),
+            F.count(F.lit(1)),
+        ).first()
+        wanted = most if count else max(2, min(most, rows // BUCKET_ROWS))
+        step = most // wanted
+        bounds = (found or [0.0])[step - 1 :: step] or [0.0]
+        return cls(position, (-math.inf, *sorted(set(bounds)), math.inf))
 
     def tag(self, df: DataFrame) -> DataFrame:
         """Add the bucket number, by binary search over the bounds."""
