@@ -79,40 +79,75 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges ``(a, b)`` that connect all distinct fingerprints at most ``distance`` bits apart.
-
-    Two of them that lie within four bits agree in at least one variant, so they meet in that
-    variant's bucket. In a bucket, those near its smallest fingerprint are tied to it alone, in
-    a row each. The others are compared with all, but a tie to a near one is a semi-join, a row
-    at most, and only pairs among the others become pairs. So a bucket full of close copies
-    costs rows in proportion, and components stay those of all links. Every comparison is exact.
+def _spread(fps: DataFrame) -> DataFrame:
+    """A few bytes a row become many rows, so they are dealt out to all tasks first."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
+def stars(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges ``(fp, pivot)`` to the least fingerprint that shares a segment, if it is near.
+
+    In a crowd of close copies these few edges, three a fingerprint at most, connect nearly all.
     """
-    if not 0 <= distance <= DISTANCE:
-        raise ValueError(f"three segments find at most {DISTANCE} differing bits")
-    listed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    buckets = listed.groupBy("key").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    shared = listed.join(buckets.filter("n > 1").drop("n"), "key").filter("fp != pivot")
-    shared = stage(shared.withColumn("near", _apart("fp", "pivot") <= distance), "variants")
-    near = shared.filter("near").select("key", F.col("fp").alias("near_fp"))
-    far = shared.filter(~F.col("near")).drop("near")
-    by_pivot = shared.filter("near").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    one = far.alias("x").join(
-        near.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (_apart("x.fp", "y.near_fp") <= distance),
-        "left_semi",
+    segments = F.array(
+        *[
+            F.shiftrightunsigned("fp", start)
+            .bitwiseAND(F.lit((1 << width) - 1))
+            .bitwiseOR(F.lit(number << 22))
+            for number, (start, width) in enumerate(SEGMENTS)
+        ]
     )
-    two = far.alias("x").join(
-        far.alias("y"),
+    listed = _spread(fps).select("fp", F.explode(segments).alias("key"))
+    pivots = listed.groupBy("key").agg(F.min("fp").alias("pivot"))
+    near = (_apart("fp", "pivot") <= distance) & (F.col("fp") != F.col("pivot"))
+    return listed.join(pivots, "key").filter(near).select("fp", "pivot").distinct()
+
+
+def _first_meeting(a: str, b: str, key: str) -> Column:
+    """Whether this variant is the one at which a pair counts: the first of its first segment.
+
+    Two fingerprints with an equal segment meet in all of its variants, those that differ in
+    one bit of it in the variant without that bit.
+    """
+    apart = F.col(a).bitwiseXOR(F.col(b))
+    slot = F.shiftright(key, 22)
+    counts, earlier = F.lit(False), F.lit(False)
+    for start, width in SEGMENTS:
+        inside = apart.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start)))
+        here = slot.between(start, start + width - 1)
+        counts |= here & ~earlier & ((inside != 0) | (slot == start))
+        earlier |= F.bit_count(inside) <= 1
+    return counts
+
+
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs of different labels ``(a, b)`` with fingerprints at most ``distance`` bits apart.
+
+    Two fingerprints within four bits agree in at least one of the variants, so they meet in
+    that variant's bucket, where the exact distance is part of the join. Pairs of one label
+    are connected already and do not come out, and every other pair comes out once.
+    """
+    listed = _spread(labelled).select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key"))
+    met = listed.alias("x").join(
+        listed.alias("y"),
         (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.fp") < F.col("y.fp"))
-        & (_apart("x.fp", "y.fp") <= distance),
-    )
-    return (
-        by_pivot.unionByName(one.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-        .unionByName(two.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
-        .distinct()
+        & (F.col("x.root") < F.col("y.root"))
+        & (_apart("x.fp", "y.fp") <= distance)
+        & _first_meeting("x.fp", "y.fp", "x.key"),
     )
+    return met.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
+
+
+def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``: the root of ``column`` in the graph, or itself outside of it."""
+    roots = connected_components(edges).select("node", F.col("root").alias("to"))
+    joined = nodes.join(roots, nodes[column] == roots["node"], "left")
+    kept = [nodes[c] for c in nodes.columns if c != "root"]
+    return joined.select(*kept, F.coalesce(roots["to"], nodes[column]).alias("root"))
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -124,11 +159,11 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     found = stage(fingerprints(docs.select("doc_id", "text")), "fingerprints")
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = stage(rooted, "roots")
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"three segments find at most {DISTANCE} differing bits")
+    nodes = stage(nodes, "nodes")
+    labelled = stage(_rooted(nodes, "fp", stars(nodes.select("fp"), distance)), "stars")
+    rooted = stage(_rooted(labelled, "root", links(labelled, distance)), "roots")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
