@@ -26,6 +26,13 @@ def run(spark, folder, schema, out, **settings):
     ingest.incremental_ingest(stream, out, shortest=10, longest=1000, words_per_token=1.0, **settings)
 
 
+def shards_of(spark, out):
+    found = {}
+    for row in ingest.ingested(spark, out).collect():
+        found.setdefault(row.shard, []).append(row.doc_id)
+    return {shard: sorted(ids) for shard, ids in sorted(found.items())}
+
+
 def test_batches_number_on_and_stop_at_the_budget(spark):
     batches = [[(b * 10 + i, 10 + i) for i in range(7)] for b in range(4)]
     folder, schema = files(spark, batches)
@@ -38,19 +45,42 @@ def test_batches_number_on_and_stop_at_the_budget(spark):
     assert kept.count() == sum(r.num_rows for r in manifest)
     last = kept.agg(F.max("doc_id")).first()[0]
     assert total >= 150 > total - (10 + last % 10)
+    # The open shard went on from batch to batch; only the last one is short.
+    assert [r.num_rows for r in manifest][:-1] == [3] * (len(manifest) - 1)
+
+
+def test_a_raised_target_takes_in_the_rest_once(spark):
+    batches = [[(b * 5 + i, 10) for i in range(5)] for b in range(3)]
+    folder, schema = files(spark, batches)
+    out = new_folder(spark, "out")
+    run(spark, folder, schema, out, rows=4, target_tokens=75)
+    assert shards_of(spark, out) == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7]}
+    run(spark, folder, schema, out, rows=4, target_tokens=75)
+    assert shards_of(spark, out) == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7]}
+    run(spark, folder, schema, out, rows=4, target_tokens=10_000)
+    assert shards_of(spark, out) == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9, 10, 11], 3: [12, 13, 14]}
 
 
-def test_a_repeated_batch_replaces_itself(spark):
+def test_a_repeated_batch_changes_nothing(spark):
     folder, schema = files(spark, [[(i, 20) for i in range(5)]])
     out = new_folder(spark, "out")
     docs = spark.read.schema(schema).parquet(folder)
     for _ in range(2):
-        ingest.ingest_batch(docs, 0, out, rows=2, shortest=1)
-    ingest.ingest_batch(docs.withColumn("doc_id", F.col("doc_id") + 100), 1, out, rows=2, shortest=1)
-    ingest.ingest_batch(docs, 0, out, rows=2, shortest=1)
-    manifest = ingest.ingest_manifest(spark, out).orderBy("shard").collect()
-    assert [(r.shard, r.num_rows) for r in manifest] == [(0, 2), (1, 2), (2, 1), (3, 2), (4, 2), (5, 1)]
-    assert ingest.ingested(spark, out).count() == 10
+        ingest.ingest_step(docs, 0, spark, out, rows=2, shortest=1)
+    more = docs.withColumn("doc_id", F.col("doc_id") + 100)
+    ingest.ingest_step(more, 1, spark, out, rows=2, shortest=1)
+    ingest.ingest_step(docs, 0, spark, out, rows=2, shortest=1)
+    ingest.ingest_step(None, -1, spark, out, rows=2, shortest=1)
+    assert shards_of(spark, out) == {0: [0, 1], 1: [2, 3], 2: [4, 100], 3: [101, 102], 4: [103, 104]}
+
+
+def test_a_step_without_its_manifest_is_done_again(spark):
+    folder, schema = files(spark, [[(i, 20) for i in range(3)]])
+    out = new_folder(spark, "out")
+    docs = spark.read.schema(schema).parquet(folder)
+    docs.withColumn("shard", F.lit(7)).write.partitionBy("shard").parquet(f"{out}/raw/step=0")
+    ingest.ingest_step(docs, 0, spark, out, rows=2, shortest=1)
+    assert shards_of(spark, out) == {0: [0, 1]}
 
 
 def test_a_later_call_goes_on(spark):
@@ -59,8 +89,7 @@ def test_a_later_call_goes_on(spark):
     run(spark, folder, schema, out, rows=2, target_tokens=10_000)
     spark.createDataFrame([(9, "word " * 20, "s")], schema).write.mode("append").parquet(folder)
     run(spark, folder, schema, out, rows=2, target_tokens=10_000)
-    found = ingest.ingested(spark, out).collect()
-    assert {r.doc_id: r.shard for r in found} == {0: 0, 1: 0, 2: 1, 3: 1, 9: 2}
+    assert shards_of(spark, out) == {0: [0, 1], 1: [2, 3], 2: [9]}
 
 
 def test_live_rates_equal_the_batch_twin(spark):
