@@ -32,8 +32,8 @@ def check_missing(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def check_header(headers: DataFrame, vocab_size: int) -> DataFrame:
-    """Error: wrong magic number. Warning: other vocabulary size (only behind a right magic)."""
-    wrong = F.col("magic") != MAGIC
+    """Error: wrong or absent magic number. Warning: other vocabulary size, behind a right magic."""
+    wrong = ~F.col("magic").eqNullSafe(F.lit(MAGIC))
     other = ~wrong & (F.col("vocab_size") != vocab_size)
     return _finding(headers, wrong, "error", "magic", F.col("magic")).unionByName(
         _finding(headers, other, "warning", "vocab", F.col("vocab_size"))
@@ -50,8 +50,8 @@ def check_count(counted: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def check_size(headers: DataFrame) -> DataFrame:
-    """Error: payload is not two bytes per token of the header."""
-    odd = F.col("payload_bytes") != F.col("tokens") * TOKEN_BYTES
+    """Error: payload is not two bytes per token of the header, or the header has no count."""
+    odd = ~F.col("payload_bytes").eqNullSafe(F.col("tokens") * TOKEN_BYTES)
     return _finding(headers, odd, "error", "size", F.col("payload_bytes"))
 
 
@@ -82,6 +82,28 @@ def all_findings(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
 
+def findings(
+    manifest: DataFrame, headers: DataFrame, facts: DataFrame, vocab_size: int, eot: int
+) -> list[DataFrame]:
+    """All checks in order. A wrong header or size ends the checks of its file: the rest of it
+    means nothing, so a faulty file has one error."""
+    shard = ["split", "shard"]
+    header = check_header(headers, vocab_size)
+    unread = header.filter("level = 'error'").select(*shard)
+    sized = headers.join(unread, shard, "left_anti")
+    size = check_size(sized)
+    broken = unread.unionByName(size.select(*shard))
+    sound, ids = headers.join(broken, shard, "left_anti"), facts.join(broken, shard, "left_anti")
+    return [
+        check_missing(manifest, headers),
+        header,
+        size,
+        check_count(sound, manifest),
+        check_range(ids, vocab_size),
+        check_start(ids, eot),
+    ]
+
+
 def validation_report(findings: list[DataFrame]) -> DataFrame:
     """One row: errors, warnings, and whether the data passed."""
     return (

@@ -62,8 +62,12 @@ def read_manifest(spark: SparkSession, path: str, one_array: bool = False) -> Da
 
 
 def verify_checksums(manifest: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries whose file content differs from the stored checksum."""
+    """Each entry with its stored and found checksum, whether a file is there and whether they match."""
     found = files.select(*keys, F.col("md5").alias("found"))
-    return manifest.join(found, keys).filter(F.col("md5") != F.col("found")).select(
-        *keys, "md5", "found"
+    return manifest.join(found, keys, "left").select(
+        *keys,
+        "md5",
+        "found",
+        F.col("found").isNotNull().alias("present"),
+        F.col("md5").eqNullSafe(F.col("found")).alias("match"),
     )

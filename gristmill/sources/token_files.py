@@ -7,8 +7,11 @@ or repeated task leaves no half-written shard. The reader cuts a shard into rang
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from gristmill.operators.quality import HEADER_INTS, MAGIC, TOKEN_BYTES, VERSION
 
 HEADER_BYTES = HEADER_INTS * 4
 TASK_IDS = 64_000_000
+FILE_IDS = 1_000_000  # what opening a file counts as, when small ones are grouped
+FILES_AT_ONCE = 32
 ROW_IDS = 1_000_000
 HEADER_FIELDS = ("split", "shard", "magic", "version", "tokens", "vocab_size", "payload_bytes")
 NAME = re.compile(r"([a-z]+)_(\d+)\.bin$")
@@ -41,6 +46,22 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
+def _runs(splits: list, shards: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbouring rows of one shard."""
+    if not splits:
+        return []
+    names = np.array(splits)
+    new = np.flatnonzero((shards[1:] != shards[:-1]) | (names[1:] != names[:-1])) + 1
+    borders = [0, *new.tolist(), len(splits)]
+    return list(zip(borders[:-1], borders[1:], strict=True))
+
+
+def _each(action, items: list) -> None:
+    """File operations of the driver, many at a time."""
+    with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
+        list(pool.map(action, items))
+
+
 class Written(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -64,12 +85,16 @@ class TokenFileWriter(DataSourceArrowWriter):
 
         files.create_dir(f"{root}/_parts", recursive=True)
         for batch in iterator:
-            for i in range(batch.num_rows):
-                shard = (batch["split"][i].as_py(), batch["shard"][i].as_py())
+            splits, shards = batch["split"].to_pylist(), batch["shard"].to_numpy()
+            starts, totals = batch["start"].to_numpy(), batch["shard_tokens"].to_numpy()
+            offsets = batch["tokens"].offsets.to_numpy()
+            flat = batch["tokens"].values.to_numpy(zero_copy_only=False)
+            for low, high in _runs(splits, shards):
+                shard = (splits[low], int(shards[low]))
                 if shard != current:
                     if sink is not None:
                         close()
-                    current, ids, expected = shard, 0, batch["shard_tokens"][i].as_py()
+                    current, ids, expected = shard, 0, int(totals[low])
                     name = f"{shard[0]}_{shard[1]:05d}.bin"
                     part = f"{root}/_parts/{name}.{attempt}"
                     done.append((part, f"{root}/{name}"))
@@ -78,9 +103,10 @@ class TokenFileWriter(DataSourceArrowWriter):
                         header = np.zeros(HEADER_INTS, "<i4")
                         header[:4] = MAGIC, VERSION, expected, self.vocab_size
                         sink.write(header.tobytes())
-                if batch["start"][i].as_py() != ids:
+                places = offsets[low : high + 1]
+                if (starts[low:high] != ids + places[:-1] - places[0]).any():
                     raise ValueError(f"shard {shard}: rows out of order at id {ids}")
-                tokens = batch["tokens"][i].values.to_numpy(zero_copy_only=False)
+                tokens = flat[places[0] : places[-1]]
                 if len(tokens) and not 0 <= tokens.min() <= tokens.max() < 65_536:
                     raise ValueError(f"shard {shard}: an id does not fit 16 bits")
                 sink.write(tokens.astype("<u2").tobytes())
@@ -90,67 +116,75 @@ class TokenFileWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, _ = _open(self.path)
-        for message in filter(None, messages):
-            for part, final in message.files:
-                files.move(part, final)
+        """Names of complete files; parts of lost attempts go with their folder."""
+        files, root = _open(self.path)
+        _each(lambda pair: files.move(*pair), [pair for m in filter(None, messages) for pair in m.files])
+        if files.get_file_info(f"{root}/_parts").type != fs.FileType.NotFound:
+            files.delete_dir(f"{root}/_parts")
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = _open(self.path)
-        for message in filter(None, messages):
-            for part, _ in message.files:
-                files.delete_file(part)
+        _each(files.delete_file, [part for m in filter(None, messages) for part, _ in m.files])
+
 
+@dataclass(frozen=True)
+class IdRange:
+    path: str
+    split: str
+    shard: int
+    offset: int
+    start: int
+    count: int
 
-class IdRange(InputPartition):
-    def __init__(self, path: str, split: str, shard: int, offset: int, start: int, count: int):
+
+class IdRanges(InputPartition):
+    def __init__(self, ranges: list[IdRange]):
         super().__init__(None)
-        self.path, self.split, self.shard = path, split, shard
-        self.offset, self.start, self.count = offset, start, count
+        self.ranges = ranges
 
 
 class TokenFileReader(DataSourceReader):
     def __init__(self, path: str, header: bool):
         self.path, self.header = path, header
 
-    def partitions(self) -> list[IdRange]:
+    def partitions(self) -> list[IdRanges]:
+        """Large files are cut into ranges, small ones share a task."""
         files, root = _open(self.path)
-        ranges = []
-        for info in files.get_file_info(fs.FileSelector(root)):
+        tasks, room = [], 0
+        for info in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda info: info.path):
             named = NAME.search(info.path)
             if not named:
                 continue
             offset = HEADER_BYTES if self.header else 0
-            ids = (info.size - offset) // TOKEN_BYTES
+            ids = max(0, info.size - offset) // TOKEN_BYTES
             for start in range(0, max(ids, 1), TASK_IDS):
-                ranges.append(
-                    IdRange(
-                        info.path,
-                        named.group(1),
-                        int(named.group(2)),
-                        offset + start * TOKEN_BYTES,
-                        start,
-                        min(TASK_IDS, ids - start),
-                    )
-                )
-        return ranges
-
-    def read(self, part: IdRange) -> Iterator[pa.RecordBatch]:
+                count = min(TASK_IDS, ids - start)
+                if room < count:
+                    tasks.append([])
+                    room = TASK_IDS
+                place = offset + start * TOKEN_BYTES
+                tasks[-1].append(IdRange(info.path, named.group(1), int(named.group(2)), place, start, count))
+                room -= count + FILE_IDS
+        return [IdRanges(ranges) for ranges in tasks]
+
+    def read(self, task: IdRanges) -> Iterator[pa.RecordBatch]:
         files, _ = _open(self.path)
-        with files.open_input_file(part.path) as source:
-            source.seek(part.offset)
-            for done in range(0, max(part.count, 1), ROW_IDS):
-                wanted = min(ROW_IDS, part.count - done)
-                ids = np.frombuffer(source.read(wanted * TOKEN_BYTES), "<u2")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part.split]),
-                        pa.array([part.shard], pa.int64()),
-                        pa.array([part.start + done], pa.int64()),
-                        pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
-                    ],
-                    ["split", "shard", "start", "tokens"],
-                )
+        for part in task.ranges:
+            with files.open_input_file(part.path) as source:
+                if part.count:
+                    source.seek(part.offset)
+                for done in range(0, max(part.count, 1), ROW_IDS):
+                    wanted = min(ROW_IDS, part.count - done)
+                    ids = np.frombuffer(source.read(wanted * TOKEN_BYTES), "<u2")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([part.split]),
+                            pa.array([part.shard], pa.int64()),
+                            pa.array([part.start + done], pa.int64()),
+                            pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
+                        ],
+                        ["split", "shard", "start", "tokens"],
+                    )
 
 
 class TokenFiles(DataSource):
@@ -228,26 +262,47 @@ def token_file_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """``(split, shard, path, bytes, md5)``."""
-    return _shard_files(spark, path).select(
-        "split", "shard", "path", F.col("length").alias("bytes"), F.md5("content").alias("md5")
-    )
+    """``(split, shard, path, bytes, md5)``; files of any size, hashed piece by piece."""
+    return with_md5(token_file_listing(spark, path))
+
+
+def with_md5(listing: DataFrame) -> DataFrame:
+    """Add the ``md5`` of the file at ``path``, read in pieces by the tasks."""
+
+    @F.arrow_udf("string")
+    def md5(paths: pa.Array) -> pa.Array:
+        found = []
+        for path in paths.to_pylist():
+            files, plain = _open(path)
+            digest = hashlib.md5()
+            with files.open_input_stream(plain) as source:
+                while piece := source.read(1 << 22):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        return pa.array(found, pa.string())
+
+    return listing.withColumn("md5", md5("path"))
 
 
 def token_file_headers(spark: SparkSession, path: str) -> DataFrame:
     """Header fields and payload size of each file, reading no more than the header."""
 
+    schema = pa.schema([("split", pa.string()), *[(name, pa.int64()) for name in HEADER_FIELDS[1:]]])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
                 files, plain = _open(row["path"])
                 with files.open_input_file(plain) as source:
-                    head = np.frombuffer(source.read(HEADER_BYTES), "<i4")[:4].tolist()
+                    found = source.read(4 * 4)
+                # A file too short for its header has no fields; that is a finding.
+                head = np.frombuffer(found[: len(found) // 4 * 4], "<i4").tolist()
+                head += [None] * (4 - len(head))
                 row["magic"], row["version"], row["tokens"], row["vocab_size"] = head
                 row["payload_bytes"] = row["bytes"] - HEADER_BYTES
             yield pa.RecordBatch.from_pylist(
-                [{name: row[name] for name in HEADER_FIELDS} for row in rows]
+                [{name: row[name] for name in HEADER_FIELDS} for row in rows], schema
             )
 
     return token_file_listing(spark, path).mapInArrow(

@@ -175,9 +175,11 @@ def test_raw_shards_round_trip(spark):
     raw_shards.write_json_report(manifest, f"{path}-manifest")
     stored = raw_shards.read_manifest(spark, f"{path}-manifest")
     assert [r.shard for r in stored.collect()] == [0, 1, 2]
-    assert raw_shards.verify_checksums(stored, files, ["shard"]).count() == 0
+    assert raw_shards.verify_checksums(stored, files, ["shard"]).filter("NOT match").count() == 0
+    gone = raw_shards.verify_checksums(stored, files.filter("shard <> 2"), ["shard"])
+    assert [r.shard for r in gone.filter("NOT present").collect()] == [2]
     spoiled = stored.withColumn("md5", F.when(F.col("shard") == 1, "0").otherwise(F.col("md5")))
-    assert [r.shard for r in raw_shards.verify_checksums(spoiled, files, ["shard"]).collect()] == [1]
+    assert [r.shard for r in raw_shards.verify_checksums(spoiled, files, ["shard"]).filter("NOT match").collect()] == [1]
 
 
 def test_manifest_as_one_array(spark, tmp_path):

@@ -192,7 +192,8 @@ def test_pairs_cross_documents_but_not_shards(spark):
     packed = spark.createDataFrame(
         rows, "split string, doc_id long, shard long, start long, tokens array<int>"
     )
-    found = sorted((r.token, r.next) for r in blocks.next_token_pairs(packed, 9).collect())
+    members = packed.withColumn("opens", F.col("start") == 0)
+    found = sorted((r.token, r.next) for r in blocks.next_token_pairs(members, 9).collect())
     assert found == [(5, 9), (6, 7), (7, 9), (8, 9), (9, 6)]
 
 
@@ -251,20 +252,15 @@ def test_faulty_files(spark, tmp_path):
     write(5, odd=b"x")
     write(6, ids=(1, 2, 100, 4))
     write(7, ids=(99, 2, 3, 4))
+    write(9, magic=8, count=500, ids=(99, 2, 100, 4), odd=b"x")
+    (tmp_path / "train_00010.bin").write_bytes(b"abcd")
     path = f"file:{tmp_path}"
     headers = token_files.token_file_headers(spark, path)
     facts = quality.shard_facts(token_files.import_token_shards(spark, path))
     manifest = spark.createDataFrame(
-        [("train", i, 4) for i in range(9)], "split string, shard long, tokens long"
+        [("train", i, 4) for i in range(11)], "split string, shard long, tokens long"
     )
-    checks = [
-        quality.check_missing(manifest, headers),
-        quality.check_header(headers, 100),
-        quality.check_count(headers, manifest),
-        quality.check_size(headers),
-        quality.check_range(facts, 100),
-        quality.check_start(facts, 99),
-    ]
+    checks = quality.findings(manifest, headers, facts, 100, 99)
     found = {(r.shard, r.level, r.rule) for r in quality.all_findings(checks).collect()}
     assert found == {
         (1, "error", "magic"),
@@ -274,5 +270,9 @@ def test_faulty_files(spark, tmp_path):
         (6, "error", "range"),
         (7, "warning", "start"),
         (8, "error", "missing"),
+        # A wrong magic or a file without a whole header ends the checks of the file.
+        (9, "error", "magic"),
+        (10, "error", "magic"),
     }
-    assert tuple(quality.validation_report(checks).first()) == (4, 3, False)
+    assert quality.all_findings(checks).count() == len(found)
+    assert tuple(quality.validation_report(checks).first()) == (6, 3, False)
