@@ -34,9 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``new_folder`` and ``stage`` have made so far; the number of folders.
+
+    For when results are written or counted: DataFrames that read these folders end with them.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
