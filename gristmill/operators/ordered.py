@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 10_000
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -33,19 +32,20 @@ class Buckets:
     def of(cls, df: DataFrame, position: Column, count: int | None = None) -> Buckets:
         """Quantile bounds of ``position``: one aggregate over that column alone.
 
-        Without a ``count``, four buckets per shuffle partition, or fewer for few rows.
+        Without a ``count``, four buckets per shuffle partition, and more where these would
+        hold over ``BUCKET_ROWS`` rows each.
         """
-        most = count or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        most = max(2, min(most, MAX_BUCKETS))
-        shares = [i / most for i in range(1, most)]
-        found, rows = df.select(
-            F.percentile_approx(position.cast("double"), shares, 10 * most),
-            F.count(F.lit(1)),
-        ).first()
-        wanted = most if count else max(2, min(most, rows // BUCKET_ROWS))
-        step = most // wanted
-        bounds = (found or [0.0])[step - 1 :: step] or [0.0]
-        return cls(position, (-math.inf, *sorted(set(bounds)), math.inf))
+        least = count or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def quantiles(wanted: int) -> tuple:
+            shares = [i / wanted for i in range(1, wanted)]
+            found = F.percentile_approx(position.cast("double"), shares, 10 * wanted)
+            return df.select(found, F.count(F.lit(1))).first()
+
+        found, rows = quantiles(max(2, least))
+        if not count and rows > least * BUCKET_ROWS:
+            found, rows = quantiles(-(-rows // BUCKET_ROWS))
+        return cls(position, (-math.inf, *sorted(set(found or [0.0])), math.inf))
 
     def tag(self, df: DataFrame) -> DataFrame:
         """Add the bucket number, by binary search over the bounds."""
@@ -112,7 +112,8 @@ def running(
             for name, (kind, _) in before.items()
         ],
     )
-    # Without groups there are at most MAX_BUCKETS offsets; with groups Spark sizes the join.
+    # Without groups there is an offset per bucket, a millionth of the rows at most beyond the
+    # first few; with groups Spark sizes the join.
     placed = tagged.join(offsets if group else F.broadcast(offsets), keys)
 
     here = Window.partitionBy(*keys).orderBy(*order)
@@ -184,9 +185,11 @@ class Ranges:
     starts: DataFrame
     group: tuple[str, ...] = ()
 
-    def assign(self, df: DataFrame) -> DataFrame:
+    def assign(self, df: DataFrame, first_key: bool = False) -> DataFrame:
         """Add the ``label`` of the range each row's key falls in, without shuffling ``df``.
 
+        With ``first_key`` also the range's first key.
+
         ``starts`` has a row per range (group, label 0, 1, 2, ..., ``first_key``) and should be
         staged. A range is listed for each bucket it touches; rows look up their own bucket.
         """
@@ -211,7 +214,8 @@ class Ranges:
         here = (key >= F.col("first_key")) & (F.col("next_key").isNull() | (key < F.col("next_key")))
         for column in [*group, BUCKET]:
             here &= F.col(f"_row.{column}") == F.col(f"_range.{column}")
-        return rows.join(ranges, here).select("_row.*", f"_range.{self.label}").drop(BUCKET)
+        more = ["_range.first_key"] if first_key else []
+        return rows.join(ranges, here).select("_row.*", f"_range.{self.label}", *more).drop(BUCKET)
 
 
 def with_context(df: DataFrame, step: str, back: int, size: int = 10_000) -> DataFrame:

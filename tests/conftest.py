@@ -6,11 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from gristmill.operators import ordered  # noqa: E402
 from gristmill.session import tune  # noqa: E402
 
-ordered.BUCKET_ROWS = 1  # many buckets even for a handful of rows
-
 
 @pytest.fixture(scope="session")
 def spark():
