@@ -124,18 +124,18 @@ def resume_blocks(
     return cut_blocks(resume_stream(stream, shard, pos), batch, length, keys)
 
 
-def next_token_pairs(packed: DataFrame, eot: int) -> DataFrame:
+def next_token_pairs(members: DataFrame, eot: int) -> DataFrame:
     """``(split, doc_id, token, next)`` for neighbours within a shard.
 
-    Every document ends in ``eot``, so the id before a document that does not open its
-    shard is known and no window over the shard is needed.
+    ``members`` are documents with ``opens``, whether they are the first of their shard. Every
+    document ends in ``eot``, so the id before any other one is known: no order and no shuffle.
     """
-    before = F.when(F.col("start") > 0, F.array(F.lit(eot))).otherwise(F.array().cast("array<int>"))
+    before = F.when(~F.col("opens"), F.array(F.lit(eot))).otherwise(F.array().cast("array<int>"))
     ids = F.concat(before, F.col("tokens"))
     shifted = F.arrays_zip(
         F.slice(ids, 1, F.size(ids) - 1).alias("token"), F.slice(ids, 2, F.size(ids)).alias("next")
     )
-    return packed.select("split", "doc_id", F.explode(shifted).alias("pair")).select(
+    return members.select("split", "doc_id", F.explode(shifted).alias("pair")).select(
         "split", "doc_id", "pair.token", "pair.next"
     )
 

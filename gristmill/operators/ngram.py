@@ -9,6 +9,8 @@ from gristmill.functions.runlog import perplexity
 from gristmill.functions.text import hash_number, seeded_hash
 
 IGNORED = -1
+UNSEEN = -2
+HEAD = 200_000
 RECENT = 50
 
 
@@ -51,10 +53,32 @@ def bigram_loss(counts: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataF
     return _mean_loss(_scored(counts, bigrams, vocab_size), "split")
 
 
-def document_perplexity(pairs: DataFrame, bigrams: DataFrame, vocab_size: int) -> DataFrame:
-    """The same per document. Pairs hardly repeat within one, so they are scored singly."""
-    single = pairs.select("doc_id", "token", "next", F.lit(1).alias("n"))
-    return _mean_loss(_scored(single, bigrams, vocab_size), "doc_id")
+def document_perplexity(
+    pairs: DataFrame, bigrams: DataFrame, vocab_size: int, head: int = HEAD
+) -> DataFrame:
+    """The same per document.
+
+    The ``head`` most frequent bigrams, a bounded table that covers most pairs, are broadcast
+    and scored in place; those pairs leave their task as one sum per document. Only the rare
+    rest is shuffled, counted per document and pair, to meet the whole table.
+    """
+    top = bigrams.orderBy(F.desc("n"), "token", "next").limit(head)
+    contexts = bigrams.groupBy("token").agg(F.sum("n").alias("context_n"))
+    frequent = top.join(F.broadcast(contexts), "token").select(
+        "token", "next", (-F.log((F.col("n") + 1) / (F.col("context_n") + vocab_size))).alias("known")
+    )
+    found = pairs.filter(F.col("next") != IGNORED).join(F.broadcast(frequent), ["token", "next"], "left")
+    rare = F.col("known").isNull()
+    counted = found.groupBy(
+        "doc_id", F.when(rare, F.col("token")).alias("token"), F.when(rare, F.col("next")).alias("next")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("known").alias("known"))
+    scored = _scored(counted.withColumn("next", F.coalesce("next", F.lit(UNSEEN))), bigrams, vocab_size)
+    loss = F.sum(F.coalesce("known", F.col("n") * F.col("loss"))) / F.sum("n")
+    return (
+        scored.groupBy("doc_id")
+        .agg(F.sum("n").alias("targets"), loss.alias("loss"))
+        .withColumn("perplexity", perplexity(F.col("loss")))
+    )
 
 
 def candidate_scores(bigrams: DataFrame) -> DataFrame:
@@ -95,6 +119,34 @@ def weighted_draw(weighted: DataFrame, seed: int = 42) -> DataFrame:
     return reached.groupBy("context").agg(chosen.alias("next"))
 
 
+def penalised_top_k(
+    prompts: DataFrame, scores: DataFrame, k: int = 50, penalty: float = 1.15, most_recent: int = RECENT
+) -> DataFrame:
+    """``(doc_id, context, next, score)``: the ``k`` best after the penalty; ties at the border stay.
+
+    ``prompts`` are ``(doc_id, context, recent)`` with at most ``most_recent`` ids. Scores are
+    log counts, so a penalty only lowers them and at most ``most_recent`` of a context: the
+    best ``k + most_recent`` before it hold the best ``k`` after it. These go to the prompts as
+    one bounded list per context, so a context that most prompts share multiplies no rows.
+    """
+    best = top_k_next(scores, k + most_recent)
+    lists = best.groupBy("context").agg(F.collect_list(F.struct("next", "score")).alias("all"))
+    lowered = F.transform(
+        "all",
+        lambda c: F.struct(
+            c["next"].alias("next"),
+            F.when(F.array_contains("recent", c["next"]), c["score"] / penalty).otherwise(c["score"]).alias("score"),
+        ),
+    )
+    joined = prompts.join(lists, "context").select("doc_id", "context", lowered.alias("all"))
+    in_order = F.sort_array(F.transform("all", lambda c: c["score"]), asc=False)
+    border = F.element_at(in_order, F.least(F.lit(k), F.size("all")))
+    kept = joined.withColumn("border", border).select(
+        "doc_id", "context", F.inline(F.filter("all", lambda c: c["score"] >= F.col("border")))
+    )
+    return kept.select("doc_id", "context", "next", "score")
+
+
 def repetition_penalty(
     scores: DataFrame, penalty: float = 1.15, recent: str = "recent"
 ) -> DataFrame:

@@ -162,6 +162,15 @@ def token_shard_ranges(packed: DataFrame) -> Ranges:
     return Ranges("doc_id", "shard", buckets, stage(starts, "token-shards"), ("split",))
 
 
+def shard_members(encoded: DataFrame, packed: DataFrame) -> DataFrame:
+    """Encoded documents with ``shard`` and ``opens``, whether they are their shard's first.
+
+    Ids are not moved: the shards' first keys are looked up per document.
+    """
+    placed = token_shard_ranges(packed).assign(encoded, first_key=True)
+    return placed.withColumn("opens", F.col("doc_id") == F.col("first_key")).drop("first_key")
+
+
 def shard_stream(encoded: DataFrame, packed: DataFrame) -> DataFrame:
     """Encoded documents with ``shard`` and ``start``.
 
