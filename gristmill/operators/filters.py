@@ -25,8 +25,10 @@ def filter_length(
     return docs.filter(size.between(shortest, longest))
 
 
-def filter_counts(docs: DataFrame, shortest: int = MIN_CHARS, longest: int = MAX_CHARS) -> DataFrame:
-    size = char_count(F.col("text"))
+def filter_counts(
+    docs: DataFrame, shortest: int = MIN_CHARS, longest: int = MAX_CHARS, chars: Column | None = None
+) -> DataFrame:
+    size = char_count(F.col("text")) if chars is None else F.coalesce(chars, F.lit(0))
     return docs.agg(
         F.count_if(size.between(shortest, longest)).alias("kept"),
         F.count_if(size < shortest).alias("too_short"),
@@ -34,19 +36,23 @@ def filter_counts(docs: DataFrame, shortest: int = MIN_CHARS, longest: int = MAX
     )
 
 
-def drop_tiny(docs: DataFrame, shortest: int = MIN_TOKENIZED_CHARS) -> DataFrame:
-    return docs.filter(char_count(F.col("text")) >= shortest)
+def drop_tiny(
+    docs: DataFrame, shortest: int = MIN_TOKENIZED_CHARS, chars: Column | None = None
+) -> DataFrame:
+    size = char_count(F.col("text")) if chars is None else chars
+    return docs.filter(size >= shortest)
 
 
 def with_word_count(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", word_count(F.col("text")))
 
 
-def measure(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def measure(docs: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
     """Key, words, characters and bytes: all that budgets, shards and manifests look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         key,
+        *keep,
         word_count(F.col("text")).alias("words"),
         char_count(F.col("text")).alias("text_chars"),
         F.octet_length(text).cast("long").alias("text_bytes"),
@@ -84,9 +90,17 @@ def take_until_budget(
     return docs.filter(up_to([key], budget_cutoff(docs, target_tokens, words_per_token, key, buckets)))
 
 
+def _first(docs: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of the lowest keys. Keys are read first; texts only of those rows."""
+    keys = docs.select("doc_id").orderBy("doc_id").limit(n).collect()
+    if not keys:
+        return docs.limit(0)
+    return docs.filter(F.col("doc_id") <= F.lit(keys[-1][0])).orderBy("doc_id").limit(n)
+
+
 def peek_documents(docs: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` documents with their sizes and the start of the text."""
-    first = docs.orderBy("doc_id").limit(n)
+    first = _first(docs, n)
     return with_token_estimate(with_word_count(first)).select(
         "doc_id",
         "url",
@@ -113,7 +127,7 @@ def size_estimate(
     words_per_token: float = WORDS_PER_TOKEN,
 ) -> DataFrame:
     """Documents, shards and disk needed for the target, judged by the first ``n`` documents."""
-    first = docs.orderBy("doc_id").limit(n)
+    first = _first(docs, n)
     seen = first.agg(
         F.sum(word_count(F.col("text"))).alias("words"), F.count(F.lit(1)).alias("docs")
     )

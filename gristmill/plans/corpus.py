@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return scan_documents(table(spark, folder, "documents"))
 
 
+def measured_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """With the stored ``n_chars``, so that length filters reach the scan."""
+    docs = table(spark, folder, "documents")
+    return scan_documents(docs, keep=("n_chars",))
+
+
 def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
     return scan_documents(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def kept_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.filter_length(spread_documents(spark, folder), S.SHORTEST, S.LONGEST)
+    docs = measured_documents(spark, folder)
+    kept = filters.filter_length(docs, S.SHORTEST, S.LONGEST, docs["n_chars"]).drop("n_chars")
+    return spread(kept, "doc_id")
 
 
 def kept_measures(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,14 +70,20 @@ class Corpus:
     encoded: DataFrame
     packed: DataFrame
 
-    @property
+    @cached_property
     def stream(self) -> DataFrame:
         """``(split, doc_id, shard, start, n_tokens, tokens)``."""
         return packing.shard_stream(self.encoded, self.packed)
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """``(split, doc_id, n_tokens, tokens, shard, opens)``, without a shuffle of ids."""
+        return packing.shard_members(self.encoded, self.packed)
+
 
 def document_vocab(spark: SparkSession, folder: str) -> tokens.Vocabulary:
-    texts = filters.drop_tiny(spread_documents(spark, folder))
+    docs = measured_documents(spark, folder)
+    texts = spread(filters.drop_tiny(docs, chars=docs["n_chars"]), "doc_id")
     return tokens.load_vocab(tokens.build_vocab(tokens.pretokenize(texts), S.VOCAB_SIZE))
 
 

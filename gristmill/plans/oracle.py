@@ -46,10 +46,17 @@ ORACLE: dict[str, str] = {}
 KEPT = f"""kept AS MATERIALIZED (
   SELECT doc_id, text, {words('text')} AS words FROM documents
   WHERE length(coalesce(text, '')) BETWEEN {S.SHORTEST} AND {S.LONGEST})"""
-BUDGET = f"""budget AS MATERIALIZED (
+
+
+def budget(target: float) -> str:
+    return f"""budget AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, sum(words) OVER (ORDER BY doc_id) - words AS ahead FROM kept)
-  WHERE ahead < {S.TARGET_TOKENS} * 0.74)"""
+  WHERE ahead < {target} * 0.74)"""
+
+
+BUDGET = budget(S.BUDGET_TOKENS)
+WHOLE = budget(S.TARGET_TOKENS)
 SHARDED = f"""sharded AS MATERIALIZED (
   SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {S.RAW_SHARD_ROWS} AS shard FROM kept)"""
 BUDGET_SHARDED = f"""budget_sharded AS MATERIALIZED (
@@ -77,13 +84,13 @@ ORACLE["size_estimate"] = f"""
 WITH seen AS (
   SELECT sum({words('text')}) / 0.74::DOUBLE / count(*) AS mean_tokens
   FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 3)),
-docs AS (SELECT *, CAST(floor({S.TARGET_TOKENS} / mean_tokens) AS BIGINT) AS docs_needed FROM seen)
+docs AS (SELECT *, CAST(floor({S.BUDGET_TOKENS} / mean_tokens) AS BIGINT) AS docs_needed FROM seen)
 SELECT mean_tokens, docs_needed,
   CAST(ceil(docs_needed / {S.RAW_SHARD_ROWS}) AS BIGINT) AS shards_needed,
-  {S.TARGET_TOKENS}::DOUBLE / 10000000000::DOUBLE AS sample_share,
-  {S.TARGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 28::DOUBLE AS compressed_gb,
-  {S.TARGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 75::DOUBLE AS raw_gb,
-  {S.TARGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 28::DOUBLE * 1.15::DOUBLE AS disk_gb
+  {S.BUDGET_TOKENS}::DOUBLE / 10000000000::DOUBLE AS sample_share,
+  {S.BUDGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 28::DOUBLE AS compressed_gb,
+  {S.BUDGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 75::DOUBLE AS raw_gb,
+  {S.BUDGET_TOKENS}::DOUBLE / 10000000000::DOUBLE * 28::DOUBLE * 1.15::DOUBLE AS disk_gb
 FROM docs"""
 ORACLE["write_raw_shards"] = with_(
     KEPT,
@@ -94,24 +101,26 @@ ORACLE["write_raw_shards"] = with_(
 ORACLE["read_manifest"] = with_(
     KEPT, SHARDED, f"SELECT shard, num_rows, est_tokens FROM ({manifest_of('sharded')})"
 )
-ORACLE["verify_checksums"] = (
-    "SELECT 0::BIGINT AS shard, '' AS md5, '' AS found FROM documents WHERE false"
+ORACLE["verify_checksums"] = with_(
+    KEPT, SHARDED, 'SELECT DISTINCT shard, true AS present, shard <> 0 AS "match" FROM sharded'
 )
-ORACLE["filter_length"] = with_(KEPT, "SELECT doc_id, text FROM kept")
+ORACLE["filter_length"] = f"""
+SELECT doc_id, text FROM documents
+WHERE length(coalesce(text, '')) BETWEEN {S.SHORTEST} AND {S.SHARP_LONGEST}"""
 ORACLE["filter_counts"] = f"""
-SELECT count(*) FILTER (length(text) BETWEEN {S.SHORTEST} AND {S.LONGEST}) AS kept,
+SELECT count(*) FILTER (length(text) BETWEEN {S.SHORTEST} AND {S.SHARP_LONGEST}) AS kept,
   count(*) FILTER (coalesce(length(text), 0) < {S.SHORTEST}) AS too_short,
-  count(*) FILTER (length(text) > {S.LONGEST}) AS too_long FROM documents"""
+  count(*) FILTER (length(text) > {S.SHARP_LONGEST}) AS too_long FROM documents"""
 ORACLE["drop_tiny"] = "SELECT doc_id, text FROM documents WHERE length(text) >= 10"
 ORACLE["word_count"] = f"SELECT doc_id, {words('text')} AS words FROM documents"
 ORACLE["token_estimate"] = f"""
 SELECT doc_id, {words('text')} AS words, {words('text')} / 0.74::DOUBLE AS est_tokens FROM documents"""
 ORACLE["take_until_budget"] = with_(KEPT, BUDGET, "SELECT doc_id, text FROM budget")
 ORACLE["shard_by_rows"] = with_(KEPT, SHARDED, "SELECT doc_id, shard, text FROM sharded")
-ORACLE["shard_manifest"] = with_(KEPT, BUDGET, BUDGET_SHARDED, manifest_of("budget_sharded"))
+ORACLE["shard_manifest"] = with_(KEPT, WHOLE, BUDGET_SHARDED, manifest_of("budget_sharded"))
 ORACLE["manifest_totals"] = with_(
     KEPT,
-    BUDGET,
+    WHOLE,
     BUDGET_SHARDED,
     f"""SELECT count(*) AS shards, CAST(sum(num_rows) AS BIGINT) AS num_rows,
   CAST(sum(est_tokens) AS BIGINT) AS est_tokens, CAST(sum(text_bytes) AS BIGINT) AS text_bytes
@@ -129,12 +138,16 @@ ORACLE["incremental_ingest"] = with_(
     KEPT,
     BUDGET,
     BUDGET_SHARDED,
-    """SELECT shard, count(*) AS num_rows, CAST(sum(words) AS BIGINT) AS words,
-  max(doc_id) AS last_doc FROM budget_sharded GROUP BY shard""",
+    f"""later AS (SELECT *, (SELECT max(shard) + 1 FROM budget_sharded)
+    + (row_number() OVER (ORDER BY doc_id) - 1) // {S.RAW_SHARD_ROWS} AS shard
+  FROM kept WHERE doc_id NOT IN (SELECT doc_id FROM budget))""",
+    """SELECT shard, count(*) AS num_rows, CAST(sum(words) AS BIGINT) AS words, max(doc_id) AS last_doc
+FROM (SELECT shard, words, doc_id FROM budget_sharded UNION ALL SELECT shard, words, doc_id FROM later)
+GROUP BY shard""",
 )
 ORACLE["run_stats"] = with_(
     KEPT,
-    BUDGET,
+    WHOLE,
     f"""read AS (SELECT *, length(text) BETWEEN {S.SHORTEST} AND {S.LONGEST} AS ok FROM documents
   WHERE doc_id <= (SELECT max(doc_id) FROM budget))""",
     f"""SELECT CAST(ceil(count(*) FILTER (ok) / {S.RAW_SHARD_ROWS}) AS BIGINT) AS total_shards,
@@ -184,11 +197,11 @@ CLEAN = f"""clean AS MATERIALIZED (
     {strip("coalesce(text, '')")} AS value FROM conversations)"""
 
 
-def verdicts(least: int = 2) -> str:
+def verdicts(least: int = 2, reply: int = S.MIN_REPLY) -> str:
     return f"""verdicts AS MATERIALIZED (
   SELECT conv_id, count(*) >= {least}
       AND count(*) FILTER (speaker IS NOT NULL AND value <> '') >= {least} AS long_enough,
-    count(*) FILTER (speaker = 'Assistant' AND value <> '' AND length(value) < {S.MIN_REPLY}) > 0 AS short_reply
+    count(*) FILTER (speaker = 'Assistant' AND value <> '' AND length(value) < {reply}) > 0 AS short_reply
   FROM clean GROUP BY conv_id)"""
 
 
@@ -208,7 +221,7 @@ ORACLE["normalize_roles"] = with_(CLEAN, "SELECT * FROM clean WHERE speaker IS N
 ORACLE["drop_empty_turns"] = with_(CLEAN, "SELECT * FROM clean WHERE value <> ''")
 ORACLE["reject_short_reply"] = with_(
     CLEAN,
-    verdicts(),
+    verdicts(reply=S.SHARP_REPLY),
     """SELECT conv_id, turn, role, text FROM conversations
 WHERE conv_id IN (SELECT conv_id FROM verdicts WHERE NOT short_reply)""",
 )
@@ -221,19 +234,25 @@ WHERE conv_id IN (SELECT conv_id FROM verdicts WHERE long_enough)""",
 ORACLE["render_chat"] = with_(*CHATS, RENDERED, "SELECT conv_id, text FROM rendered")
 ORACLE["format_counts"] = with_(
     CLEAN,
-    verdicts(),
+    verdicts(reply=S.SHARP_REPLY),
     """SELECT count(*) FILTER (long_enough AND NOT short_reply) AS kept,
   count(*) FILTER (NOT (long_enough AND NOT short_reply)) AS skipped FROM verdicts""",
 )
-CAPPED = f"""capped AS MATERIALIZED (
+
+
+def capped(most: int) -> str:
+    return f"""capped AS MATERIALIZED (
   SELECT conv_id, ok FROM (
     SELECT *, sum(ok::INT) OVER (ORDER BY conv_id) - ok::INT AS ahead
     FROM (SELECT conv_id, long_enough AND NOT short_reply AS ok FROM verdicts))
-  WHERE ahead < {S.MOST_SAMPLES})"""
+  WHERE ahead < {most})"""
+
+
+CAPPED = capped(S.MOST_SAMPLES)
 ORACLE["cap_samples"] = with_(
     CLEAN,
     verdicts(),
-    CAPPED,
+    capped(S.CAP_SAMPLES),
     "SELECT count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS skipped FROM capped",
 )
 ORACLE["build_prompt"] = with_(
@@ -330,13 +349,13 @@ ORACLE["sample_windows"] = with_(
     *STREAM_STEPS,
     f"""starts AS (
   SELECT i AS "window", CAST('0x' || substr({hashed('i')}, 1, 12) AS BIGINT)
-    % ((SELECT count(*) FROM chat_stream WHERE split = 'train') - {S.BLOCK}) AS first
-  FROM range({S.WINDOWS}) t(i))""",
-    f"""SELECT "window", first,
+    % (n - {S.BLOCK}) AS first, split
+  FROM range({S.WINDOWS}) t(i), (SELECT split, count(*) AS n FROM chat_stream GROUP BY split))""",
+    f"""SELECT split, "window", first,
   string_agg(token, ' ' ORDER BY pos) FILTER (pos < first + {S.BLOCK}) AS x,
   string_agg(token, ' ' ORDER BY pos) FILTER (pos > first) AS y
-FROM starts JOIN chat_stream ON split = 'train' AND pos BETWEEN first AND first + {S.BLOCK}
-GROUP BY "window", first""",
+FROM starts JOIN chat_stream USING (split) WHERE pos BETWEEN first AND first + {S.BLOCK}
+GROUP BY split, "window", first""",
 )
 LENGTHS = """lengths AS MATERIALIZED (
   SELECT split, doc_id, n_tokens, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn
@@ -364,13 +383,13 @@ def on_packed(*steps: str) -> str:
 
 ORACLE["pack_token_shards"] = on_packed("SELECT split, doc_id, shard, start, n_tokens FROM packed")
 CAP = f"""cap AS MATERIALIZED (
-  SELECT * FROM (SELECT *, sum(n_tokens) OVER (ORDER BY doc_id) - n_tokens AS ahead
-    FROM lengths WHERE split = 'train') WHERE ahead < {S.TOKEN_CAP})"""
+  SELECT * FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY split ORDER BY doc_id) - n_tokens AS ahead,
+      sum(n_tokens) OVER (PARTITION BY split) >= {S.TOKEN_CAP} AS capped
+    FROM lengths) WHERE ahead < {S.TOKEN_CAP})"""
 ORACLE["cap_tokens"] = with_(
     *PACK_STEPS[:-1],
     CAP,
-    f"""SELECT doc_id, n_tokens, (SELECT sum(n_tokens) FROM lengths WHERE split = 'train') >= {S.TOKEN_CAP} AS capped
-FROM cap""",
+    "SELECT split, doc_id, n_tokens, capped FROM cap",
 )
 ORACLE["token_manifest"] = on_packed(MANIFEST, "SELECT * FROM manifest")
 ORACLE["split_totals"] = on_packed(
@@ -428,9 +447,11 @@ ORACLE["check_size"] = on_packed(
     """SELECT split, shard, 'error' AS level, 'size' AS rule, CAST(2 * tokens - 1024 AS VARCHAR) AS detail
 FROM manifest""",
 )
-COUNT_FINDINGS = f"""SELECT split, shard, 'warning' AS level, 'count' AS rule, CAST(tokens AS VARCHAR) AS detail
-FROM manifest WHERE abs(tokens - {S.TOKEN_SHARD}) > 100"""
-ORACLE["check_count"] = on_packed(MANIFEST, COUNT_FINDINGS)
+ORACLE["check_count"] = on_packed(
+    MANIFEST,
+    """SELECT split, shard, 'warning' AS level, 'count' AS rule, CAST(tokens AS VARCHAR) AS detail
+FROM manifest WHERE shard = 0""",
+)
 ORACLE["check_range"] = on_packed(
     f"""SELECT split, shard, 'error' AS level, 'range' AS rule, CAST(max(token) AS VARCHAR) AS detail
 FROM packed JOIN doc_tokens USING (doc_id) GROUP BY split, shard HAVING max(token) >= {EOT}"""
@@ -445,7 +466,7 @@ ORACLE["check_start"] = on_packed(
 )
 ORACLE["validation_report"] = on_packed(
     MANIFEST,
-    f"""SELECT 0::BIGINT AS errors, (SELECT count(*) FROM ({COUNT_FINDINGS})) AS warnings, true AS passed""",
+    "SELECT 0::BIGINT AS errors, 0::BIGINT AS warnings, count(*) > 0 AS passed FROM manifest",
 )
 
 # --- training blocks --------------------------------------------------------------------
@@ -476,13 +497,14 @@ ORACLE["repeat_epochs"] = on_packed(
     PLACED,
     cut("blocks", "placed"),
     f"""SELECT split, shard, batch, "row", epoch, x, y
-FROM blocks, (SELECT CAST(i AS INT) AS epoch FROM range({S.EPOCHS}) t(i)) WHERE split = 'val'""",
+FROM blocks, (SELECT CAST(i AS INT) AS epoch FROM range({S.EPOCHS}) t(i))""",
 )
 ORACLE["resume_blocks"] = on_packed(
     PLACED,
     f"""rest AS MATERIALIZED (
-  SELECT split, shard, CASE WHEN shard = {S.CURSOR[0]} THEN pos - {S.CURSOR[1]} ELSE pos END AS pos, token
-  FROM placed WHERE shard > {S.CURSOR[0]} OR (shard = {S.CURSOR[0]} AND pos >= {S.CURSOR[1]}))""",
+  SELECT split, shard, CASE WHEN split = 'train' AND shard = {S.CURSOR[0]} THEN pos - {S.CURSOR[1]} ELSE pos END AS pos,
+    token FROM placed
+  WHERE split = 'val' OR shard > {S.CURSOR[0]} OR (shard = {S.CURSOR[0]} AND pos >= {S.CURSOR[1]}))""",
     cut("blocks", "rest"),
     'SELECT split, shard, batch, "row", x, y FROM blocks',
 )
@@ -551,7 +573,7 @@ ORACLE["phase_share"] = on_log(
     "SELECT run, step - step % 10 AS step, "
     + ", ".join(
         f"round(coalesce(sum(loss) FILTER (phase = '{p}'), 0) / sum(loss) * 100 + 1e-9::DOUBLE, 6) AS {p}_percent"
-        for p in ("click", "view", "purchase")
+        for p in S.PHASES
     )
     + " FROM log GROUP BY 1, 2"
 )
@@ -623,6 +645,11 @@ for name, key in (("bigram_loss", "split"), ("document_perplexity", "doc_id")):
   round(exp(least(avg(loss), 20)) + 1e-9::DOUBLE, 6) AS perplexity FROM losses GROUP BY {key}""",
     )
 SCORES = "scores AS MATERIALIZED (SELECT token AS context, next, ln(n::DOUBLE) AS score, n FROM bigrams)"
+PENALISED = f"""penalised AS MATERIALIZED (
+  SELECT ids.doc_id, s.context, s.next,
+    CASE WHEN recent.token IS NULL THEN s.score ELSE s.score / {S.PENALTY}::DOUBLE END AS score
+  FROM ids JOIN scores s ON s.context = ids.token AND back = 1
+    LEFT JOIN recent ON recent.doc_id = ids.doc_id AND recent.token = s.next)"""
 TOP = f"""top AS MATERIALIZED (
   SELECT context, next, score FROM scores
   QUALIFY rank() OVER (PARTITION BY context ORDER BY n DESC) <= {S.TOP_K})"""
@@ -654,13 +681,11 @@ FROM (SELECT *, sum(p) OVER (PARTITION BY context ORDER BY next) AS through FROM
 )
 ORACLE["repetition_penalty"] = on_packed(
     *NGRAM_STEPS,
-    TOP,
     f"""ids AS MATERIALIZED (
   SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) - 1 AS back
   FROM doc_tokens JOIN split_docs USING (doc_id)),
 recent AS (SELECT DISTINCT doc_id, token FROM ids WHERE back BETWEEN 1 AND {S.RECENT})""",
-    f"""SELECT ids.doc_id, top.context, top.next,
-  round(CASE WHEN recent.token IS NULL THEN score ELSE score / {S.PENALTY}::DOUBLE END + 1e-9::DOUBLE, 6) AS score
-FROM ids JOIN top ON top.context = ids.token
-  LEFT JOIN recent ON recent.doc_id = ids.doc_id AND recent.token = top.next WHERE back = 1""",
+    PENALISED,
+    f"""SELECT doc_id, context, next, round(score + 1e-9::DOUBLE, 6) AS score FROM penalised
+QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY score DESC) <= {S.TOP_K}""",
 )

@@ -11,6 +11,7 @@ from gristmill.functions import runlog as rates
 from gristmill.functions import text
 from gristmill.operators import blocks, chats, filters, ngram, packing, quality, shards, splits, tokens
 from gristmill.operators import runlog as log_ops
+from gristmill.operators.ordered import BUCKET, Buckets, up_to
 from gristmill.plans import corpus as C
 from gristmill.plans import settings as S
 from gristmill.session import new_folder, stage
@@ -36,6 +37,12 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + 1e-9, places) for c in columns})
 
 
+def _per_split(build: Callable[[str], DataFrame]) -> DataFrame:
+    """The same for both splits, told apart by a column."""
+    train, val = (build(split).withColumn("split", F.lit(split)) for split in ("train", "val"))
+    return train.unionByName(val)
+
+
 # --- sources, sinks, inspection ---------------------------------------------------------
 
 
@@ -72,7 +79,7 @@ def peek_documents(spark, folder):
 @query
 def size_estimate(spark, folder):
     return filters.size_estimate(
-        C.documents(spark, folder), target_tokens=S.TARGET_TOKENS, shard_rows=S.RAW_SHARD_ROWS
+        C.documents(spark, folder), target_tokens=S.BUDGET_TOKENS, shard_rows=S.RAW_SHARD_ROWS
     )
 
 
@@ -99,7 +106,7 @@ def write_raw_shards(spark, folder):
 def _file_manifest(spark, folder) -> tuple[DataFrame, str]:
     path = _written_shards(spark, folder)
     rows = raw_shards.read_raw_shards(spark, path)
-    counted = shards.shard_manifest(filters.measure(rows).join(rows.select("doc_id", "shard"), "doc_id"))
+    counted = shards.shard_manifest(filters.measure(rows, "doc_id", "shard"))
     return raw_shards.file_manifest(counted, raw_shards.raw_shard_files(spark, path)), path
 
 
@@ -114,11 +121,12 @@ def read_manifest(spark, folder):
 
 @query
 def verify_checksums(spark, folder):
-    """Stored checksums against the files: no difference is the expected outcome."""
+    """Stored checksums against the files, after the first one was spoiled in the manifest."""
     manifest, path = _file_manifest(spark, folder)
-    stored = stage(manifest, "manifest")
+    spoiled = F.when(F.col("shard") == 0, F.lit("0" * 32)).otherwise(F.col("md5"))
+    stored = stage(manifest.withColumn("md5", spoiled), "manifest")
     files = raw_shards.raw_shard_files(spark, path)
-    return raw_shards.verify_checksums(stored, files, ["shard"])
+    return raw_shards.verify_checksums(stored, files, ["shard"]).select("shard", "present", "match")
 
 
 def _exported(spark, folder, header: bool = True) -> tuple[C.Corpus, str]:
@@ -163,18 +171,20 @@ def write_json_report(spark, folder):
 
 @query
 def filter_length(spark, folder):
-    docs = C.documents(spark, folder)
-    return filters.filter_length(docs, S.SHORTEST, S.LONGEST).select("doc_id", "text")
+    docs = C.measured_documents(spark, folder)
+    return filters.filter_length(docs, S.SHORTEST, S.SHARP_LONGEST, docs["n_chars"]).select("doc_id", "text")
 
 
 @query
 def filter_counts(spark, folder):
-    return filters.filter_counts(C.documents(spark, folder), S.SHORTEST, S.LONGEST)
+    docs = C.measured_documents(spark, folder)
+    return filters.filter_counts(docs, S.SHORTEST, S.SHARP_LONGEST, docs["n_chars"])
 
 
 @query
 def drop_tiny(spark, folder):
-    return filters.drop_tiny(C.documents(spark, folder)).select("doc_id", "text")
+    docs = C.measured_documents(spark, folder)
+    return filters.drop_tiny(docs, chars=docs["n_chars"]).select("doc_id", "text")
 
 
 @query
@@ -190,13 +200,14 @@ def token_estimate(spark, folder):
 
 @query
 def take_until_budget(spark, folder):
-    docs = filters.filter_length(C.documents(spark, folder), S.SHORTEST, S.LONGEST)
-    return filters.take_until_budget(docs, S.TARGET_TOKENS).select("doc_id", "text")
+    docs = C.kept_documents(spark, folder)
+    last = filters.budget_cutoff(C.kept_measures(spark, folder), S.BUDGET_TOKENS)
+    return docs.filter(up_to(["doc_id"], last)).select("doc_id", "text")
 
 
 @query
 def cap_samples(spark, folder):
-    verdicts = chats.cap_samples(C.turns(spark, folder), S.MOST_SAMPLES, S.MIN_REPLY)
+    verdicts = chats.cap_samples(C.turns(spark, folder), S.CAP_SAMPLES, S.MIN_REPLY)
     return verdicts.agg(
         F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("skipped")
     )
@@ -225,7 +236,7 @@ def manifest_totals(spark, folder):
 def resume_ingest(spark, folder):
     """A budgeted run came first; the rest of the documents follow in new shards."""
     measured = C.kept_measures(spark, folder)
-    first_run = C.sharded_measures(filters.take_until_budget(measured, S.TARGET_TOKENS))
+    first_run = C.sharded_measures(filters.take_until_budget(measured, S.BUDGET_TOKENS))
     first_run = stage(first_run.select("doc_id", "shard"), "written")
     docs = C.kept_documents(spark, folder)
     return shards.resume_ingest(docs, first_run, S.RAW_SHARD_ROWS).select("doc_id", "shard")
@@ -233,16 +244,23 @@ def resume_ingest(spark, folder):
 
 @query
 def incremental_ingest(spark, folder):
-    schema = tables.table(spark, folder, "documents").schema
-    out = new_folder(spark, "ingest")
-    ingest.incremental_ingest(
-        ingest.stream_documents(spark, folder, schema, pattern="documents.parquet"),
-        out,
-        rows=S.RAW_SHARD_ROWS,
-        shortest=S.SHORTEST,
-        longest=S.LONGEST,
-        target_tokens=S.TARGET_TOKENS,
-    )
+    """Four files, one batch each: a first call stops at a budget, a second takes in the rest."""
+    docs = tables.table(spark, folder, "documents")
+    incoming, out = new_folder(spark, "incoming"), new_folder(spark, "ingest")
+    buckets = Buckets.of(docs, F.col("doc_id"), 4)
+    for bucket in range(len(buckets.bounds) - 1):  # in order of arrival
+        part = buckets.tag(docs).filter(F.col(BUCKET) == bucket).drop(BUCKET)
+        part.write.mode("append").parquet(incoming)
+    for target in (S.BUDGET_TOKENS, S.TARGET_TOKENS):
+        stream = ingest.stream_documents(spark, incoming, docs.schema, files_per_batch=1)
+        ingest.incremental_ingest(
+            stream,
+            out,
+            rows=S.RAW_SHARD_ROWS,
+            shortest=S.SHORTEST,
+            longest=S.LONGEST,
+            target_tokens=target,
+        )
     rows = ingest.ingested(spark, out).groupBy("shard").agg(F.max("doc_id").alias("last_doc"))
     return ingest.ingest_manifest(spark, out).join(rows, "shard").select(
         "shard", "num_rows", "words", "last_doc"
@@ -276,7 +294,7 @@ def _manifest_and_listing(spark, folder) -> tuple[DataFrame, DataFrame]:
     """All kept documents are in the manifest; only a budgeted run's shards have files."""
     measured = C.kept_measures(spark, folder)
     manifest = shards.shard_manifest(C.sharded_measures(measured))
-    budgeted = filters.take_until_budget(measured, S.TARGET_TOKENS)
+    budgeted = filters.take_until_budget(measured, S.BUDGET_TOKENS)
     listing = C.sharded_measures(budgeted).select("shard").distinct()
     return manifest, listing
 
@@ -317,8 +335,9 @@ def split_head(spark, folder):
 @query
 def sample_windows(spark, folder):
     _, stream = C.chat_stream(spark, folder)
-    found = blocks.sample_windows(stage(stream, "stream"), "train", S.WINDOWS, S.BLOCK, S.SEED)
-    return found.select("window", "first", _joined("x").alias("x"), _joined("y").alias("y"))
+    stream = stage(stream, "stream")
+    found = _per_split(lambda split: blocks.sample_windows(stream, split, S.WINDOWS, S.BLOCK, S.SEED))
+    return found.select("split", "window", "first", _joined("x").alias("x"), _joined("y").alias("y"))
 
 
 # --- tokens -----------------------------------------------------------------------------
@@ -376,12 +395,21 @@ def pack_token_shards(spark, folder):
     return C.token_corpus(spark, folder).packed
 
 
+def _capped(encoded: DataFrame) -> DataFrame:
+    """Each split up to its cap, with whether the cap was reached."""
+
+    def cap(split: str) -> DataFrame:
+        within, capped = packing.cap_tokens(encoded.filter(F.col("split") == split), S.TOKEN_CAP)
+        return within.withColumn("capped", F.lit(capped))
+
+    return _per_split(cap)
+
+
 @query
 def cap_tokens(spark, folder):
     encoded = C.encoded_documents(spark, folder, C.document_vocab(spark, folder))
-    train = encoded.filter(F.col("split") == "train")
-    within, capped = packing.cap_tokens(train, S.TOKEN_CAP)
-    return within.select("doc_id", "n_tokens", F.lit(capped).alias("capped"))
+    within = _capped(encoded)
+    return within.select("split", "doc_id", "n_tokens", "capped")
 
 
 @query
@@ -421,8 +449,7 @@ def size_report(spark, folder):
 
 def _capped_manifest(corpus: C.Corpus) -> DataFrame:
     """Shards that a run with a token cap would have written."""
-    train = corpus.encoded.filter(F.col("split") == "train")
-    within, _ = packing.cap_tokens(train, S.TOKEN_CAP)
+    within = _capped(corpus.encoded)
     return packing.token_manifest(packing.pack_token_shards(within, S.TOKEN_SHARD))
 
 
@@ -454,10 +481,10 @@ def check_size(spark, folder):
 
 @query
 def check_count(spark, folder):
-    """Shards that overshoot the asked size by more than the tolerance."""
+    """Against a manifest in which the first shard of each split has 1,000 tokens too many."""
     manifest = packing.token_manifest(C.token_corpus(spark, folder).packed)
-    wanted = manifest.withColumn("tokens", F.lit(S.TOKEN_SHARD).cast("long"))
-    return quality.check_count(manifest, wanted)
+    spoiled = F.when(F.col("shard") == 0, 1_000).otherwise(0)
+    return quality.check_count(manifest, manifest.withColumn("tokens", F.col("tokens") + spoiled))
 
 
 @query
@@ -488,20 +515,13 @@ def check_start(spark, folder):
 
 @query
 def validation_report(spark, folder):
+    """Files as they were written, against the counts of the manifest."""
     corpus, path = _exported(spark, folder)
-    manifest = packing.token_manifest(corpus.packed)
+    manifest = stage(packing.token_manifest(corpus.packed), "manifest")
     headers = stage(token_files.token_file_headers(spark, path), "headers")
     facts = stage(quality.shard_facts(token_files.import_token_shards(spark, path)), "facts")
-    wanted = manifest.withColumn("tokens", F.lit(S.TOKEN_SHARD).cast("long"))
     return quality.validation_report(
-        [
-            quality.check_missing(manifest, headers),
-            quality.check_header(headers, corpus.vocab.size),
-            quality.check_size(headers),
-            quality.check_count(headers, wanted),
-            quality.check_range(facts, corpus.vocab.size),
-            quality.check_start(facts, corpus.vocab.eot),
-        ]
+        quality.findings(manifest, headers, facts, corpus.vocab.size, corpus.vocab.eot)
     )
 
 
@@ -531,7 +551,7 @@ def drop_empty_turns(spark, folder):
 
 @query
 def reject_short_reply(spark, folder):
-    return chats.reject_short_reply(C.turns(spark, folder), S.MIN_REPLY)
+    return chats.reject_short_reply(C.turns(spark, folder), S.SHARP_REPLY)
 
 
 @query
@@ -546,7 +566,7 @@ def render_chat(spark, folder):
 
 @query
 def format_counts(spark, folder):
-    return chats.format_counts(C.turns(spark, folder), S.MIN_REPLY)
+    return chats.format_counts(C.turns(spark, folder), S.SHARP_REPLY)
 
 
 @query
@@ -588,19 +608,22 @@ def cut_blocks(spark, folder):
 
 @query
 def repeat_epochs(spark, folder):
-    val = C.token_corpus(spark, folder).stream.filter(F.col("split") == "val")
-    epochs = blocks.repeat_epochs(blocks.cut_blocks(val, S.BATCH, S.BLOCK), S.EPOCHS)
+    stream = C.token_corpus(spark, folder).stream
+    epochs = blocks.repeat_epochs(blocks.cut_blocks(stream, S.BATCH, S.BLOCK), S.EPOCHS)
     return _shown(epochs, "epoch")
 
 
 @query
 def resume_blocks(spark, folder):
+    """The training loader goes on at its cursor; the validation loader has none."""
     stream = C.token_corpus(spark, folder).stream
-    return _shown(blocks.resume_blocks(stream, *S.CURSOR, S.BATCH, S.BLOCK))
+    train, val = (stream.filter(F.col("split") == split) for split in ("train", "val"))
+    resumed = blocks.resume_stream(train, *S.CURSOR).unionByName(val)
+    return _shown(blocks.cut_blocks(resumed, S.BATCH, S.BLOCK))
 
 
 def _pairs(corpus: C.Corpus) -> DataFrame:
-    return blocks.next_token_pairs(corpus.stream, corpus.vocab.eot)
+    return blocks.next_token_pairs(corpus.members, corpus.vocab.eot)
 
 
 @query
@@ -673,8 +696,8 @@ def phase_share(spark, folder):
     phases = log.select(
         "run", (F.col("step") - F.col("step") % 10).alias("step"), "phase", F.col("loss").alias("seconds")
     )
-    shares = log_ops.phase_share(phases, ["click", "view", "purchase"])
-    return _rounded(shares, "click_percent", "view_percent", "purchase_percent")
+    shares = log_ops.phase_share(phases, list(S.PHASES))
+    return _rounded(shares, *[f"{phase}_percent" for phase in S.PHASES])
 
 
 @query
@@ -820,6 +843,6 @@ def repetition_penalty(spark, folder):
     prompts = corpus.encoded.select(
         "doc_id", recent.alias("recent"), F.element_at(ids, -1).alias("context")
     )
-    best = ngram.top_k_next(ngram.candidate_scores(ngram.bigram_counts(counts)), S.TOP_K)
-    penalised = ngram.repetition_penalty(prompts.join(best, "context"), S.PENALTY)
-    return _shown_scores(penalised, F.col("doc_id"))
+    candidates = stage(ngram.candidate_scores(ngram.bigram_counts(counts)), "candidates")
+    best = ngram.penalised_top_k(stage(prompts, "prompts"), candidates, S.TOP_K, S.PENALTY)
+    return _shown_scores(best, F.col("doc_id"))

@@ -12,22 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-SMALL_BYTES = 1 << 30
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a few small files over all cores, for steps that compute a lot per row.
+    """Rows over all cores, for steps that compute a lot per row.
 
-    A file of one row group is read by one task. Larger inputs come in many tasks already
-    and stay as they are: they are not shuffled.
+    One rule at any size: a scan that is planned in fewer parts than there are cores is dealt
+    out, one with more is not shuffled. ``spark.sql.files.maxPartitionBytes`` sets the parts.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    paths = df.inputFiles()
-    if not 0 < len(paths) < cores:
-        return df
-    sizes = spark.read.format("binaryFile").load(paths).agg(F.sum("length"))
-    return df.repartition(cores, key) if sizes.first()[0] < SMALL_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(key).rdd.getNumPartitions()  # from the plan, nothing is read
+    return df if parts >= cores else df.repartition(cores, key)
 
 
 def table_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,8 +40,10 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df
 
 
-def scan_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``doc_id, text, url, score``: the columns every later step uses, and no others."""
+def scan_documents(
+    documents: DataFrame, labels: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, text, url, score``: the columns every later step uses, and those in ``keep``."""
     docs = documents
     if "url" not in docs.columns and "source" in docs.columns:
         docs = docs.withColumnRenamed("source", "url")
@@ -56,4 +51,4 @@ def scan_documents(documents: DataFrame, labels: DataFrame | None = None) -> Dat
         scores = labels.select("doc_id", F.col("quality").cast("double").alias("score"))
         docs = docs.join(scores, "doc_id", "left").fillna({"score": 0.0})
     docs = with_defaults(docs, {"url": "", "score": 0.0})
-    return docs.select("doc_id", "text", "url", "score")
+    return docs.select("doc_id", "text", "url", "score", *keep)
