@@ -33,34 +33,37 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     are at most exp(7), about 1,100, times as many terms as a document has on average, however
     many documents there are: that bound is what allows the broadcast.
     """
-    counted = docs.select(F.explode(term_set(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    # The outer form keeps Spark from adding a filter that would match the pattern again.
+    listed = docs.select(F.explode_outer(term_set(F.col("text"))).alias("term")).filter("term IS NOT NULL")
+    counted = listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(float(docs.count())) / F.col("df"))
-    digest = F.sha2(F.col("term"), 256)
+    inside = stage(counted.filter(idf.between(*band)).select("term"), "band")
+    hashed = inside.withColumn("digest", F.sha2("term", 256))
     bits = [
         F.when(
-            F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("int") < (1 << (16 - k)), 1 << j
+            F.conv(F.substring("digest", 4 * j + 1, 4), 16, 10).cast("int") < (1 << (16 - k)), 1 << j
         ).otherwise(0)
         for j, k in enumerate(RATES)
     ]
-    return counted.filter(idf.between(*band)).select("term", sum(bits, F.lit(0)).alias("mask")).filter("mask > 0")
+    return hashed.select("term", sum(bits, F.lit(0)).alias("mask")).filter("mask > 0")
 
 
-def signatures(kept: Column) -> Column:
+def signatures(ordered: Column) -> Column:
     """Per lexicon, a hash of the sorted distinct terms it keeps; zeros if it keeps none.
 
-    ``kept`` is an array of (term, mask) structs.
+    ``ordered`` is a sorted array of (term, mask) structs. It is used once per lexicon, so it
+    should be a computed column, not an expression.
     """
-    ordered = F.sort_array(kept)
 
-    def signature(bit: int) -> Column:
+    def kept(bit: int) -> Column:
         mine = F.filter(ordered, lambda t: t["mask"].bitwiseAND(F.lit(bit)) != 0)
-        joined = F.array_join(F.transform(mine, lambda t: t["term"]), " ")
-        digest = F.substring(F.md5(joined.cast("binary")), 1, DIGITS)
-        return F.when(F.size(mine) > 0, digest).otherwise(EMPTY)
+        return F.array_join(F.transform(mine, lambda t: t["term"]), " ")
 
-    return F.array(*[signature(1 << j) for j in range(len(RATES))])
+    joined = F.array(*[kept(1 << j) for j in range(len(RATES))])
+    return F.transform(
+        joined,
+        lambda terms: F.when(terms == "", EMPTY).otherwise(F.substring(F.md5(terms.cast("binary")), 1, DIGITS)),
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -148,8 +151,8 @@ def fingerprint_pairs(docs: DataFrame, band: tuple[float, float] = BAND, bucket_
     term = F.struct("term", "mask")
     last = F.col("side") == 2
     gathered = found.groupBy(BUCKET, "at").agg(
-        F.collect_list(F.when(F.col("side") == 0, term)).alias("own"),
-        F.collect_list(F.when(F.col("side") == 1, term)).alias("other"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == 0, term))).alias("own"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == 1, term))).alias("other"),
         F.first(F.when(last, F.struct("extra", "doc_id", "n_chars", "sha")), ignorenulls=True).alias("doc"),
     )
     marked = gathered.select(
