@@ -61,7 +61,7 @@ def _reputation_sql() -> str:
         inside = f"""SELECT sum(CASE WHEN n > 0 THEN bad * bad / n - 2.0 * {mean} * bad + n * {mean} * {mean} END) AS spread,
           sum(CASE WHEN n > 0 THEN {mean} * (1.0 - {mean}) END) AS binomial,
           sum(CASE WHEN n > 0 THEN {mean} * (1.0 - {mean}) * (n - 1.0) END) AS more FROM {level}"""
-        return f"""SELECT 1.0::DOUBLE / greatest(0.001, least(0.9, coalesce(
+        return f"""SELECT 1.0::DOUBLE / greatest({u.RHO[0]}, least({u.RHO[1]}, coalesce(
           CASE WHEN more > 0 THEN (spread - binomial) / more ELSE 0.0 END, 0.0)))::DOUBLE - 1.0 AS k FROM ({inside})"""
 
     return rf"""

@@ -23,6 +23,8 @@ Z = 1.645
 MOST_BAD = 0.5
 # Pseudo-pages of the flat prior of the overall rate.
 FLAT = 1.0
+# Bounds of the correlation of a parent's children: a prior counts for 4 to 999 pages.
+RHO = (0.001, 0.2)
 
 
 def url_host(url: Column) -> Column:
@@ -67,7 +69,7 @@ def _strength(level: DataFrame, mean: str) -> DataFrame:
     binomial = F.sum(F.when(n > 0, m * (1.0 - m)))
     more = F.sum(F.when(n > 0, m * (1.0 - m) * (n - 1.0)))
     rho = F.when(more > 0, (spread - binomial) / more).otherwise(F.lit(0.0))
-    bounded = F.greatest(F.lit(0.001), F.least(F.lit(0.9), F.coalesce(rho, F.lit(0.0))))
+    bounded = F.greatest(F.lit(RHO[0]), F.least(F.lit(RHO[1]), F.coalesce(rho, F.lit(0.0))))
     return level.agg(bounded.alias("rho")).select((1.0 / F.col("rho") - 1.0).alias("strength"))
 
 
