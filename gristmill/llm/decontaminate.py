@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import letter_words
-from gristmill.operators.ordered import div
 from gristmill.session import stage
 
 # Five positions that must agree (1) among some that may differ (0).
@@ -68,14 +67,13 @@ def _overlaps(docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int)
         ),
     )
     size = F.least(F.size("b"), F.lit(window))
-    scored = aligned.select(
+    return aligned.select(
         "doc_id",
         "item_id",
         start.alias("start"),
         size.alias("compared"),
         _best_window(F.col("matches"), size).alias("matched"),
     )
-    return scored
 
 
 def find_contamination(
@@ -97,21 +95,21 @@ def find_contamination(
     The benchmark goes out in blocks of at most ``block_tokens`` tokens, counted beforehand, so
     what is broadcast is bounded; each further block is another pass over the documents.
     Items of the same tokens are one item, under the smallest id. Items of fewer tokens than the
-    shortest mask, null or empty texts and empty tables find nothing. Null ids are kept; rows
-    that repeat a doc_id give one row.
+    shortest mask, null or empty texts and empty tables find nothing. Null doc_ids are kept, a
+    null item_id is shown as -1; rows that repeat a doc_id give one row.
     """
     least = min(map(len, MASKS))
     tokens = benchmark.select("item_id", _tokens(F.col("text")).alias("b")).filter(F.size("b") >= least)
     items = tokens.groupBy("b").agg(F.min("item_id").alias("item_id"))
     items = items.withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
-    total = stage(items.withColumn("n", F.size("b")), "benchmark")
-    longest = total.agg(F.sum("n"), F.max("n")).first()
+    items = stage(items, "benchmark")
+    total = items.agg(F.sum(F.size("b"))).first()[0] or 0
     texts = docs.select("doc_id", _tokens(F.col("text")).alias("t"))
-    blocks = max(1, math.ceil((longest[0] or 0) / block_tokens))
+    blocks = max(1, math.ceil(total / block_tokens))
     number = F.pmod(F.xxhash64("b"), F.lit(blocks))
     parts = []
     for block in range(blocks):
-        some = total.filter(number == block).select("item_id", "b")
+        some = items.filter(number == block).select("item_id", "b")
         places = _placed(some, "b", "item_id")
         seeds = places.select(
             "item_id",

@@ -145,9 +145,8 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it, all columns kept.
 
-    Rows are matched by id, source and size, so repeated rows share their copies evenly: each
-    of n equal rows appears as often as the first of them, which the order makes the same up
-    to the last pass. Null ids and sources match null-safely.
+    Rows are matched with the plan by id, source and size, nulls included. Rows that repeat all
+    three each appear as often as the one of them that is taken most.
     """
     plan = mix(docs, **options)
     wanted = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
