@@ -1,7 +1,5 @@
 """Streams against their batch twins."""
 
-import random
-
 from pyspark.sql import functions as F
 
 from gristmill.session import new_folder
