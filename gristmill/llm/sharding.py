@@ -65,19 +65,22 @@ def shuffle_into_shards(
 
     totals = counted.groupBy(bucket(F.col("slot")).alias("bucket")).agg(F.sum("rows").alias("rows"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per bucket, and there are no more buckets than slots: that bounds the broadcast.
     places = stage(
         totals.select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("ahead")),
         "buckets",
     )
 
     whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    scattered = docs.select(bucket(slot).alias("bucket"), whole.alias("doc")).repartition(
-        buckets, "bucket"
+    # A bucket is a partition of its own, so a task holds one and its permutation depends on
+    # the seed and the bucket alone.
+    scattered = docs.select(bucket(slot).alias("bucket"), whole.alias("doc")).repartitionById(
+        buckets, F.col("bucket")
     )
     held = scattered.groupBy("bucket").agg(
         F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "doc.doc_id", "doc.text"), "doc"))).alias("all")
     )
-    permuted = held.join(places, "bucket").sortWithinPartitions("bucket").select(
+    permuted = held.join(F.broadcast(places), "bucket").select(
         "ahead", F.shuffle("all", seed).alias("all")
     )
     placed = permuted.select("ahead", F.posexplode("all").alias("at", "record")).select(
