@@ -17,6 +17,7 @@ from gristmill.session import stage
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 13
 SAMPLE_PER_LANGUAGE = 300
+SAMPLE_PARTS = 16
 HELD_OUT_FOLD = 2
 FOLDS = 4
 MIN_SCORE = 0.3
@@ -194,18 +195,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """``(lang, text)``: up to ``most`` different texts of each label, in hash order.
+    """``(lang, text)``: up to ``most`` different texts of each label, chosen by hash.
 
     Held-out rows, rows without id, label or text are left out. The choice looks at hashes of
-    whole texts; each label's rows are cut down before they are shuffled.
+    whole texts: each label is dealt into parts by hash, and the least hashes of each part are
+    taken, so that a label with most rows is not one task's work.
     """
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     ).filter(F.col("text").rlike(r"\p{L}"))
     hashed = usable.select("lang", "doc_id", F.xxhash64("text").alias("digest"))
     first = hashed.groupBy("lang", "digest").agg(F.min("doc_id").alias("doc_id"))
-    order = Window.partitionBy("lang").orderBy("digest")
-    chosen = first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
+    part = F.pmod(F.col("digest"), F.lit(SAMPLE_PARTS))
+    order = Window.partitionBy("lang", part).orderBy("digest")
+    share = max(1, most // SAMPLE_PARTS)
+    chosen = first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= share)
     chosen = stage(chosen.select("lang", "doc_id", "digest"), "sample").alias("chosen")
     rows = docs.alias("doc")
     same = (F.col("doc.doc_id") == F.col("chosen.doc_id")) & (
