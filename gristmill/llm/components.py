@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if seen[0] == 0:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MOST_ROUNDS):
-        spread = _large_star(now).filter("a != b").distinct()
+        spread = _large_star(now).filter("a != b")
         now = stage(_small_star(spread).filter("a != b").distinct(), "edges")
         mark = _mark(now)
         if mark == seen:

@@ -142,12 +142,17 @@ def links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
 
 
-def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
-    """``nodes`` with ``root``: the root of ``column`` in the graph, or itself outside of it."""
-    roots = connected_components(edges).select("node", F.col("root").alias("to"))
-    joined = nodes.join(roots, nodes[column] == roots["node"], "left")
-    kept = [nodes[c] for c in nodes.columns if c != "root"]
-    return joined.select(*kept, F.coalesce(roots["to"], nodes[column]).alias("root"))
+def labels(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``nodes`` with ``root``: the pivot's pivot, a fingerprint that is connected by stars.
+
+    Two steps bring a crowd of close copies to very few labels; they need not be the least.
+    """
+    least = stars(nodes.select("fp"), distance).groupBy("fp").agg(F.min("pivot").alias("pivot"))
+    least = stage(least, "pivots")
+    again = least.select(F.col("fp").alias("pivot"), F.col("pivot").alias("root"))
+    two = least.join(again, "pivot", "left").select("fp", F.coalesce("root", "pivot").alias("root"))
+    joined = nodes.join(two, "fp", "left")
+    return joined.withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -162,8 +167,11 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"three segments find at most {DISTANCE} differing bits")
     nodes = stage(nodes, "nodes")
-    labelled = stage(_rooted(nodes, "fp", stars(nodes.select("fp"), distance)), "stars")
-    rooted = stage(_rooted(labelled, "root", links(labelled, distance)), "roots")
+    labelled = stage(labels(nodes, distance), "labels")
+    ties = labelled.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(ties.unionByName(links(labelled, distance)))
+    rooted = labelled.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = stage(rooted.withColumn("root", F.coalesce("root", "fp")), "roots")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
