@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,9 +183,10 @@ class LicenceModel:
     anchors: list[str]
 
 
-def _features(grams: list[str]) -> Column:
-    seen = F.transform(_texts(grams), lambda g: F.when(F.array_contains(F.col("grams"), g), 1.0).otherwise(0.0))
-    return array_to_vector(seen)
+def _features(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """Add ``features``: which of the vocabulary's n-grams a row's words have."""
+    counter = CountVectorizerModel.from_vocabulary(grams, "grams", "features", binary=True)
+    return counter.transform(rows.withColumn("grams", _grams("words")))
 
 
 def train(docs: DataFrame, templates: DataFrame) -> LicenceModel:
@@ -196,13 +198,13 @@ def train(docs: DataFrame, templates: DataFrame) -> LicenceModel:
     probabilities, that of the unknown class among them.
     """
     plain = stage(plain_spans(docs), "licence-plain")
-    rows = training_rows(plain, templates).withColumn("grams", _grams("words"))
+    rows = training_rows(plain, templates)
     grams = sorted(r["g"] for r in templates.select(F.explode(_grams("words")).alias("g")).distinct().collect())
     families = [UNKNOWN, *sorted(r["family"] for r in templates.select("family").distinct().collect())]
     label = (F.array_position(_texts(families), F.col("family")) - 1).cast("double")
-    table = stage(rows.select("fold", label.alias("label"), "grams"), "licence-rows")
+    table = _features(rows.withColumn("label", label), grams)
     # A bounded table of short rows: one task passes over it faster than many could meet.
-    table = stage(table.select("fold", "label", _features(grams).alias("features")).coalesce(1), "licence-features")
+    table = stage(table.select("fold", "label", "features").coalesce(1), "licence-features")
     fit = LogisticRegression(
         family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=60, standardization=False
     )
@@ -227,36 +229,41 @@ def _probabilities(raw: Column, heat: float) -> Column:
 def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``(doc_id, line, at, family, probability, coverage)``: the licence notices of all texts.
 
-    All lines are read whole, in spans. A span without any screening word cannot cover a
-    template and is passed over; every other is scored by the classifier. A family is reported
-    if its calibrated probability, against unknown and all others, is at least
-    ``min_probability`` and the span has at least ``min_coverage`` of the words of one of its
-    templates. Of the spans of a line the best of each family is kept, ``at`` being its first
-    word's place in the line.
+    All lines are read whole, in spans. A family is reported if its calibrated probability,
+    against unknown and all others, is at least ``min_probability`` and the span has at least
+    ``min_coverage`` of the words of one of its templates. Both must hold, so the cheaper test
+    goes first: spans without any screening word, which cannot cover a template, are passed
+    over, then those that cover none; the classifier judges the rest. Of the spans of a line
+    the best of each family is kept, ``at`` being its first word's place in the line.
 
     Documents are not shuffled, only what is reported. Null or empty texts have no spans, null
     ids are kept, rows that repeat an id and a text give one row, and an empty table none.
     """
     templates = stage(template_rows(docs.sparkSession), "licence-templates")
     model = train(docs, templates)
-    screened = paragraphs(docs, screen=_texts(model.anchors))
-    candidates = screened.withColumn("grams", _grams("words")).withColumn("features", _features(model.grams))
-    raw = vector_to_array("rawPrediction")
-    judged = model.fitted.transform(candidates).select(
-        "doc_id", "line", "at", "words", _probabilities(raw, model.heat).alias("p")
+    by_family: dict[str, list[list[str]]] = {}
+    for row in templates.select("family", "words").collect():
+        by_family.setdefault(row["family"], []).append(row["words"])
+    covered = {
+        family: F.greatest(F.lit(0.0), *[_coverage(_texts(words), F.col("words")) for words in known])
+        for family, known in by_family.items()
+    }
+    spans = paragraphs(docs, screen=_texts(model.anchors))
+    spans = spans.filter(F.greatest(*covered.values()) >= min_coverage)
+    judged = model.fitted.transform(_features(spans, model.grams)).select(
+        "doc_id", "line", "at", "words", vector_to_array("rawPrediction").alias("raw")
     )
-    best = F.array_position("p", F.array_max("p")).cast("int")
+    # Written, or the plan would score a span again for every use of its scores.
+    judged = stage(judged, "licence-spans")
+    p = _probabilities(F.col("raw"), model.heat)
+    best = F.array_position("raw", F.array_max("raw")).cast("int")
     named = judged.select(
         "doc_id", "line", "at", "words",
-        F.element_at(_texts(model.families), best).alias("family"), F.array_max("p").alias("probability"),
+        F.element_at(_texts(model.families), best).alias("family"), F.array_max(p).alias("probability"),
     ).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= min_probability))
-    by_family = {}
-    for row in templates.select("family", "words").collect():
-        by_family.setdefault(row["family"], []).append(row["words"])
     coverage = F.lit(0.0)
-    for family, known in by_family.items():
-        covered = F.greatest(F.lit(0.0), *[_coverage(_texts(words), F.col("words")) for words in known])
-        coverage = F.when(F.col("family") == family, covered).otherwise(coverage)
+    for family, share in covered.items():
+        coverage = F.when(F.col("family") == family, share).otherwise(coverage)
     confirmed = named.withColumn("coverage", coverage).filter(F.col("coverage") >= min_coverage)
     kept = confirmed.groupBy("doc_id", "line", "family").agg(
         F.max(F.struct("coverage", "probability", (-F.col("at")).alias("early"))).alias("best")
