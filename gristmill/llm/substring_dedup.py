@@ -30,8 +30,26 @@ def _digest(words: list[str]) -> tuple[int, int]:
     return int.from_bytes(found[:8], "big", signed=True), int.from_bytes(found[8:], "big", signed=True)
 
 
-def units_of(text: str, line_words: int, clause_words: int) -> Iterator[tuple]:
-    """``(unit, line_at, start, n_chars, d1, d2)`` of a text, in order, in one scan."""
+def _runs(sizes: list[int], least: int) -> set[tuple[int, int]]:
+    """First and last clause of the shortest runs of at least ``least`` words that begin or end
+    at a shorter clause."""
+    found = set()
+    for k, size in enumerate(sizes):
+        if size >= least:
+            continue
+        for step in (1, -1):
+            total, at = size, k
+            while total < least and 0 <= at + step < len(sizes):
+                at += step
+                total += sizes[at]
+            if total >= least:
+                found.add((min(k, at), max(k, at)))
+    return found
+
+
+def units_of(text: str, line_words: int, clause_words: int, runs: bool = False) -> Iterator[tuple]:
+    """``(unit, line_at, start, n_chars, d1, d2)`` of a text, in one scan; with ``runs`` also
+    neighbouring clauses taken together where one of them is too short to be a unit."""
     at = 0
     for line in text.split("\n"):
         clauses = list(CLAUSE.finditer(line))
@@ -44,10 +62,15 @@ def units_of(text: str, line_words: int, clause_words: int) -> Iterator[tuple]:
             for clause, some in zip(clauses, words, strict=True):
                 if len(some) >= clause_words:
                     yield "clause", at, at + clause.start(), len(clause.group()), *_digest(some)
+            for a, b in sorted(_runs(list(map(len, words)), clause_words)) if runs else ():
+                start, end = clauses[a].start(), clauses[b].end()
+                yield "run", at, at + start, end - start, *_digest([w for some in words[a : b + 1] for w in some])
         at += len(line) + 1
 
 
-def units(docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS) -> DataFrame:
+def units(
+    docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS, runs: bool = False
+) -> DataFrame:
     """``(doc_id, unit, line_at, start, n_chars, d1, d2)``: the units of every whole text.
 
     Units are lines of at least ``line_words`` words and, inside lines, clauses of at least
@@ -61,7 +84,7 @@ def units(docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLA
         rows = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for unit in units_of(text, line_words, clause_words):
+                for unit in units_of(text, line_words, clause_words, runs):
                     rows.append((doc_id, *unit))
                     if len(rows) >= FLUSH:
                         yield pd.DataFrame(rows, columns=names)
@@ -72,18 +95,21 @@ def units(docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLA
     return known.select("doc_id", "text").mapInPandas(cut, SCHEMA)
 
 
-def find_repeats(docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS, runs: bool = False
+) -> DataFrame:
     """``(doc_id, start, n_chars, unit, kept_doc_id, kept_start)``: the units to take out.
 
     Of all occurrences of a unit in the corpus the first by (doc_id, start) is kept. A clause
-    is left out where its whole line goes. Offsets are those of the original text.
+    is left out where its whole line goes. Offsets are those of the original text. With ``runs``
+    a clause too short to be a unit is reported within runs of neighbours, which may overlap.
 
     Digests are grouped with partial minima, so a unit that a third of all rows share is a row
     per task; occurrences move once, as a few numbers, and the join on the digest is one that
     adaptive execution splits. Null texts and null ids have no units to remove: without an id
     there is no rank. Rows that repeat id and text are one document. Empty tables give no row.
     """
-    found = stage(units(docs, line_words, clause_words), "units")
+    found = stage(units(docs, line_words, clause_words, runs), "units")
     first = found.groupBy("d1", "d2").agg(
         F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1").drop("n")
@@ -108,8 +134,12 @@ def find_repeats(docs: DataFrame, line_words: int = LINE_WORDS, clause_words: in
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text``; other columns and rows as they are."""
-    spans = find_repeats(docs, **options).groupBy("doc_id").agg(
+    """``docs`` with the repeated units cut out of ``text``; other columns and rows as they are.
+
+    Short clauses go with the repeated runs they lie in, so a repeated passage inside a line has
+    no holes. What is cut has an earlier occurrence that stays or points to one still earlier.
+    """
+    spans = find_repeats(docs, **{"runs": True} | options).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "n_chars"))).alias("spans")
     )
     rows = docs.alias("doc").join(spans.alias("cut"), F.col("doc.doc_id") == F.col("cut.doc_id"), "left")
@@ -117,8 +147,11 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
         "cut.spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.struct(
-            F.concat(a["text"], F.substring(F.col("doc.text"), a["at"] + 1, s["start"] - a["at"])).alias("text"),
-            (s["start"] + s["n_chars"]).alias("at"),
+            F.concat(
+                a["text"],
+                F.substring(F.col("doc.text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))),
+            ).alias("text"),
+            F.greatest(s["start"] + s["n_chars"], a["at"]).alias("at"),
         ),
         lambda a: F.concat(a["text"], F.substring(F.col("doc.text"), a["at"] + 1, F.length("doc.text"))),
     )

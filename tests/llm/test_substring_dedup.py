@@ -97,3 +97,17 @@ def test_long_text_and_empty_table(spark, documents):
     assert dedup.find_repeats(documents([(1, long), (2, long)])).count() == 20_000
     assert dedup.find_repeats(documents([])).count() == 0
     assert dedup.remove_repeats(documents([])).count() == 0
+
+
+def test_a_passage_with_short_clauses_goes_whole(spark, documents):
+    passage = (
+        "first there are some words here, short one, then a second clause of seven words. Yes. No, not now: "
+        "the third of them is long enough again, but, as said, it ends with this last long clause."
+    )
+    rows = [
+        (1, "Unlike begin of it; " + passage + " And an end."),
+        (4, "Yes. Another text, short one, that shares no run with the first."),
+        (9, "Other begin that differs. " + passage + " Other end."),
+    ]
+    cleaned = {r.doc_id: r.text for r in dedup.remove_repeats(documents(rows)).collect()}
+    assert cleaned == dict(rows) | {9: "Other begin that differs. Other end."}
