@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MARKS = re.compile(r"[.,;:!?。，、；：！？…]")
 NAMES = re.compile(r"[a-z]+")
+NAME_TOKENS = re.compile(r"\S+")
 
 # Elements of HTML, by what they do to the text around them.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "math"}
@@ -54,6 +56,7 @@ ASIDE_NAMES = {
     "subscribe", "share", "social", "related", "recommended", "widget", "pagination", "pager", "login", "masthead",
 }
 ARTICLE = {"article", "main"}
+SECTIONS = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,7 @@ class Block:
     text: str
     linked: int
     aside: bool
+    opened: tuple[int, ...]
 
 
 @dataclass
@@ -71,6 +75,7 @@ class _Open:
     tag: str
     label: str
     aside: bool
+    number: int = 0
 
 
 def _element(tag: str, attributes: str, inside_article: bool) -> _Open:
@@ -78,7 +83,9 @@ def _element(tag: str, attributes: str, inside_article: bool) -> _Open:
     found = {}
     for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         found.setdefault(name.lower(), html.unescape(next(filter(None, values), "")).lower())
-    names = set(NAMES.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    # An article's own section "related-work" is text: there, only a whole class or id is a name.
+    whole = inside_article and tag in SECTIONS
+    names = set((NAME_TOKENS if whole else NAMES).findall(f"{found.get('class', '')} {found.get('id', '')}"))
     aside = (
         tag in ASIDE
         or (tag == "header" and not inside_article)
@@ -102,7 +109,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(tuple(o.label for o in stack), text, linked, any(o.aside for o in stack)))
+            path, opened = tuple(o.label for o in stack), tuple(o.number for o in stack)
+            out.append(Block(path, text, linked, any(o.aside for o in stack), opened))
         pieces.clear()
         linked = 0
 
@@ -147,6 +155,7 @@ def blocks_of(page: str) -> list[Block]:
                     close(*CLOSES[tag])
                 inside = any(o.tag in ARTICLE for o in stack)
                 stack.append(_element(tag, found["attributes"], inside))
+                stack[-1].number = at
     flush()
     return out
 
@@ -182,7 +191,8 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     Of the other blocks, text length and punctuation are summed per root-to-leaf tag path, the
     ratios fused and smoothed along the page, and paths whose mean reaches ``threshold`` times
     the best one are content. If content lies in an article or main element, its other blocks,
-    such as headings and lists, belong to it as well, and what lies outside does not.
+    such as headings and lists, belong to it as well, and what lies outside does not. Otherwise
+    the innermost element that holds all content blocks counts as the article, with all it holds.
     """
     blocks = [b for b in blocks_of(page or "") if not b.aside]
     if not blocks:
@@ -210,7 +220,11 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     if held:
         chosen = [b for b in blocks if container(b.path) in held]
     else:
-        chosen = [b for b in blocks if b.path in content]
+        inner = [b.opened for b in blocks if b.path in content]
+        depth = len(os.path.commonprefix([min(inner), max(inner)]))
+        # A single block's own element holds only itself; its lists and headings are around it.
+        depth = min(depth, len(inner[0]) - 1 if len(set(inner)) == 1 else depth)
+        chosen = [b for b in blocks if b.opened[: max(depth, 0)] == inner[0][: max(depth, 0)]]
     return "\n\n".join(b.text for b in chosen)
 
 

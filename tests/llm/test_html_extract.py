@@ -59,3 +59,29 @@ def test_long_and_hostile_pages_are_linear():
     assert main_text(long).count("\n\n") == 4999
     assert main_text("<" * 100_000) == "<" * 100_000
     assert main_text("<a b='" * 3_000).startswith("<a b='")
+
+
+PARAGRAPH = "<p>" + ("word " * 39 + "end. ") * 4 + "</p>"
+
+
+@pytest.mark.parametrize("items", [8, 20, 60])
+def test_lists_and_tables_between_paragraphs_stay_without_an_article_element(items):
+    inner = {
+        "list": "<ul>" + "<li>twelve chars</li>" * items + "</ul>",
+        "links": "<ul>" + "<li><a href='x'>twelve chars</a></li>" * items + "</ul>",
+        "table": "<table>" + "<tr><td>12</td><td>7</td></tr>" * items + "</table>",
+    }
+    for kind, markup in inner.items():
+        page = f"<body><nav><a href='/'>Home</a></nav><div>{PARAGRAPH * 8}{markup}{PARAGRAPH * 8}</div><footer>f</footer></body>"
+        blocks = main_text(page).split("\n\n")
+        assert len(blocks) == 16 + items * (2 if kind == "table" else 1), kind
+        assert "Home" not in blocks and "f" not in blocks
+
+
+def test_sections_and_headings_of_an_article_are_named_by_whole_tokens_only():
+    page = (
+        f"<article><section id='related-work'><h2 id='social-effects'>Effects</h2><p>{LONG}</p></section>"
+        f"<h3 class='new share-holders'>Holders</h3><div class='share-box'>share it</div>"
+        f"<section class='x comments'><p>{LONG}</p></section></article>"
+    )
+    assert main_text(page) == f"Effects\n\n{LONG}\n\nHolders"
