@@ -109,6 +109,40 @@ def paragraphs(
     return spans.filter(has(F.col("words")))
 
 
+def wrapped_spans(docs: DataFrame, screen: Column, span: int = SPAN, stride: int = STRIDE) -> DataFrame:
+    """``(doc_id, mark, line, at, last, words)``: spans over the line ends of paragraphs.
+
+    A paragraph is neighbouring lines with words, so comment marks neither count nor end it. A
+    span begins every ``stride`` words of a line, where it reaches beyond the line, and ends
+    after ``span`` words or with the paragraph, in line ``last``; spans that have none of the
+    words of ``screen`` are left out.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), letter_words)
+    cut = docs.select("doc_id", mark, lines.alias("lines"))
+
+    def spans_of(line: Column) -> Column:
+        near = F.slice("lines", line + 1, F.lit(span + 1))
+        blank = F.array_position(F.transform(near, F.size), 0).cast("int")
+        part = F.slice(near, F.lit(1), F.when(blank > 0, blank - 1).otherwise(F.lit(span + 1)))
+        placed = F.flatten(
+            F.transform(part, lambda ws, k: F.transform(ws, lambda w: F.struct((line + k).alias("line"), w.alias("w"))))
+        )
+        own = F.size(F.get("lines", line))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(own - 1, F.lit(0)), F.lit(stride)), lambda s: s + span > own)
+        return F.transform(
+            F.when(F.size(part) > 1, starts).otherwise(F.array().cast("array<int>")),
+            lambda s: F.struct(line.alias("line"), s.alias("at"), F.slice(placed, s + 1, F.lit(span)).alias("placed")),
+        )
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), spans_of))
+    listed = cut.select("doc_id", "mark", F.explode(every).alias("s"))
+    spans = listed.select(
+        "doc_id", "mark", "s.line", "s.at", F.element_at("s.placed.line", -1).alias("last"), F.col("s.placed.w").alias("words")
+    )
+    return spans.filter(F.arrays_overlap("words", screen))
+
+
 def _grams(words: str) -> Column:
     """Distinct words and pairs of neighbouring words."""
     first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
@@ -248,27 +282,49 @@ def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage
         family: F.greatest(F.lit(0.0), *[_coverage(_texts(words), F.col("words")) for words in known])
         for family, known in by_family.items()
     }
-    spans = paragraphs(docs, screen=_texts(model.anchors))
+    marked = docs.select("doc_id", "text")
+    screen = _texts(model.anchors)
+    single = paragraphs(marked, screen=screen).select(
+        "doc_id", F.lit(None).cast("long").alias("mark"), "line", "at", F.col("line").alias("last"), "words"
+    )
+    spans = single.unionByName(wrapped_spans(marked, screen))
     spans = spans.filter(F.greatest(*covered.values()) >= min_coverage)
     judged = model.fitted.transform(_features(spans, model.grams)).select(
-        "doc_id", "line", "at", "words", vector_to_array("rawPrediction").alias("raw")
+        "doc_id", "mark", "line", "at", "last", "words", vector_to_array("rawPrediction").alias("raw")
     )
     # Written, or the plan would score a span again for every use of its scores.
     judged = stage(judged, "licence-spans")
     p = _probabilities(F.col("raw"), model.heat)
     best = F.array_position("raw", F.array_max("raw")).cast("int")
     named = judged.select(
-        "doc_id", "line", "at", "words",
+        "doc_id", "mark", "line", "at", "last", "words",
         F.element_at(_texts(model.families), best).alias("family"), F.array_max(p).alias("probability"),
     ).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= min_probability))
     coverage = F.lit(0.0)
     for family, share in covered.items():
         coverage = F.when(F.col("family") == family, share).otherwise(coverage)
     confirmed = named.withColumn("coverage", coverage).filter(F.col("coverage") >= min_coverage)
-    kept = confirmed.groupBy("doc_id", "line", "family").agg(
-        F.max(F.struct("coverage", "probability", (-F.col("at")).alias("early"))).alias("best")
-    )
-    return kept.select(
+    best = F.max(F.struct("coverage", "probability", (-F.col("at")).alias("early"), "last")).alias("best")
+    # Single lines have no mark: rows of one id and line are judged together, as one notice.
+    found = confirmed.groupBy("doc_id", "mark", "line", "family").agg(best)
+    return _without_overlaps(found).select(
         "doc_id", "line", (-F.col("best.early")).alias("at"), "family",
         F.col("best.probability").alias("probability"), F.col("best.coverage").alias("coverage"),
     )
+
+
+def _without_overlaps(found: DataFrame) -> DataFrame:
+    """All notices of single lines, and of wrapped ones the best where several spans overlap."""
+    span = F.struct(
+        F.col("mark").isNotNull().alias("wrapped"), (-F.col("best.coverage")).alias("c"),
+        (-F.col("best.probability")).alias("p"), "line", "best", "mark",
+    )
+    listed = found.groupBy("doc_id", "family").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+
+    def add(taken: Column, s: Column) -> Column:
+        meets = F.exists(taken, lambda t: (t["line"] <= s["best"]["last"]) & (s["line"] <= t["best"]["last"])
+                         & (t["mark"].isNull() | (t["mark"] == s["mark"])))
+        return F.when(s["wrapped"] & meets, taken).otherwise(F.concat(taken, F.array(s)))
+
+    chosen = F.aggregate("spans", F.slice("spans", F.lit(1), F.lit(0)), add)
+    return listed.select("doc_id", "family", F.explode(chosen).alias("s")).select("doc_id", "family", "s.line", "s.best")

@@ -68,3 +68,22 @@ def test_lines_of_the_test_data(spark, name):
     expected = {r.doc_id for r in docs.collect() if marks[name] in r.text}
     found = license_scan.scan(docs).filter(f"family = '{name}'").collect()
     assert {r.doc_id for r in found} == expected
+
+
+def test_wrapped_headers_are_found(spark, documents):
+    headers = {
+        "mit": " * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and"
+        " associated documentation files (the\n * \"Software\"), to deal in the Software without restriction",
+        "bsd": "# Redistribution and use in source and binary forms, with or\n# without modification, are permitted"
+        " provided that the\n# following conditions are met:",
+        "apache": "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file"
+        " except in compliance with the License.\n// You may obtain a copy of the License at",
+        "gpl": " This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU"
+        " General Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n"
+        " (at your option) any later version.",
+    }
+    docs = [(i, f"{PLAIN[0]}\n *\n{text}\n\n{PLAIN[1]}") for i, text in enumerate(headers.values())]
+    docs += [(20 + i, f"{PLAIN[i % 3]}\n{PLAIN[(i + 1) % 3]} {i}") for i in range(40)]
+    found = license_scan.scan(documents(docs)).collect()
+    assert {(r.doc_id, r.family) for r in found} == set(enumerate(headers))
+    assert len({(r.doc_id, r.line) for r in found}) >= 4 and all(2 <= r.line <= 4 for r in found)
