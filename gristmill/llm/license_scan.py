@@ -119,7 +119,9 @@ def wrapped_spans(docs: DataFrame, screen: Column, span: int = SPAN, stride: int
     """
     mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), letter_words)
-    cut = docs.select("doc_id", mark, lines.alias("lines"))
+    # A text without any of the words has no span to look for.
+    some = docs.filter(F.arrays_overlap(letter_words(F.col("text")), screen))
+    cut = some.select("doc_id", mark, lines.alias("lines"))
 
     def spans_of(line: Column) -> Column:
         near = F.slice("lines", line + 1, F.lit(span + 1))
