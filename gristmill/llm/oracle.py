@@ -6,7 +6,7 @@ permutations are beyond it; those queries are tested against brute force.
 
 from __future__ import annotations
 
-from gristmill.llm import decontaminate, imatch, mixing, substring_dedup, url_reputation
+from gristmill.llm import decontaminate, filter_audit, imatch, line_dedup, mixing, substring_dedup, url_reputation
 
 ORACLE: dict[str, str] = {}
 LETTERS = r"[\p{L}\p{N}]+"
@@ -241,3 +241,71 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, round(target, 6) AS target, (size * coalesce(copies, 0))::BIGINT AS taken
 FROM queues LEFT JOIN taken USING (id)
 """
+
+# Which of several texts without an id keeps a line follows Spark's hash of the text; everything
+# else is stated here.
+ORACLE["op11_line_dedup"] = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT id, doc_id, CASE WHEN doc_id IS NULL THEN text END AS own,
+         unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM texts
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS last FROM (SELECT DISTINCT key, doc_id, own FROM keyed)
+  WHERE length(key) >= {line_dedup.LEAST_POINTS} GROUP BY key HAVING count(*) >= {line_dedup.LEAST_DOCS}
+), judged AS (
+  SELECT id, doc_id, pos, line, last IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone
+  FROM keyed LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY id, doc_id
+"""
+
+ORACLE["op12_filter_audit"] = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), named AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < {filter_audit.LEAST_WORDS} THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < {filter_audit.DISTINCT_PERCENT} * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.CAPITAL_PERCENT} * length(text)
+       THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '{filter_audit.SYMBOLS}') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM texts LEFT JOIN named USING (doc_id)
+), counted AS (
+  SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS l, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), met AS (
+  SELECT *, contains(fails, l) AS failed_here,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda f: contains(fails, f) AND contains(earlier, f))) > 0 AS gone
+  FROM counted, steps
+), summed AS (
+  SELECT part, filter_order, step, l,
+    coalesce(sum(docs) FILTER (NOT gone AND NOT failed_here), 0)::BIGINT AS kept,
+    coalesce(sum(docs) FILTER (NOT gone AND failed_here), 0)::BIGINT AS removed,
+    coalesce(sum(docs) FILTER (gone AND failed_here), 0)::BIGINT AS redundant,
+    coalesce(sum(docs) FILTER (fails = l), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND failed_here), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND failed_here), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, l
+)
+SELECT * EXCLUDE (l), (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley FROM summed
+"""

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters."""
+"""The operators as queries over the given tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gristmill.llm import (
     decontaminate,
+    filter_audit,
     html_extract,
     imatch,
     language_id,
     license_scan,
+    line_dedup,
     mixing,
     sharding,
     simhash,
     substring_dedup,
     url_reputation,
+    vector_codes,
 )
 from gristmill.llm.common import table
 
@@ -104,4 +107,23 @@ def op10_sharding(spark, folder):
     return sharding.shard_rows(table(spark, folder, "documents"))
 
 
+@query
+def op11_line_dedup(spark, folder):
+    return line_dedup.line_report(line_dedup.dedup_lines(table(spark, folder, "documents")))
+
+
+@query
+def op12_filter_audit(spark, folder):
+    failed = filter_audit.failures(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(failed)
+
+
+@query
+def op13_vector_codes(spark, folder):
+    codec = vector_codes.compress(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(codec.codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(codec.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
