@@ -35,6 +35,36 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_mark(text: Column) -> Column:
+    """128 bits of a text; with the id it names a row whose id others repeat or lack."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def whole_rows(docs: DataFrame, *keys: str) -> DataFrame:
+    """``(row, doc_id, *keys, mark)``: rows as one value, so that no name can clash."""
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    return docs.select(row, "doc_id", *keys, text_mark(F.col("text")).alias("mark"))
+
+
+def one_of_each(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` lets stay, one of rows that repeat id and text.
+
+    ``judged`` is a written table ``(doc_id, mark, n, stays)``, a row per id and text of
+    ``docs``. Only rows that stay and are repeated are grouped, with partial aggregates.
+    """
+
+    def among(rows: DataFrame, named: DataFrame, kind: str) -> DataFrame:
+        same = F.col("doc.doc_id").eqNullSafe(F.col("named.doc_id")) & (F.col("doc.mark") == F.col("named.mark"))
+        return rows.alias("doc").join(named.alias("named"), same, kind)
+
+    kept = among(whole_rows(docs), judged.filter("NOT stays"), "left_anti")
+    again = judged.filter("stays AND n > 1")
+    if not again.isEmpty():
+        several = among(kept, again, "left_semi").dropDuplicates(["doc_id", "mark"])
+        kept = among(kept, again, "left_anti").unionByName(several)
+    return kept.select("row.*")
+
+
 def even_buckets(position: Column, low: float, high: float, count: int) -> Buckets:
     """``count`` equally wide buckets over ``low..high`` and one more on either side."""
     step = (high - low) / max(count, 1)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import letter_words
+from gristmill.llm.common import letter_words, text_mark
 from gristmill.session import stage
 
 # Five positions that must agree (1) among some that may differ (0).
@@ -44,15 +44,15 @@ def _best_window(matches: Column, size: Column) -> Column:
     return F.array_max(sums)
 
 
-def _overlaps(docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _overlaps(docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int, keys: tuple[str, ...]) -> DataFrame:
     """Verified overlaps of all documents with one block of the benchmark.
 
     One pass and no shuffle of documents: token places exist only inside a generated loop, the
     two broadcast look-ups keep those that hit, and the aligned positions are compared there.
     """
-    placed = _placed(docs, "t", "doc_id")
+    placed = _placed(docs, "t", *keys)
     hits = placed.select(
-        "doc_id",
+        *keys,
         "t",
         "t_at",
         F.explode(F.array(*[_seed("t", F.col("t_at"), m, n) for n, m in enumerate(MASKS)])).alias("seed"),
@@ -68,7 +68,7 @@ def _overlaps(docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int)
     )
     size = F.least(F.size("b"), F.lit(window))
     return aligned.select(
-        "doc_id",
+        *keys,
         "item_id",
         start.alias("start"),
         size.alias("compared"),
@@ -82,8 +82,11 @@ def find_contamination(
     window: int = WINDOW,
     similarity: float = SIMILARITY,
     block_tokens: int = BLOCK_TOKENS,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """``(doc_id, item_id, start, matched, compared, similarity)``: overlaps with a benchmark.
+    """``(*keys, item_id, start, matched, compared, similarity)``: overlaps with a benchmark.
+
+    ``keys`` are the columns that name a document.
 
     Texts are read whole as lower-cased runs of letters and digits. Every place of a document
     and of a benchmark item is hashed under each of three fixed masks; a shared hash fixes an
@@ -104,7 +107,7 @@ def find_contamination(
     items = items.withColumn("item_id", F.coalesce("item_id", F.lit(-1)))
     items = stage(items, "benchmark")
     total = items.agg(F.sum(F.size("b"))).first()[0] or 0
-    texts = docs.select("doc_id", _tokens(F.col("text")).alias("t"))
+    texts = docs.select(*keys, _tokens(F.col("text")).alias("t"))
     blocks = max(1, math.ceil(total / block_tokens))
     number = F.pmod(F.xxhash64("b"), F.lit(blocks))
     parts = []
@@ -116,14 +119,14 @@ def find_contamination(
             "b_at",
             F.explode(F.array(*[_seed("b", F.col("b_at"), m, n) for n, m in enumerate(MASKS)])).alias("seed"),
         ).filter("seed IS NOT NULL")
-        parts.append(_overlaps(texts, seeds, some, window))
+        parts.append(_overlaps(texts, seeds, some, window, keys))
     scored = reduce(DataFrame.unionByName, parts)
     enough = F.col("matched") >= F.ceil(F.col("compared") * F.lit(similarity) - F.lit(1e-9))
-    best = scored.filter(enough).groupBy("doc_id", "item_id").agg(
+    best = scored.filter(enough).groupBy(*keys, "item_id").agg(
         F.max(F.struct("matched", (-F.col("start")).alias("early"), "compared")).alias("best")
     )
     return best.select(
-        "doc_id",
+        *keys,
         "item_id",
         (-F.col("best.early")).alias("start"),
         F.col("best.matched").alias("matched"),
@@ -135,10 +138,13 @@ def find_contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; all columns kept.
 
-    The ids that are found are a narrow written table. Rows with a null doc_id are judged
-    together: if one of them is contaminated, all go.
+    Documents are named by id and text, so neither another text under the id of a contaminated
+    one nor another text without an id goes with it. What is found is a narrow written table.
     """
-    found = find_contamination(docs, benchmark, **options).select("doc_id").distinct()
-    gone = stage(found, "contaminated").alias("gone")
-    rows = docs.alias("all")
-    return rows.join(gone, F.col("all.doc_id").eqNullSafe(F.col("gone.doc_id")), "left_anti")
+    marked = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
+    found = find_contamination(marked, benchmark, keys=("doc_id", "mark"), **options)
+    gone = stage(found.select("doc_id", "mark").distinct(), "contaminated").alias("gone")
+    same = F.col("all.doc_id").eqNullSafe(F.col("gone.doc_id")) & (
+        text_mark(F.col("all.text")) == F.col("gone.mark")
+    )
+    return docs.alias("all").join(gone, same, "left_anti")

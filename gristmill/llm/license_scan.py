@@ -88,22 +88,26 @@ def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]] = T
 
 
 def paragraphs(
-    docs: DataFrame, span: int = SPAN, stride: int = STRIDE, screen: Column | None = None
+    docs: DataFrame,
+    span: int = SPAN,
+    stride: int = STRIDE,
+    screen: Column | None = None,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """``(doc_id, line, at, words)``: the lines of whole texts, long ones in overlapping spans.
+    """``(*keys, line, at, words)``: the lines of whole texts, long ones in overlapping spans.
 
     ``line`` counts from 0 and ``at`` is the first word's place in its line. Every word is in a
     span, every run of ``stride`` words wholly in one. Lines without a word are left out, with
     ``screen`` also spans that have none of its words.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "part"))
-    cut = lines.select("doc_id", "line", letter_words(F.col("part")).alias("words"))
+    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "part"))
+    cut = lines.select(*keys, "line", letter_words(F.col("part")).alias("words"))
     has = lambda words: F.arrays_overlap(words, screen) if screen is not None else F.size(words) > 0
     cut = cut.filter(has(F.col("words")))
     steps = F.ceil(F.greatest(F.size("words") - span, F.lit(0)) / F.lit(stride)).cast("int")
-    placed = cut.select("doc_id", "line", "words", F.explode(F.sequence(F.lit(0), steps)).alias("step"))
+    placed = cut.select(*keys, "line", "words", F.explode(F.sequence(F.lit(0), steps)).alias("step"))
     spans = placed.select(
-        "doc_id", "line", (F.col("step") * stride).alias("at"),
+        *keys, "line", (F.col("step") * stride).alias("at"),
         F.slice("words", F.col("step") * stride + 1, F.lit(span)).alias("words"),
     )
     return spans.filter(has(F.col("words")))
@@ -117,11 +121,10 @@ def wrapped_spans(docs: DataFrame, screen: Column, span: int = SPAN, stride: int
     after ``span`` words or with the paragraph, in line ``last``; spans that have none of the
     words of ``screen`` are left out.
     """
-    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), letter_words)
     # A text without any of the words has no span to look for.
     some = docs.filter(F.arrays_overlap(letter_words(F.col("text")), screen))
-    cut = some.select("doc_id", mark, lines.alias("lines"))
+    cut = some.select("doc_id", "mark", lines.alias("lines"))
 
     def spans_of(line: Column) -> Column:
         near = F.slice("lines", line + 1, F.lit(span + 1))
@@ -273,7 +276,8 @@ def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage
     the best of each family is kept, ``at`` being its first word's place in the line.
 
     Documents are not shuffled, only what is reported. Null or empty texts have no spans, null
-    ids are kept, rows that repeat an id and a text give one row, and an empty table none.
+    ids are kept, rows that repeat an id and a text give one row, and an empty table none. Other
+    texts of the same id, or without one, are scanned and reported by themselves.
     """
     templates = stage(template_rows(docs.sparkSession), "licence-templates")
     model = train(docs, templates)
@@ -284,22 +288,22 @@ def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage
         family: F.greatest(F.lit(0.0), *[_coverage(_texts(words), F.col("words")) for words in known])
         for family, known in by_family.items()
     }
-    marked = docs.select("doc_id", "text")
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     screen = _texts(model.anchors)
-    single = paragraphs(marked, screen=screen).select(
-        "doc_id", F.lit(None).cast("long").alias("mark"), "line", "at", F.col("line").alias("last"), "words"
+    single = paragraphs(marked, screen=screen, keys=("doc_id", "mark")).select(
+        "doc_id", "mark", F.lit(False).alias("wrapped"), "line", "at", F.col("line").alias("last"), "words"
     )
-    spans = single.unionByName(wrapped_spans(marked, screen))
+    spans = single.unionByName(wrapped_spans(marked, screen).withColumn("wrapped", F.lit(True)))
     spans = spans.filter(F.greatest(*covered.values()) >= min_coverage)
     judged = model.fitted.transform(_features(spans, model.grams)).select(
-        "doc_id", "mark", "line", "at", "last", "words", vector_to_array("rawPrediction").alias("raw")
+        "doc_id", "mark", "wrapped", "line", "at", "last", "words", vector_to_array("rawPrediction").alias("raw")
     )
     # Written, or the plan would score a span again for every use of its scores.
     judged = stage(judged, "licence-spans")
     p = _probabilities(F.col("raw"), model.heat)
     best = F.array_position("raw", F.array_max("raw")).cast("int")
     named = judged.select(
-        "doc_id", "mark", "line", "at", "last", "words",
+        "doc_id", "mark", "wrapped", "line", "at", "last", "words",
         F.element_at(_texts(model.families), best).alias("family"), F.array_max(p).alias("probability"),
     ).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= min_probability))
     coverage = F.lit(0.0)
@@ -307,8 +311,7 @@ def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage
         coverage = F.when(F.col("family") == family, share).otherwise(coverage)
     confirmed = named.withColumn("coverage", coverage).filter(F.col("coverage") >= min_coverage)
     best = F.max(F.struct("coverage", "probability", (-F.col("at")).alias("early"), "last")).alias("best")
-    # Single lines have no mark: rows of one id and line are judged together, as one notice.
-    found = confirmed.groupBy("doc_id", "mark", "line", "family").agg(best)
+    found = confirmed.groupBy("doc_id", "mark", "wrapped", "line", "family").agg(best)
     return _without_overlaps(found).select(
         "doc_id", "line", (-F.col("best.early")).alias("at"), "family",
         F.col("best.probability").alias("probability"), F.col("best.coverage").alias("coverage"),
@@ -318,14 +321,12 @@ def scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_coverage
 def _without_overlaps(found: DataFrame) -> DataFrame:
     """All notices of single lines, and of wrapped ones the best where several spans overlap."""
     span = F.struct(
-        F.col("mark").isNotNull().alias("wrapped"), (-F.col("best.coverage")).alias("c"),
-        (-F.col("best.probability")).alias("p"), "line", "best", "mark",
+        "wrapped", (-F.col("best.coverage")).alias("c"), (-F.col("best.probability")).alias("p"), "line", "best",
     )
-    listed = found.groupBy("doc_id", "family").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    listed = found.groupBy("doc_id", "mark", "family").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
     def add(taken: Column, s: Column) -> Column:
-        meets = F.exists(taken, lambda t: (t["line"] <= s["best"]["last"]) & (s["line"] <= t["best"]["last"])
-                         & (t["mark"].isNull() | (t["mark"] == s["mark"])))
+        meets = F.exists(taken, lambda t: (t["line"] <= s["best"]["last"]) & (s["line"] <= t["best"]["last"]))
         return F.when(s["wrapped"] & meets, taken).otherwise(F.concat(taken, F.array(s)))
 
     chosen = F.aggregate("spans", F.slice("spans", F.lit(1), F.lit(0)), add)

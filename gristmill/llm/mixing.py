@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import hash_number
-from gristmill.llm.common import even_buckets, space_words
-from gristmill.operators.ordered import cutoff, running
+from gristmill.llm.common import even_buckets, space_words, text_mark, whole_rows
+from gristmill.operators.ordered import cutoff, div, running
 from gristmill.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -17,6 +17,7 @@ MOST_EPOCHS = 3
 SEED = 42
 BUCKET_ROWS = 100_000
 DIGITS = 12
+AT_ONCE = 1_000  # copies of one row that a task makes from one row
 ORDER = ["v", "turn", "epoch", "key"]
 
 
@@ -25,8 +26,8 @@ def word_size(text: Column) -> Column:
     return F.size(space_words(text)).cast("long")
 
 
-def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``(row, doc_id, source, size, key)``; ``key`` puts the rows into a seeded random order.
+def measured(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(row, doc_id, source, *keep, size, key)``; ``key`` puts the rows into a seeded random order.
 
     ``row`` tells repeated rows apart. Rows that share a key have the same id and size, so it
     does not matter which of them comes first.
@@ -34,7 +35,7 @@ def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
     size = word_size(F.col("text"))
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size")
+        F.monotonically_increasing_id().alias("row"), "doc_id", "source", *keep, size.alias("size")
     ).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), named, F.lit(":"), F.col("size").cast("string"))))
 
 
@@ -94,8 +95,10 @@ def mix(
     most: int = MOST_EPOCHS,
     seed: int = SEED,
     bucket_rows: int = BUCKET_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, copies, row)`` for every row of ``docs``.
+    """``(doc_id, size, source, source_size, target, copies, row)`` for every row of ``docs``,
+    with the columns ``keep`` besides.
 
     Each source is a queue of its documents in seeded random order, passed up to ``most``
     times. A pass of a document finishes at virtual time (words of its source so far) / (target
@@ -111,7 +114,7 @@ def mix(
     Repeated rows are rows of their own. An empty table gives an empty result. Other columns
     are not read.
     """
-    sizes = stage(measured(docs.select("doc_id", "text", "source"), seed), "sizes")
+    sizes = stage(measured(docs.select("doc_id", "text", "source", *keep), seed, keep), "sizes")
     rows = sizes.count()
     targets = stage(source_targets(sizes, weights, most), "targets")
     known = sizes.alias("s").join(
@@ -138,26 +141,44 @@ def mix(
     taken = F.when(F.col("target") > 0, copies).otherwise(F.lit(0))
     named = targets.select("turn", "source")
     return queued.withColumn("copies", taken).join(named, "turn").select(
-        "doc_id", "size", "source", "source_size", "target", "copies", "row"
+        "doc_id", "size", "source", "source_size", "target", "copies", "row", *keep
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it, all columns kept.
 
-    Rows are matched with the plan by id, source and size, nulls included. Rows that repeat all
-    three each appear as often as the one of them that is taken most.
+    Rows are matched with the plan by id, source and text, nulls included. Of rows that repeat
+    all three one stands for all, as often as the mix takes them together, so the words that
+    come out are those of the plan; a row that appears very often is dealt out over all tasks.
     """
-    plan = mix(docs, **options)
-    wanted = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    kept = stage(wanted.filter("copies > 0"), "mix").alias("mix")
-    rows = docs.alias("doc")
+    marked = docs.select("doc_id", "source", "text", text_mark(F.col("text")).alias("mark"))
+    plan = mix(marked, keep=("mark",), **options)
+    wanted = plan.groupBy("doc_id", "source", "mark").agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")
+    )
+    wanted = stage(wanted.filter("copies > 0"), "mix")
+    rows = whole_rows(docs, "source")
     same = (
         F.col("doc.doc_id").eqNullSafe(F.col("mix.doc_id"))
         & F.col("doc.source").eqNullSafe(F.col("mix.source"))
-        & (word_size(F.col("doc.text")) == F.col("mix.size"))
-    )
-    times = F.array_repeat(F.lit(1), F.col("mix.copies"))
-    return rows.join(kept, same).select("doc.*", F.explode(times).alias("_time")).select(
-        *[F.col(f"`{name}`") for name in docs.columns]
+        & (F.col("doc.mark") == F.col("mix.mark"))
     )
+
+    def taken(some: DataFrame) -> DataFrame:
+        return rows.alias("doc").join(some.alias("mix"), same).select("doc.*", "mix.copies")
+
+    def repeated(row: str, times: Column) -> Column:
+        return F.explode(F.array_repeat(F.col(row), times.cast("int"))).alias("row")
+
+    mixed = taken(wanted.filter("n = 1")).select(repeated("row", F.col("copies")))
+    several = wanted.filter("n > 1")
+    if not several.isEmpty():
+        one = taken(several).dropDuplicates(["doc_id", "source", "mark"])
+        shares = one.select(
+            "row", "copies", F.explode(F.sequence(F.lit(0), div(F.col("copies") - 1, AT_ONCE))).alias("share")
+        )
+        dealt = shares.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        here = F.least(F.lit(AT_ONCE), F.col("copies") - F.col("share") * AT_ONCE)
+        mixed = mixed.unionByName(dealt.select(repeated("row", here)))
+    return mixed.select("row.*")

@@ -15,7 +15,7 @@ ORACLE["op1_substring_dedup"] = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  FROM documents WHERE text IS NOT NULL
 ), placed AS (
   SELECT *, regexp_extract_all(line, '{substring_dedup.CLAUSE.pattern}') AS clauses,
          coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos
@@ -37,7 +37,7 @@ WITH lines AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
   FROM units
   WHERE len(words) >= CASE unit WHEN 'line' THEN {substring_dedup.LINE_WORDS} ELSE {substring_dedup.CLAUSE_WORDS} END
-  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start)
+  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id NULLS LAST, start)
 ), later AS (
   SELECT *, bool_or(unit = 'line') OVER (PARTITION BY doc_id, line_at) AS line_gone
   FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start

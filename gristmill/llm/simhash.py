@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ascii_lower, space_words
+from gristmill.llm.common import ascii_lower, one_of_each, space_words, text_mark
 from gristmill.llm.components import connected_components
 from gristmill.session import stage
 
@@ -17,8 +17,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 PAIR = 0x0000000100000001
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, fp)``: the 64-bit SimHash of the word shingles of each row's whole text.
+def fingerprints(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, fp)``: the 64-bit SimHash of the word shingles of each row's whole text.
 
     A-Z are lower-cased; words are runs without white space; shingles are ``width`` words
     joined by a space, repeats included (fewer words: all of them). Each is hashed by XXH64
@@ -30,20 +30,20 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     words = space_words(ascii_lower(F.col("text")))
     cut = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w")
+        F.monotonically_increasing_id().alias("row"), "doc_id", *keep, words.alias("w")
     ).withColumn("n", F.size("w"))
     places = cut.select(
-        "row", "doc_id", "w", "n",
+        "row", "doc_id", *keep, "w", "n",
         F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - width, F.lit(0)))).alias("i"),
     )
     word = [F.get("w", F.col("i") + k) for k in range(width)]
     spaced = [x for w in word for x in (F.lit(" "), w)][1:]
     shingle = F.when(F.col("n") >= width, F.concat(*spaced)).otherwise(F.array_join("w", " "))
     hashed = places.select(
-        "row", "doc_id", F.when(F.col("n") > 0, F.xxhash64(shingle)).alias("h")
+        "row", "doc_id", *keep, F.when(F.col("n") > 0, F.xxhash64(shingle)).alias("h")
     )
     half = BITS // 2
-    counted = hashed.groupBy("row", "doc_id").agg(
+    counted = hashed.groupBy("row", "doc_id", *keep).agg(
         F.count("h").alias("n"),
         *[
             F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(PAIR))).alias(f"s{k}")
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ]
     while len(bits) > 1:
         bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
-    return counted.select("doc_id", F.coalesce(bits[0], F.lit(0).cast("long")).alias("fp"))
+    return counted.select("doc_id", *keep, F.coalesce(bits[0], F.lit(0).cast("long")).alias("fp"))
 
 
 def _variants(fp: Column) -> Column:
@@ -155,35 +155,44 @@ def labels(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return joined.withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row: the smallest doc_id reachable by links.
-
-    Equal fingerprints are one node, however many rows share them. Empty and null texts have
-    fingerprint 0 and are linked like any other. A group whose doc_ids are all null has a null
-    component. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
-    """
-    found = stage(fingerprints(docs.select("doc_id", "text")), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def _grouped(docs: DataFrame, width: int, distance: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *keep, fp, root, component_id)``; ``root`` is one fingerprint of the group."""
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"three segments find at most {DISTANCE} differing bits")
-    nodes = stage(nodes, "nodes")
+    found = stage(fingerprints(docs.select("doc_id", "text", *keep), width, keep), "fingerprints")
+    nodes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     labelled = stage(labels(nodes, distance), "labels")
     ties = labelled.filter("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
     roots = connected_components(ties.unionByName(links(labelled, distance)))
     rooted = labelled.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = stage(rooted.withColumn("root", F.coalesce("root", "fp")), "roots")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return found.join(named, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row: the smallest doc_id reachable by links.
+
+    Equal fingerprints are one node, however many rows share them. Empty and null texts have
+    fingerprint 0 and are linked like any other. A group whose doc_ids are all null has a null
+    component. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+    """
+    return _grouped(docs, width, distance).select("doc_id", "fp", "component_id")
 
 
-def near_deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each group, all columns kept.
+def near_deduplicate(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one document of each group, all columns kept.
 
-    Rows with a null doc_id stay, since no key names them; so do all rows that repeat a kept
-    doc_id. The kept ids are a narrow table that is joined back, texts move at most once.
+    The one with the smallest doc_id stays; null ids come last, texts of one id in the order of
+    their marks. Rows are named by id and text, so another text under the id of a removed copy
+    is judged by itself; of rows that repeat both, one stays. Texts move at most once.
     """
-    groups = near_groups(docs, distance)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    same = F.col("all.doc_id") == F.col("gone.doc_id")
-    return docs.alias("all").join(gone.alias("gone"), same, "left_anti")
+    marked = docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark"))
+    groups = stage(_grouped(marked, width, distance, ("mark",)), "near-groups")
+    rows = groups.groupBy("doc_id", "mark", "root").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    least = groups.groupBy("root").agg(F.min(order).alias("least"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    judged = rows.join(least, "root").select("doc_id", "mark", "n", stays.alias("stays"))
+    return one_of_each(docs, stage(judged, "near-judged"))

@@ -15,7 +15,7 @@ from gristmill.session import stage
 LINE_WORDS = 5
 CLAUSE_WORDS = 6
 FLUSH = 20_000
-SCHEMA = "doc_id long, unit string, line_at long, start long, n_chars long, d1 long, d2 long"
+SCHEMA = "doc_id long, mark long, unit string, line_at long, start long, n_chars long, d1 long, d2 long"
 # Clauses tile a line: up to the marks that end a clause and the white space after them.
 CLAUSE = re.compile(
     r"(?:[^.!?,;:]|[.!?,;:]+[^.!?,;:\x20\x09-\x0D])+[.!?,;:]*[\x20\x09-\x0D]*"
@@ -71,7 +71,9 @@ def units_of(text: str, line_words: int, clause_words: int, runs: bool = False)
 def units(
     docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS, runs: bool = False
 ) -> DataFrame:
-    """``(doc_id, unit, line_at, start, n_chars, d1, d2)``: the units of every whole text.
+    """``(doc_id, mark, unit, line_at, start, n_chars, d1, d2)``: the units of every whole text.
+
+    ``mark`` is a hash of the text, which tells rows of one id, or without one, apart.
 
     Units are lines of at least ``line_words`` words and, inside lines, clauses of at least
     ``clause_words``, so that a passage set into the middle of a line is found too. A unit is
@@ -83,16 +85,21 @@ def units(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"], strict=True):
+                doc_id = None if pd.isna(doc_id) else doc_id
                 for unit in units_of(text, line_words, clause_words, runs):
-                    rows.append((doc_id, *unit))
+                    rows.append((doc_id, mark, *unit))
                     if len(rows) >= FLUSH:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield framed(rows)
                         rows = []
-        yield pd.DataFrame(rows, columns=names)
+        yield framed(rows)
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=names)
+        return frame.astype({"doc_id": "Int64"})
 
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return known.select("doc_id", "text").mapInPandas(cut, SCHEMA)
+    known = docs.filter(F.col("text").isNotNull())
+    return known.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(cut, SCHEMA)
 
 
 def find_repeats(
@@ -100,29 +107,40 @@ def find_repeats(
 ) -> DataFrame:
     """``(doc_id, start, n_chars, unit, kept_doc_id, kept_start)``: the units to take out.
 
-    Of all occurrences of a unit in the corpus the first by (doc_id, start) is kept. A clause
-    is left out where its whole line goes. Offsets are those of the original text. With ``runs``
-    a clause too short to be a unit is reported within runs of neighbours, which may overlap.
+    Of all occurrences of a unit in the corpus the first by (doc_id, start) is kept; null ids
+    come last, and texts of one id or without one in the order of their hashes. A clause is left
+    out where its whole line goes. Offsets are those of the original text. With ``runs`` a
+    clause too short to be a unit is reported within runs of neighbours, which may overlap.
 
     Digests are grouped with partial minima, so a unit that a third of all rows share is a row
     per task; occurrences move once, as a few numbers, and the join on the digest is one that
-    adaptive execution splits. Null texts and null ids have no units to remove: without an id
-    there is no rank. Rows that repeat id and text are one document. Empty tables give no row.
+    adaptive execution splits. Null texts have no units. Rows that repeat id and text are one
+    document. Empty tables give no row.
     """
+    found = _repeats(docs, line_words, clause_words, runs)
+    return found.drop("mark").distinct()
+
+
+def _repeats(docs: DataFrame, line_words: int, clause_words: int, runs: bool) -> DataFrame:
+    """``find_repeats`` with the ``mark`` of the text that each row is about."""
     found = stage(units(docs, line_words, clause_words, runs), "units")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
     first = found.groupBy("d1", "d2").agg(
-        F.min(F.struct("doc_id", "start")).alias("kept"), F.count(F.lit(1)).alias("n")
+        F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1").drop("n")
     later = found.join(first, ["d1", "d2"]).filter(
-        (F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start"))
+        ~F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
+        | (F.col("mark") != F.col("kept.mark"))
+        | (F.col("start") != F.col("kept.start"))
     )
-    line = Window.partitionBy("doc_id", "line_at")
+    line = Window.partitionBy("doc_id", "mark", "line_at")
     gone = F.max(F.col("unit") == "line").over(line)
     return (
         later.withColumn("line_gone", gone)
         .filter((F.col("unit") == "line") | ~F.col("line_gone"))
         .select(
             "doc_id",
+            "mark",
             "start",
             "n_chars",
             "unit",
@@ -133,16 +151,22 @@ def find_repeats(
     )
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, line_words: int = LINE_WORDS, clause_words: int = CLAUSE_WORDS, runs: bool = True
+) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``; other columns and rows as they are.
 
     Short clauses go with the repeated runs they lie in, so a repeated passage inside a line has
     no holes. What is cut has an earlier occurrence that stays or points to one still earlier.
+    Spans are cut out of the text they were found in, not out of another one of the same id.
     """
-    spans = find_repeats(docs, **{"runs": True} | options).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n_chars"))).alias("spans")
+    spans = _repeats(docs, line_words, clause_words, runs).groupBy("doc_id", "mark").agg(
+        F.sort_array(F.collect_set(F.struct("start", "n_chars"))).alias("spans")
+    )
+    same = F.col("doc.doc_id").eqNullSafe(F.col("cut.doc_id")) & (
+        F.xxhash64("doc.text") == F.col("cut.mark")
     )
-    rows = docs.alias("doc").join(spans.alias("cut"), F.col("doc.doc_id") == F.col("cut.doc_id"), "left")
+    rows = docs.alias("doc").join(spans.alias("cut"), same, "left")
     kept = F.aggregate(
         "cut.spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),

@@ -94,3 +94,10 @@ def test_long_text_and_empty_tables(spark, documents, benchmark):
     assert decontaminate.find_contamination(documents([]), table(spark, benchmark)).count() == 0
     docs = documents([(1, "some text that stays here as it is")])
     assert decontaminate.decontaminate(docs, table(spark, [])).count() == 1
+
+
+def test_only_the_contaminated_text_of_an_id_goes(spark, documents, benchmark):
+    leak = "before " + benchmark[8][1] + " after"
+    rows = [(None, leak), (None, "clean and without id"), (None, None), (5, leak), (5, "clean under the same id"), (6, leak)]
+    kept = decontaminate.decontaminate(documents(rows, clash=("mark", "t")), table(spark, benchmark))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, rows[1][1]), (None, None), (5, rows[4][1])}

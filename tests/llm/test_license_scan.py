@@ -87,3 +87,12 @@ def test_wrapped_headers_are_found(spark, documents):
     found = license_scan.scan(documents(docs)).collect()
     assert {(r.doc_id, r.family) for r in found} == set(enumerate(headers))
     assert len({(r.doc_id, r.line) for r in found}) >= 4 and all(2 <= r.line <= 4 for r in found)
+
+
+def test_texts_of_one_id_or_none_are_reported_by_themselves(spark, documents):
+    notices, docs = rows()
+    mit, gpl = notices[1][1], notices[3][1]
+    docs = docs[7:] + [(None, f"{mit}\n{PLAIN[0]}"), (None, f"{PLAIN[0]} x\n{mit}"), (60, mit), (60, f"{PLAIN[1]}\n{mit}\n{gpl}")]
+    found = [(r.doc_id, r.line, r.family) for r in license_scan.scan(documents(docs)).collect()]
+    expected = [(None, 0, "mit"), (None, 1, "mit"), (60, 0, "mit"), (60, 1, "mit"), (60, 2, "gpl")]
+    assert sorted(found, key=str) == sorted(expected, key=str)

@@ -119,3 +119,22 @@ def test_reruns_agree(spark, documents):
     docs = documents([(i, t, None, s) for i, t, s in corpus(200)])
     first = sorted(map(str, rows_of(mixing.mix(docs))))
     assert first == sorted(map(str, rows_of(mixing.mix(docs.repartition(5)))))
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_rows_without_an_id_and_repeated_rows_come_out_as_planned(spark, documents, same):
+    rows = [(None, "one of equal size " * 2 + ("x" if same else f"x{i}"), None, "a") for i in range(30)]
+    rows += [(i, "b c d " * 3, None, "b") for i in range(40)]
+    docs = documents(rows, clash=("mark", "_share", "n"))
+    planned = sum(r.size * r.copies for r in rows_of(mixing.mix(docs)) if r.source == "a")
+    mixed = [r for r in mixing.mixed_documents(docs).collect() if r.source == "a"]
+    assert sum(len(r.text.split()) for r in mixed) == planned > 0
+
+
+def test_a_row_taken_very_often(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "AT_ONCE", 7)
+    docs = documents([(1, "a b c", None, "a")] * 50 + [(2, "d e", None, "b")] * 50)
+    planned = Counter()
+    for r in rows_of(mixing.mix(docs)):
+        planned[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixing.mixed_documents(docs).collect()) == planned

@@ -102,7 +102,21 @@ def test_one_of_each_group_stays(spark, documents):
     docs = documents(rows, clash=("fp", "component_id", "a", "gone"))
     kept = simhash.near_deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"]
+
+
+def test_rows_are_named_by_id_and_text(spark, documents):
+    long = " ".join(f"word{i}" for i in range(100))
+    other = "quite another text about nothing in particular"
+    rows = [(1, long), (2, long), (2, other), (2, other), (None, other + " but this"), (None, None), (None, "")]
+    kept = simhash.near_deduplicate(documents(rows)).collect()
+    assert {(r.doc_id, r.text or "") for r in kept} == {(1, long), (2, other), (None, other + " but this"), (None, "")}
+    assert len(kept) == 4
+
+
+def test_a_third_of_all_rows_is_one_row(spark, documents):
+    rows = [(7, "one and the same text of many words")] * 300 + [(i, f"text {i} " * i) for i in range(1, 6)]
+    assert sum(r.doc_id == 7 for r in simhash.near_deduplicate(documents(rows)).collect()) == 1
 
 
 def test_empty_table(spark, documents):

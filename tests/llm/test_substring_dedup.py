@@ -84,12 +84,12 @@ def test_nulls_empty_repeated_rows_and_clashing_names(spark, documents):
     rows = [(2, line), (1, line), (1, line), (None, line), (3, None), (4, ""), (5, f"{line}\n{line}")]
     docs = documents(rows, clash=("unit", "start", "spans", "kept", "d1"))
     assert spans(dedup.find_repeats(docs)) == {
-        (2, 0, 32, "line", 1, 0), (5, 0, 32, "line", 1, 0), (5, 33, 32, "line", 1, 0)
+        (2, 0, 32, "line", 1, 0), (5, 0, 32, "line", 1, 0), (5, 33, 32, "line", 1, 0), (None, 0, 32, "line", 1, 0)
     }
     cleaned = dedup.remove_repeats(docs)
     assert cleaned.columns == docs.columns
     found = sorted(((r.doc_id, r.text) for r in cleaned.collect()), key=str)
-    assert found == sorted([(2, ""), (1, line), (1, line), (None, line), (3, None), (4, ""), (5, "\n")], key=str)
+    assert found == sorted([(2, ""), (1, line), (1, line), (None, ""), (3, None), (4, ""), (5, "\n")], key=str)
 
 
 def test_long_text_and_empty_table(spark, documents):
@@ -111,3 +111,18 @@ def test_a_passage_with_short_clauses_goes_whole(spark, documents):
     ]
     cleaned = {r.doc_id: r.text for r in dedup.remove_repeats(documents(rows)).collect()}
     assert cleaned == dict(rows) | {9: "Other begin that differs. Other end."}
+
+
+def test_spans_are_cut_only_out_of_the_text_they_were_found_in(spark, documents):
+    line, more = "the very same line of five words", "and a second line that is seen only here"
+    other = "another text under the same id that shares nothing with them at all"
+    rows = [(1, line), (2, f"{line}\n{more}"), (2, other), (None, f"{line}\n{other} now"), (None, other + " too")]
+    cleaned = {(r.doc_id, r.text) for r in dedup.remove_repeats(documents(rows)).collect()}
+    assert cleaned == {(1, line), (2, f"\n{more}"), (2, other), (None, f"\n{other} now"), (None, other + " too")}
+
+
+def test_a_passage_repeated_among_texts_without_an_id(spark, documents):
+    line = "the very same line of five words"
+    rows = [(None, f"{line}\nthe first of them has this"), (None, f"{line}\nand the second has that")]
+    cleaned = [r.text for r in dedup.remove_repeats(documents(rows)).collect()]
+    assert sum(line in text for text in cleaned) == 1
