@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, language_id, mixing, near_copies, sharding
+from gristmill.llm import decontaminate, language_id, mixing, sharding, simhash
 from gristmill.llm.common import table
 from gristmill.session import stage, tune
 
@@ -20,9 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of SimHash near copies: four-word shingles, four bits."""
     tune(spark)
-    return near_copies.drop_copies(docs)
+    return simhash.near_deduplicate(docs, width=simhash.WIDTH, distance=simhash.DISTANCE)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
