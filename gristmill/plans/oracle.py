@@ -391,13 +391,46 @@ ORACLE["cap_tokens"] = with_(
     CAP,
     "SELECT split, doc_id, n_tokens, capped FROM cap",
 )
-ORACLE["token_manifest"] = on_packed(MANIFEST, "SELECT * FROM manifest")
+
+
+def hex_of(number: str, size: int) -> str:
+    """Little-endian bytes of a number, as hex digits."""
+    parts = ", ".join(f"({number} >> {8 * k}) & 255" for k in range(size))
+    return f"printf('{'%02x' * size}', {parts})"
+
+
+def hashed_files(source: str) -> str:
+    """Bytes and checksum of each shard's file: header, zeros, ids."""
+    head = " || ".join(hex_of(n, 4) for n in ("20240520", "1", "count(*)", str(S.VOCAB_SIZE)))
+    ids = f"string_agg({hex_of('token', 2)}, '' ORDER BY start + pos)"
+    return f"""{source}_files AS MATERIALIZED (
+  SELECT split, shard, 1024 + 2 * count(*) AS file_bytes,
+    md5(unhex({head} || repeat('00', 1008) || {ids})) AS md5
+  FROM {source} JOIN doc_tokens USING (doc_id) GROUP BY split, shard)"""
+
+
+ORACLE["token_manifest"] = on_packed(
+    MANIFEST, hashed_files("packed"), "SELECT * FROM manifest JOIN packed_files USING (split, shard)"
+)
+ORACLE["capped_manifest"] = on_packed(
+    CAP,
+    packed("capped_pack", "cap"),
+    hashed_files("capped_pack"),
+    """SELECT split, shard, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens, capped, file_bytes, md5
+FROM capped_pack JOIN capped_pack_files USING (split, shard)
+JOIN (SELECT DISTINCT split, capped FROM cap) USING (split) GROUP BY ALL""",
+)
 ORACLE["split_totals"] = on_packed(
     """SELECT split, count(DISTINCT shard) AS shards, count(*) AS docs, CAST(sum(n_tokens) AS BIGINT) AS tokens
 FROM packed GROUP BY split"""
 )
 ORACLE["dataset_meta"] = on_packed(
-    f"""SELECT {S.VOCAB_SIZE}::BIGINT AS vocab_size, {EOT}::BIGINT AS eot_token,
+    MANIFEST,
+    hashed_files("packed"),
+    f"""SELECT (SELECT 'train_09999: missing ' || tokens FROM manifest WHERE split = 'train' AND shard = 0) AS errors,
+  (SELECT string_agg(split || '_00000: count ' || tokens, '; ' ORDER BY split) FROM manifest WHERE shard = 0) AS warnings,
+  (SELECT md5(string_agg(md5, '' ORDER BY split, shard)) FROM packed_files) AS files,
+  {S.VOCAB_SIZE}::BIGINT AS vocab_size, {EOT}::BIGINT AS eot_token,
   CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
   CAST(sum(n_tokens) FILTER (split = 'train') AS BIGINT) AS train_total_tokens,
   count(*) FILTER (split = 'train') AS train_total_docs,
@@ -460,9 +493,7 @@ PLACED = """placed AS MATERIALIZED (
   SELECT split, shard, start + pos AS pos, token, doc_id, start, doc_tokens.pos AS doc_pos
   FROM packed JOIN doc_tokens USING (doc_id))"""
 ORACLE["check_start"] = on_packed(
-    PLACED,
-    f"""SELECT split, shard * 1000000 + pos // {S.BLOCK} AS shard, 'warning' AS level, 'start' AS rule,
-  '{EOT}' AS detail FROM placed WHERE pos % {S.BLOCK} = 0 AND token = {EOT}""",
+    f"SELECT DISTINCT split, shard, 'warning' AS level, 'start' AS rule, '{EOT}' AS detail FROM packed WHERE shard = 0"
 )
 ORACLE["validation_report"] = on_packed(
     MANIFEST,

@@ -412,9 +412,27 @@ def cap_tokens(spark, folder):
     return within.select("split", "doc_id", "n_tokens", "capped")
 
 
+def _written_manifest(spark, encoded: DataFrame, packed: DataFrame, vocab_size: int) -> DataFrame:
+    """Shards as files, with what was counted and hashed while they were written."""
+    path = new_folder(spark, "tokens")
+    files = token_files.export_token_shards(packing.shard_stream(encoded, packed), path, vocab_size)
+    return packing.token_manifest(packed, files)
+
+
 @query
 def token_manifest(spark, folder):
-    return packing.token_manifest(C.token_corpus(spark, folder).packed)
+    corpus = C.token_corpus(spark, folder)
+    return _written_manifest(spark, corpus.encoded, corpus.packed, corpus.vocab.size)
+
+
+@query
+def capped_manifest(spark, folder):
+    """The files of a run that ends each split at a token cap."""
+    vocab = C.document_vocab(spark, folder)
+    within = stage(_capped(C.encoded_documents(spark, folder, vocab)), "within")
+    packed = stage(packing.pack_token_shards(within, S.TOKEN_SHARD), "packed")
+    files = _written_manifest(spark, within, packed, vocab.size)
+    return packing.token_manifest(packed, files.withColumnRenamed("file_bytes", "bytes"), within.select("split", "capped").distinct())
 
 
 @query
@@ -424,9 +442,18 @@ def split_totals(spark, folder):
 
 @query
 def dataset_meta(spark, folder):
-    corpus = C.token_corpus(spark, folder)
-    meta = packing.dataset_meta(packing.token_manifest(corpus.packed), corpus.vocab.size)
+    """With the checks of the files against a manifest with two wrong counts and a shard too many."""
+    corpus, path = _exported(spark, folder)
+    manifest = stage(packing.token_manifest(corpus.packed, token_files.token_file_manifest(spark, path)), "manifest")
+    wrong = F.col("tokens") + F.when(F.col("shard") == 0, 1_000).otherwise(0)
+    more = manifest.filter("split = 'train' AND shard = 0").withColumn("shard", F.lit(9_999).cast("long"))
+    findings = quality.all_findings(_findings_of(spark, path, manifest.withColumn("tokens", wrong).unionByName(more), corpus))
+    meta = packing.dataset_meta(manifest, corpus.vocab.size, findings)
+    hashes = F.transform(F.concat("train.shards", "val.shards"), lambda s: s["md5"])
     return meta.select(
+        F.array_join("errors", "; ").alias("errors"),
+        F.array_join("warnings", "; ").alias("warnings"),
+        F.md5(F.array_join(hashes, "")).alias("files"),
         F.col("vocab_size").cast("long").alias("vocab_size"),
         F.col("eot_token").cast("long").alias("eot_token"),
         "total_tokens",
@@ -481,10 +508,11 @@ def check_size(spark, folder):
 
 @query
 def check_count(spark, folder):
-    """Against a manifest in which the first shard of each split has 1,000 tokens too many."""
-    manifest = packing.token_manifest(C.token_corpus(spark, folder).packed)
-    spoiled = F.when(F.col("shard") == 0, 1_000).otherwise(0)
-    return quality.check_count(manifest, manifest.withColumn("tokens", F.col("tokens") + spoiled))
+    """The files' headers against a manifest in which the first shard of each split has 1,000 tokens too many."""
+    corpus, path = _exported(spark, folder)
+    spoiled = F.col("tokens") + F.when(F.col("shard") == 0, 1_000).otherwise(0)
+    expected = packing.token_manifest(corpus.packed).withColumn("tokens", spoiled)
+    return quality.check_count(token_files.token_file_headers(spark, path), expected)
 
 
 @query
@@ -494,22 +522,20 @@ def check_range(spark, folder):
     return quality.check_range(quality.shard_facts(corpus.stream), corpus.vocab.eot)
 
 
-def _blocks_as_shards(corpus: C.Corpus) -> DataFrame:
-    cut = blocks.stream_blocks(corpus.stream, S.BLOCK, ["split", "shard"])
-    return cut.select(
-        "split",
-        (F.col("shard") * 1_000_000 + F.col("block")).alias("shard"),
-        F.lit(0).cast("long").alias("start"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.col("ids").alias("tokens"),
-    )
+def _findings_of(spark, path: str, manifest: DataFrame, corpus: C.Corpus) -> list[DataFrame]:
+    """All checks of the files at ``path``."""
+    headers = stage(token_files.token_file_headers(spark, path), "headers")
+    facts = stage(quality.shard_facts(token_files.import_token_shards(spark, path)), "facts")
+    return quality.findings(manifest, headers, facts, corpus.vocab.size, corpus.vocab.eot)
 
 
 @query
 def check_start(spark, folder):
-    """Fixed-length cuts ignore document borders, so some begin with end-of-text."""
+    """The first document of each split turned round, so that its shard begins with end-of-text."""
     corpus = C.token_corpus(spark, folder)
-    facts = quality.shard_facts(_blocks_as_shards(corpus))
+    first = (F.col("shard") == 0) & (F.col("start") == 0)
+    turned = F.when(first, F.reverse("tokens")).otherwise(F.col("tokens"))
+    facts = quality.shard_facts(corpus.stream.withColumn("tokens", turned))
     return quality.check_start(facts, corpus.vocab.eot)
 
 
@@ -518,11 +544,7 @@ def validation_report(spark, folder):
     """Files as they were written, against the counts of the manifest."""
     corpus, path = _exported(spark, folder)
     manifest = stage(packing.token_manifest(corpus.packed), "manifest")
-    headers = stage(token_files.token_file_headers(spark, path), "headers")
-    facts = stage(quality.shard_facts(token_files.import_token_shards(spark, path)), "facts")
-    return quality.validation_report(
-        quality.findings(manifest, headers, facts, corpus.vocab.size, corpus.vocab.eot)
-    )
+    return quality.validation_report(_findings_of(spark, path, manifest, corpus))
 
 
 # --- conversations ----------------------------------------------------------------------

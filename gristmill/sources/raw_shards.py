@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.token_files import with_md5
+
 MANIFEST = (
     "shard long, path string, num_rows long, est_tokens long, bytes long, md5 string, ts timestamp"
 )
@@ -35,13 +37,14 @@ def read_raw_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_shard_files(spark: SparkSession, path: str, checksums: bool = True) -> DataFrame:
-    """``(shard, path, bytes[, md5])`` of the files; without checksums nothing is read."""
+    """``(shard, path, bytes[, md5])`` of the files, hashed piece by piece; without checksums
+    nothing is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.parquet"
     ).load(path)
     shard = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long")
-    listed = files.select(shard.alias("shard"), "path", F.col("length").alias("bytes"), "content")
-    return listed.withColumn("md5", F.md5("content")).drop("content") if checksums else listed.drop("content")
+    listed = files.select(shard.alias("shard"), "path", F.col("length").alias("bytes"))
+    return with_md5(listed) if checksums else listed
 
 
 def file_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:

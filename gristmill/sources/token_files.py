@@ -1,13 +1,15 @@
 """Token shard files: a 256-int header, then little-endian unsigned 16-bit ids.
 
 ``token_files`` is a Spark data source. A writer task appends the rows of its shards to
-files under a task-own name; the commit gives complete files their final names, so a lost
-or repeated task leaves no half-written shard. The reader cuts a shard into ranges of ids.
+files under a task-own name, hashing and counting as it goes; the commit gives complete files
+their final names, so a lost or repeated task leaves no half-written shard, and then writes
+what the tasks counted as one manifest. The reader cuts a shard into ranges of ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -37,6 +39,8 @@ ROW_IDS = 1_000_000
 HEADER_FIELDS = ("split", "shard", "magic", "version", "tokens", "vocab_size", "payload_bytes")
 NAME = re.compile(r"([a-z]+)_(\d+)\.bin$")
 SCHEMA = "split string, shard long, start long, tokens array<int>"
+MANIFEST = "manifest.json"
+MANIFEST_SCHEMA = "split string, shard long, file string, docs long, tokens long, bytes long, md5 string"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -63,8 +67,34 @@ def _each(action, items: list) -> None:
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    """The finished parts of a task, and the manifest entry of each."""
+
+    def __init__(self, parts: list[str], entries: list[dict]):
+        self.parts, self.entries = parts, entries
+
+
+class ShardSink:
+    """A file of one shard that counts and hashes what goes into it."""
+
+    def __init__(self, files: fs.FileSystem, part: str, split: str, shard: int, expected: int):
+        self.part, self.expected = part, expected
+        self.sink, self.digest = files.open_output_stream(part), hashlib.md5()
+        self.entry = {
+            "split": split, "shard": shard, "file": f"{split}_{shard:05d}.bin", "docs": 0, "tokens": 0, "bytes": 0
+        }
+
+    def put(self, data: bytes, docs: int = 0, tokens: int = 0) -> None:
+        self.sink.write(data)
+        self.digest.update(data)
+        self.entry["docs"] += docs
+        self.entry["tokens"] += tokens
+        self.entry["bytes"] += len(data)
+
+    def close(self) -> dict:
+        self.sink.close()
+        if self.entry["tokens"] != self.expected:
+            raise ValueError(f"{self.entry['file']}: {self.entry['tokens']} ids, {self.expected} expected")
+        return self.entry | {"md5": self.digest.hexdigest()}
 
 
 class TokenFileWriter(DataSourceArrowWriter):
@@ -76,13 +106,7 @@ class TokenFileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _open(self.path)
         attempt = TaskContext.get().taskAttemptId()
-        done, sink, current, expected, ids = [], None, None, 0, 0
-
-        def close() -> None:
-            sink.close()
-            if ids != expected:
-                raise ValueError(f"shard {current}: {ids} ids, {expected} expected")
-
+        parts, entries, sink = [], [], None
         files.create_dir(f"{root}/_parts", recursive=True)
         for batch in iterator:
             splits, shards = batch["split"].to_pylist(), batch["shard"].to_numpy()
@@ -91,40 +115,57 @@ class TokenFileWriter(DataSourceArrowWriter):
             flat = batch["tokens"].values.to_numpy(zero_copy_only=False)
             for low, high in _runs(splits, shards):
                 shard = (splits[low], int(shards[low]))
-                if shard != current:
+                if sink is None or shard != (sink.entry["split"], sink.entry["shard"]):
                     if sink is not None:
-                        close()
-                    current, ids, expected = shard, 0, int(totals[low])
-                    name = f"{shard[0]}_{shard[1]:05d}.bin"
-                    part = f"{root}/_parts/{name}.{attempt}"
-                    done.append((part, f"{root}/{name}"))
-                    sink = files.open_output_stream(part)
+                        entries.append(sink.close())
+                    part = f"{root}/_parts/{shard[0]}_{shard[1]:05d}.{attempt}"
+                    sink = ShardSink(files, part, *shard, int(totals[low]))
+                    parts.append(part)
                     if self.header:
                         header = np.zeros(HEADER_INTS, "<i4")
-                        header[:4] = MAGIC, VERSION, expected, self.vocab_size
-                        sink.write(header.tobytes())
+                        header[:4] = MAGIC, VERSION, sink.expected, self.vocab_size
+                        sink.put(header.tobytes())
                 places = offsets[low : high + 1]
-                if (starts[low:high] != ids + places[:-1] - places[0]).any():
-                    raise ValueError(f"shard {shard}: rows out of order at id {ids}")
+                if (starts[low:high] != sink.entry["tokens"] + places[:-1] - places[0]).any():
+                    raise ValueError(f"shard {shard}: rows out of order at id {sink.entry['tokens']}")
                 tokens = flat[places[0] : places[-1]]
                 if len(tokens) and not 0 <= tokens.min() <= tokens.max() < 65_536:
                     raise ValueError(f"shard {shard}: an id does not fit 16 bits")
-                sink.write(tokens.astype("<u2").tobytes())
-                ids += len(tokens)
+                sink.put(tokens.astype("<u2").tobytes(), high - low, len(tokens))
         if sink is not None:
-            close()
-        return Written(done)
+            entries.append(sink.close())
+        return Written(parts, entries)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Names of complete files; parts of lost attempts go with their folder."""
+        """Names of complete files, then the manifest; parts of lost attempts go with their folder.
+
+        The manifest is one file that appears whole. Shards that an earlier write to the same
+        path has left stay listed, unless they were written again.
+        """
         files, root = _open(self.path)
-        _each(lambda pair: files.move(*pair), [pair for m in filter(None, messages) for pair in m.files])
+        done = [m for m in messages if m is not None]
+        entries = {(e["split"], e["shard"]): e for e in _entries(files, root)}
+        entries |= {(e["split"], e["shard"]): e for m in done for e in m.entries}
+        moves = [(part, f"{root}/{e['file']}") for m in done for part, e in zip(m.parts, m.entries, strict=True)]
+        _each(lambda pair: files.move(*pair), moves)
+        if entries:
+            with files.open_output_stream(f"{root}/_parts/{MANIFEST}") as sink:
+                for key in sorted(entries):
+                    sink.write(json.dumps(entries[key]).encode() + b"\n")
+            files.move(f"{root}/_parts/{MANIFEST}", f"{root}/{MANIFEST}")
         if files.get_file_info(f"{root}/_parts").type != fs.FileType.NotFound:
             files.delete_dir(f"{root}/_parts")
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = _open(self.path)
-        _each(files.delete_file, [part for m in filter(None, messages) for part, _ in m.files])
+        _each(files.delete_file, [part for m in filter(None, messages) for part in m.parts])
+
+
+def _entries(files: fs.FileSystem, root: str) -> list[dict]:
+    if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
+        return []
+    with files.open_input_stream(f"{root}/{MANIFEST}") as source:
+        return [json.loads(line) for line in source.read().splitlines()]
 
 
 @dataclass(frozen=True)
@@ -211,7 +252,7 @@ class TokenFiles(DataSource):
 def export_token_shards(
     stream: DataFrame, path: str, vocab_size: int, header: bool = True
 ) -> DataFrame:
-    """Write one file per (split, shard) and return the files' checksums.
+    """Write one file per (split, shard) and return the manifest with the files' checksums.
 
     The window brings each shard to one task in order of ``start``, without a shuffle if the
     stream is by shard already; the writer checks the order and holds no shard whole.
@@ -233,7 +274,7 @@ def export_token_shards(
         .mode("append")
         .save()
     )
-    return token_file_checksums(spark, path)
+    return token_file_manifest(spark, path)
 
 
 def import_token_shards(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -261,6 +302,11 @@ def token_file_listing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def token_file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, shard, file, docs, tokens, bytes, md5)`` as counted and hashed while writing."""
+    return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/{MANIFEST}")
+
+
 def token_file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """``(split, shard, path, bytes, md5)``; files of any size, hashed piece by piece."""
     return with_md5(token_file_listing(spark, path))

@@ -1,8 +1,10 @@
 """Pieces, vocabulary, packing, blocks and token files."""
 
 import random
+import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -92,10 +94,10 @@ def sequential(sizes, size):
     return places
 
 
-def pack(spark, sizes, size, split="train"):
+def pack(spark, sizes, size, split="train", buckets=None):
     rows = [(split, i, n) for i, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, "split string, doc_id long, n_tokens long")
-    found = packing.pack_token_shards(df, size).collect()
+    found = packing.pack_token_shards(df, size, buckets).collect()
     return [(r.shard, r.start) for r in sorted(found, key=lambda r: r.doc_id)]
 
 
@@ -114,10 +116,40 @@ def test_packing_random(spark, size):
     assert pack(spark, sizes, size) == sequential(sizes, size)
 
 
-def test_packing_without_collecting_the_outcomes(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CHAIN_ROWS", 0)
-    sizes = [(i * 37) % 50 + 1 for i in range(300)]
-    assert pack(spark, sizes, 100) == sequential(sizes, 100)
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_packing_over_a_tree_of_buckets(spark, buckets):
+    sizes = [(i * 37) % 50 + (i % 9 > 0) for i in range(900)]
+    assert pack(spark, sizes, 100, buckets=buckets) == sequential(sizes, 100)
+
+
+@pytest.mark.parametrize(("buckets", "size"), [(2, 90), (64, 90), (1_000, 90), (1_000, 5_000), (1_000, 10**9)])
+def test_maps_of_neighbours_compose(buckets, size):
+    """Up and down a tree of nodes, against one writer that goes through all documents."""
+    draw = random.Random(buckets + size)
+    sizes = [draw.choice([0, 1, 2, 30, 41, 300]) for _ in range(3 * buckets)]
+    expected, opened, shard, total = [], 0, 0, 0
+    level = []
+    for node in range(buckets):
+        own = sizes[3 * node : 3 * node + 3]
+        expected.append((opened, shard))
+        through = []
+        for n in own:
+            total += n
+            through.append(total)
+            if total - opened >= size:
+                opened, shard = total, shard + 1
+        rows = pd.DataFrame({"split": "train", packing.BUCKET: node, "n_tokens": own, "through": through})
+        level.append(packing._closes(size)(rows))
+    levels = [pd.concat(level)]
+    while len(levels[-1]) > 1:
+        groups = levels[-1].groupby(levels[-1]["node"] // packing.FAN)
+        levels.append(pd.concat([packing._composed(size)(rows) for _, rows in groups]))
+    states = pd.DataFrame({"node": [0], "opened": [0], "first_shard": [0]})
+    for maps in reversed(levels[:-1]):
+        joined = maps.assign(parent=maps["node"] // packing.FAN).merge(states.rename(columns={"node": "parent"}), on="parent")
+        states = pd.concat([packing._descended(size)(rows) for _, rows in joined.groupby("parent")]).drop(columns="split")
+    found = states.sort_values("node")
+    assert list(zip(found["opened"], found["first_shard"], strict=True)) == expected
 
 
 def test_packing_splits_are_independent(spark):
@@ -217,6 +249,42 @@ def test_files_round_trip(spark):
         assert [r.tokens for r in back] == [list(range(30)), list(range(1000, 1007))]
 
 
+def test_the_manifest_of_writing_is_that_of_the_files(spark):
+    path = new_folder(spark, "files")
+    written = token_files.export_token_shards(stream(spark, [30, 7]), path, 50_257)
+    found = {r.shard: (r.docs, r.tokens, r.bytes, r.md5) for r in written.collect()}
+    read = {r.shard: (r.bytes, r.md5) for r in token_files.token_file_checksums(spark, path).collect()}
+    assert {k: v[2:] for k, v in found.items()} == read
+    assert {k: v[1] for k, v in found.items()} == {0: 30, 1: 7}
+    assert sum(v[0] for v in found.values()) == stream(spark, [30, 7]).count()
+    # A second write adds its shards and replaces those it has written again.
+    more = stream(spark, [12]).withColumn("split", F.lit("val")).unionByName(stream(spark, [9]))
+    again = token_files.export_token_shards(more, path, 50_257)
+    entries = {(r.split, r.shard): (r.tokens, r.md5) for r in again.collect()}
+    assert {k: v[0] for k, v in entries.items()} == {("train", 0): 9, ("train", 1): 7, ("val", 0): 12}
+    on_disk = token_files.token_file_checksums(spark, path).collect()
+    assert {(r.split, r.shard): r.md5 for r in on_disk} == {k: v[1] for k, v in entries.items()}
+
+
+def test_metadata_lists_shards_and_findings(spark):
+    manifest = spark.createDataFrame(
+        [("train", 1, 2, 20, "b"), ("train", 0, 1, 30, "a"), ("val", 0, 1, 5, "c")],
+        "split string, shard long, docs long, tokens long, md5 string",
+    )
+    findings = spark.createDataFrame(
+        [("val", 0, "warning", "start", "9"), ("train", 12, "error", "missing", "7"), ("train", 1, "error", "magic", None)],
+        "split string, shard long, level string, rule string, detail string",
+    )
+    meta = packing.dataset_meta(manifest, 100, findings).first()
+    assert meta.errors == ["train_00001: magic null", "train_00012: missing 7"]
+    assert meta.warnings == ["val_00000: start 9"]
+    assert [s.md5 for s in meta.train.shards] == ["a", "b"] and meta.train.n_shards == 2
+    assert (meta.total_tokens, meta.train.total_tokens, meta.val.total_docs) == (55, 50, 1)
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}", meta.created_at)
+    empty = packing.dataset_meta(manifest.limit(0), 100).first()
+    assert (empty.total_tokens, empty.errors, empty.val.n_shards) == (0, [], 0)
+
+
 def test_ids_beyond_16_bits_are_refused(spark):
     big = spark.createDataFrame(
         [("train", 0, 0, 1, [70_000])],
