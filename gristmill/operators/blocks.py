@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import hash_number
@@ -185,6 +185,24 @@ def sample_windows(
     )
 
 
+def shard_windows(manifest: DataFrame, windows: int, length: int = BLOCK, seed: int = 42) -> DataFrame:
+    """``(split, window, shard, first)``: hashed places of ``windows`` per split, within shards.
+
+    ``manifest`` (``split, shard, tokens``) lists the shards that are longer than a window. The
+    first half of a window's hash chooses the shard, the second the place in it.
+    """
+    by_shard = Window.partitionBy("split").orderBy("shard")  # a row per shard
+    ranked = manifest.select("split", "shard", "tokens", (F.row_number().over(by_shard) - 1).alias("place"))
+    counts = manifest.groupBy("split").agg(F.count(F.lit(1)).alias("shards"))
+    drawn = counts.select("split", "shards", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("window"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("window").cast("string")))
+    half = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
+    placed = drawn.select("split", "window", half.alias("half"), (hash_number(digest, 8) % F.col("shards")).alias("place"))
+    return placed.join(ranked, ["split", "place"]).select(
+        "split", F.col("window").cast("long").alias("window"), "shard", (F.col("half") % (F.col("tokens") - length)).alias("first")
+    )
+
+
 def split_token_totals(stream: DataFrame) -> DataFrame:
     """Shards and tokens per split, from the stream itself."""
     per_shard = stream.groupBy("split", "shard").agg(

@@ -6,14 +6,17 @@ run: running totals go over buckets, and look-backs over chunks that repeat a fe
 
 from __future__ import annotations
 
-import math
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.runlog import perplexity, utilisation
 from gristmill.operators.ordered import Buckets, div, running, with_context
+from gristmill.session import stage
 
 LOG_EVERY = 10
 LAST_STEPS = 100
@@ -75,55 +78,106 @@ def cumulative_tokens(log: DataFrame, tokens_per_step: int) -> DataFrame:
     return log.withColumn("tokens_total", (F.col("step") + 1) * tokens_per_step)
 
 
-def smooth_loss(log: DataFrame, decay: float = DECAY) -> DataFrame:
-    """Add ``loss_smooth``: ``e = decay * e + (1 - decay) * x``, starting at the first x.
+def _fold(losses: Sequence[float], state: float, decay: float) -> list[float]:
+    """The average after each loss; a missing one (not a number) changes nothing."""
+    states = []
+    for loss in losses:
+        if loss == loss:
+            state = decay * state + (1 - decay) * loss if state else loss
+        states.append(state)
+    return states
 
-    ``step`` counts 0, 1, 2, ... per run. A state of exactly zero restarts at x; as losses
-    are not negative and a ``decay`` above one half never rounds a state down to zero, that
-    is so only until the first loss above zero. From there on the average is a sum of
-    weighted losses. It is taken within chunks short enough for
-    ``decay ** -length`` to stay a double; by the same measure a chunk hears of no more than
-    the two chunks before it, whose weighted sums are one row each.
+
+def _faded(state: float, steps: int, decay: float) -> float:
+    """The average after ``steps`` losses of zero, which may round it down to zero."""
+    if decay <= 0.5:
+        while state and steps:
+            state, steps = decay * state, steps - 1
+        return state
+    return max(state * decay**steps, 5e-324) if state else 0.0
+
+
+def _chunk_map(losses: Sequence[float], decay: float) -> tuple:
+    """A chunk as a map from the average before it to the one after it.
+
+    ``(zeros, fresh, scale, offset, losses)``. First come ``zeros`` losses of zero. An average
+    that is zero then restarts, and ``fresh`` comes out; another one, s, gives scale * s + offset.
+    Where every average drops to zero further on, all come to the same, and the scale is zero.
+    Greater averages drop later, so the least and the greatest possible one decide; where
+    they differ, the losses themselves are the map.
     """
-    if not 0.5 < decay < 1:
-        raise ValueError("decay must lie between one half and one")
-    length = int(250 / -math.log10(decay))
-    at = (F.col("step") % length).cast("double")
-    fade = F.lit(float(decay))
-
-    first = log.filter(F.col("loss") != 0).groupBy("run").agg(
-        F.min(F.struct("step", "loss")).alias("_first")
-    )
-    start = F.when(F.col("step") == F.col("_first.step"), decay * F.col("loss")).otherwise(F.lit(0.0))
-    weighed = (
-        log.join(first, "run", "left")
-        .withColumn("_chunk", div(F.col("step"), length))
-        .withColumn("_w", F.pow(fade, -(at + 1)) * ((1 - decay) * F.col("loss") + start))
-    )
-    keep = decay**length
-    order = Window.partitionBy("run").orderBy("_chunk")
-    carried = (
-        weighed.groupBy("run", "_chunk")
-        .agg((F.sum("_w") * keep).alias("_sum"))
-        .select(
-            "run",
-            "_chunk",
-            (
-                F.coalesce(F.lag("_sum", 1).over(order), F.lit(0.0))
-                + keep * F.coalesce(F.lag("_sum", 2).over(order), F.lit(0.0))
-            ).alias("_inherited"),
-        )
-    )
-    here = (
-        Window.partitionBy("run", "_chunk")
-        .orderBy("step")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    known = [loss for loss in losses if loss == loss]
+    zeros = next((k for k, loss in enumerate(known) if loss), len(known))
+    rest = known[zeros:]
+    if not rest:
+        return zeros, None, None, None, None
+    fresh = _fold(rest, 0.0, decay)[-1]
+    least = _fold(rest[1:], (1 - decay) * rest[0], decay)
+    if decay > 0.5 or 0.0 not in least:
+        return zeros, fresh, decay ** len(rest), least[-1] if least else (1 - decay) * rest[0], None
+    if 0.0 in _fold(rest, sys.float_info.max, decay):
+        return zeros, fresh, 0.0, fresh, None
+    return zeros, None, None, None, rest
+
+
+def _states_before(chunks: Sequence[tuple], decay: float) -> list[float]:
+    """The average with which each chunk of a run begins."""
+    state, states = 0.0, []
+    for zeros, fresh, scale, offset, losses in chunks:
+        states.append(state)
+        state = _faded(state, int(zeros), decay)
+        if losses is not None and len(losses):
+            state = _fold(losses, state, decay)[-1]
+        elif fresh is not None and fresh == fresh:
+            state = scale * state + offset if state else fresh
+    return states
+
+
+def smooth_loss(log: DataFrame, decay: float = DECAY, chunk: int = 10_000) -> DataFrame:
+    """Add ``loss_smooth``: ``e = decay * e + (1 - decay) * x``, and x itself where e is zero.
+
+    ``step`` counts 0, 1, 2, ... per run. Any ``decay`` between zero and one: a small one may
+    round the average of many losses of zero down to zero, which then restarts. Losses are not
+    negative; a null one leaves the average as it is.
+
+    A scan over maps: runs are cut into chunks of steps, each of which is a map from the average
+    before it to the one after it, affine but for restarts. A run's maps, a row per chunk, give
+    every chunk its first average, and the chunks then go through their steps in parallel. So a
+    run of any length is spread over all tasks, and rows are shuffled once.
+    """
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between zero and one")
+    row = F.struct(*[F.col(f"`{name}`") for name in log.columns]).alias("row")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("step"), row))).alias("rows")
+    chunks = stage(log.groupBy("run", div(F.col("step"), chunk).alias("chunk")).agg(rows), "log-chunks")
+    losses = F.transform("rows", lambda r: r["row"]["loss"].cast("double"))
+
+    @F.pandas_udf("zeros long, fresh double, scale double, offset double, losses array<double>")
+    def as_map(losses: pd.Series) -> pd.DataFrame:
+        maps = [_chunk_map(np.asarray(one, float).tolist(), decay) for one in losses]
+        return pd.DataFrame(maps, columns=["zeros", "fresh", "scale", "offset", "losses"])
+
+    def begin(maps: pd.DataFrame) -> pd.DataFrame:
+        maps = maps.sort_values("chunk")
+        columns = [maps[name] for name in ("zeros", "fresh", "scale", "offset", "losses")]
+        states = _states_before(list(zip(*columns, strict=True)), decay)
+        return maps[["run", "chunk"]].assign(state=states)
+
+    kind = dict(log.dtypes)["run"]
+    maps = chunks.select("run", "chunk", as_map(losses).alias("map")).select("run", "chunk", "map.*")
+    begins = maps.groupBy("run").applyInPandas(begin, f"run {kind}, chunk long, state double")
+
+    @F.pandas_udf("array<double>")
+    def averages(losses: pd.Series, state: pd.Series) -> pd.Series:
+        pairs = zip(losses, state, strict=True)
+        return pd.Series([_fold(np.asarray(one, float).tolist(), first, decay) for one, first in pairs])
+
+    smoothed = chunks.join(stage(begins, "log-states"), ["run", "chunk"]).select(
+        "rows", averages(losses, F.col("state")).alias("smooth")
     )
-    state = F.pow(fade, at + 1) * (F.col("_inherited") + F.sum("_w").over(here))
-    return (
-        weighed.join(carried, ["run", "_chunk"])
-        .withColumn("loss_smooth", F.coalesce(state, F.lit(0.0)))
-        .drop("_chunk", "_w", "_first", "_inherited")
+    paired = F.arrays_zip(F.col("rows.row").alias("row"), F.col("smooth").alias("smooth"))
+    return smoothed.select(F.explode(paired).alias("one")).select(
+        "one.row.*", F.col("one.smooth").alias("loss_smooth")
     )
 
 

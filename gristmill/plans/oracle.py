@@ -492,6 +492,23 @@ FROM packed JOIN doc_tokens USING (doc_id) GROUP BY split, shard HAVING max(toke
 PLACED = """placed AS MATERIALIZED (
   SELECT split, shard, start + pos AS pos, token, doc_id, start, doc_tokens.pos AS doc_pos
   FROM packed JOIN doc_tokens USING (doc_id))"""
+ORACLE["read_from"] = on_packed(
+    PLACED,
+    f"""SELECT split, shard, min(pos) AS first, count(*) AS tokens, CAST(sum(token) AS BIGINT) AS id_sum FROM placed
+WHERE split = 'train' AND (shard > {S.CURSOR[0]} OR shard = {S.CURSOR[0]} AND pos >= {S.CURSOR[1]}) GROUP BY split, shard""",
+)
+ORACLE["read_windows"] = on_packed(
+    MANIFEST,
+    PLACED,
+    f"""sized AS (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY shard) - 1 AS k, count(*) OVER (PARTITION BY split) AS n
+  FROM manifest WHERE tokens > {S.BLOCK})""",
+    f"""chosen AS (
+  SELECT split, i AS "window", shard, ('0x' || substr(md5('{S.SEED}:' || i), 9, 8))::BIGINT % (tokens - {S.BLOCK}) AS first
+  FROM sized, range({S.WINDOWS}) t(i) WHERE ('0x' || substr(md5('{S.SEED}:' || i), 1, 8))::BIGINT % n = k)""",
+    f"""SELECT split, "window", shard, first, string_agg(token, ' ' ORDER BY pos) AS ids
+FROM chosen JOIN placed USING (split, shard) WHERE pos BETWEEN first AND first + {S.BLOCK} GROUP BY ALL""",
+)
 ORACLE["check_start"] = on_packed(
     f"SELECT DISTINCT split, shard, 'warning' AS level, 'start' AS rule, '{EOT}' AS detail FROM packed WHERE shard = 0"
 )

@@ -154,6 +154,29 @@ def import_token_shards(spark, folder):
     )
 
 
+@query
+def read_from(spark, folder):
+    """A run that goes on behind a cursor: whole files and rows before it are not read."""
+    _, path = _exported(spark, folder)
+    shard, start = S.CURSOR
+    read = token_files.read_from(spark, path, "train", shard, start, row_ids=S.BLOCK)
+    return read.groupBy("split", "shard").agg(
+        F.min("start").alias("first"),
+        F.sum("n_tokens").alias("tokens"),
+        F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t)).alias("id_sum"),
+    )
+
+
+@query
+def read_windows(spark, folder):
+    """Windows at hashed places of hashed shards, one seek each."""
+    corpus, path = _exported(spark, folder)
+    manifest = token_files.token_file_manifest(spark, path).filter(F.col("tokens") > S.BLOCK)
+    windows = blocks.shard_windows(manifest, S.WINDOWS, S.BLOCK, S.SEED)
+    read = token_files.read_windows(spark, path, windows, S.BLOCK)
+    return read.select("split", "window", "shard", "first", _joined("ids").alias("ids"))
+
+
 @query
 def write_json_report(spark, folder):
     corpus = C.token_corpus(spark, folder)

@@ -3,7 +3,10 @@
 ``token_files`` is a Spark data source. A writer task appends the rows of its shards to
 files under a task-own name, hashing and counting as it goes; the commit gives complete files
 their final names, so a lost or repeated task leaves no half-written shard, and then writes
-what the tasks counted as one manifest. The reader cuts a shard into ranges of ids.
+what the tasks counted as one manifest. The reader cuts a shard into ranges of ids; bounds of
+split, shard and start, or a list of ranges, decide which of them are read at all. They are
+options of a read, not filters that Spark pushes down: the scans of one loaded DataFrame share
+what was pushed last, so two different filters on it would read the same rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -184,9 +187,40 @@ class IdRanges(InputPartition):
         self.ranges = ranges
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """What is read: one split or all, shards from one to another, ids from ``start`` on."""
+
+    split: str | None = None
+    first_shard: int = 0
+    last_shard: int | None = None
+    start: int = 0
+
+    def file(self, split: str, shard: int) -> bool:
+        return self.split in (None, split) and self.first_shard <= shard <= (shard if self.last_shard is None else self.last_shard)
+
+
 class TokenFileReader(DataSourceReader):
-    def __init__(self, path: str, header: bool):
-        self.path, self.header = path, header
+    """Rows of ``row_ids`` ids, or the ``ranges`` alone: ``{(split, shard): [(start, count)]}``.
+
+    Rows begin at multiples of ``row_ids`` wherever a task begins, the first one at ``start``.
+    """
+
+    def __init__(self, path: str, header: bool, row_ids: int = ROW_IDS, wanted: Wanted = Wanted(), ranges: dict | None = None):
+        self.path, self.header, self.row_ids, self.wanted, self.ranges = path, header, row_ids, wanted, ranges
+
+    def _ranges(self, split: str, shard: int, ids: int) -> list[tuple[int, int]]:
+        """``(start, count)`` of the ids of one file that are wanted."""
+        if self.ranges is not None:
+            found = self.ranges.get((split, shard), [])
+            if any(start + count > ids for start, count in found):
+                raise ValueError(f"{split} {shard}: a range ends behind the {ids} ids of the file")
+            return found
+        if not self.wanted.file(split, shard) or self.wanted.start >= max(ids, 1):
+            return []
+        step = max(1, TASK_IDS // self.row_ids) * self.row_ids
+        cuts = [self.wanted.start, *range((self.wanted.start // self.row_ids + 1) * self.row_ids, ids, step), ids]
+        return [(start, end - start) for start, end in zip(cuts[:-1], cuts[1:], strict=True)] if ids else [(0, 0)]
 
     def partitions(self) -> list[IdRanges]:
         """Large files are cut into ranges, small ones share a task."""
@@ -196,17 +230,17 @@ class TokenFileReader(DataSourceReader):
             named = NAME.search(info.path)
             if not named:
                 continue
+            split, shard = named.group(1), int(named.group(2))
             offset = HEADER_BYTES if self.header else 0
             ids = max(0, info.size - offset) // TOKEN_BYTES
-            for start in range(0, max(ids, 1), TASK_IDS):
-                count = min(TASK_IDS, ids - start)
+            for start, count in self._ranges(split, shard, ids):
                 if room < count:
                     tasks.append([])
                     room = TASK_IDS
                 place = offset + start * TOKEN_BYTES
-                tasks[-1].append(IdRange(info.path, named.group(1), int(named.group(2)), place, start, count))
+                tasks[-1].append(IdRange(info.path, split, shard, place, start, count))
                 room -= count + FILE_IDS
-        return [IdRanges(ranges) for ranges in tasks]
+        return [IdRanges(ranges) for ranges in tasks] or [IdRanges([])]
 
     def read(self, task: IdRanges) -> Iterator[pa.RecordBatch]:
         files, _ = _open(self.path)
@@ -214,8 +248,8 @@ class TokenFileReader(DataSourceReader):
             with files.open_input_file(part.path) as source:
                 if part.count:
                     source.seek(part.offset)
-                for done in range(0, max(part.count, 1), ROW_IDS):
-                    wanted = min(ROW_IDS, part.count - done)
+                for done in range(0, max(part.count, 1), self.row_ids):
+                    wanted = min(self.row_ids, part.count - done)
                     ids = np.frombuffer(source.read(wanted * TOKEN_BYTES), "<u2")
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -229,7 +263,11 @@ class TokenFileReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``path``; ``vocab_size`` for writing; ``header`` false for files of ids alone."""
+    """``path``; ``vocab_size`` for writing; ``header`` false for files of ids alone.
+
+    For reading also ``row_ids``, the ids of a row, ``wanted``, the fields of ``Wanted`` as JSON,
+    and ``ranges``, a JSON list of ``[split, shard, start, count]`` that become a row each.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -242,7 +280,14 @@ class TokenFiles(DataSource):
         return self.options.get("header", "true").lower() == "true"
 
     def reader(self, schema) -> TokenFileReader:
-        return TokenFileReader(self.options["path"], self._header())
+        ranges = None
+        if "ranges" in self.options:
+            ranges = {}
+            for split, shard, start, count in json.loads(self.options["ranges"]):
+                ranges.setdefault((split, shard), []).append((start, count))
+        row_ids = int(self.options.get("row_ids", str(ROW_IDS)))
+        wanted = Wanted(**json.loads(self.options.get("wanted", "{}")))
+        return TokenFileReader(self.options["path"], self._header(), row_ids, wanted, ranges)
 
     def writer(self, schema, overwrite: bool) -> TokenFileWriter:
         size = int(self.options.get("vocab_size", "0"))
@@ -277,11 +322,51 @@ def export_token_shards(
     return token_file_manifest(spark, path)
 
 
-def import_token_shards(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """``(split, shard, start, n_tokens, tokens)``, up to a million ids per row."""
+def import_token_shards(
+    spark: SparkSession,
+    path: str,
+    header: bool = True,
+    row_ids: int = ROW_IDS,
+    wanted: Wanted = Wanted(),
+    ranges: list | None = None,
+) -> DataFrame:
+    """``(split, shard, start, n_tokens, tokens)``, up to ``row_ids`` ids per row.
+
+    Files and ids that are not ``wanted`` are not read. With ``ranges`` of ``(split, shard,
+    start, count)`` each is a row of its own, and nothing else is read.
+    """
     spark.dataSource.register(TokenFiles)
-    read = spark.read.format("token_files").option("header", str(header).lower()).load(path)
-    return read.withColumn("n_tokens", F.size("tokens").cast("long"))
+    reader = (
+        spark.read.format("token_files")
+        .option("header", str(header).lower())
+        .option("row_ids", row_ids)
+        .option("wanted", json.dumps(asdict(wanted)))
+    )
+    if ranges is not None:
+        reader = reader.option("ranges", json.dumps([list(one) for one in ranges]))
+    return reader.load(path).withColumn("n_tokens", F.size("tokens").cast("long"))
+
+
+def read_from(spark: SparkSession, path: str, split: str, shard: int, start: int, row_ids: int = ROW_IDS) -> DataFrame:
+    """The ids of ``split`` from ``start`` of ``shard`` on; what lies before is not read."""
+    opened = Wanted(split, shard, shard, start)
+    later = Wanted(split, shard + 1)
+    rows = [import_token_shards(spark, path, row_ids=row_ids, wanted=wanted) for wanted in (opened, later)]
+    return rows[0].unionByName(rows[1])
+
+
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, size: int) -> DataFrame:
+    """``windows`` (``split, shard, first`` and others) with ``ids``: ``size + 1`` ids from ``first``.
+
+    Windows are those of one evaluation, a few hundred, so their places fit into the plan; a
+    window is one seek and one short read.
+    """
+    places = windows.select("split", "shard", "first").distinct().collect()
+    ranges = [(row["split"], row["shard"], row["first"], size + 1) for row in places]
+    ids = import_token_shards(spark, path, ranges=ranges).select(
+        "split", "shard", F.col("start").alias("first"), F.col("tokens").alias("ids")
+    )
+    return windows.join(ids, ["split", "shard", "first"])
 
 
 def _shard_files(spark: SparkSession, path: str) -> DataFrame:

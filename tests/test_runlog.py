@@ -40,21 +40,50 @@ def test_smoothing_fixture(spark):
     assert [found[1, i] for i in range(3)] == pytest.approx([4, 3.9, 3.705])
 
 
-@pytest.mark.parametrize("decay", [0.51, 0.6, 0.95])
-def test_smoothing_over_many_chunks(spark, decay):
+def smooth_runs():
     draw = random.Random(1)
-    runs = {
+    return {
         1: [draw.uniform(0, 9) for _ in range(2500)],
         2: [0, 0, 0, 5, 0, 0, 1],
         3: [0, 0],
         4: [3] + [0] * 1200 + [2],
+        5: [draw.choice([0, 0, 0, 2.5]) for _ in range(900)],
+        6: [7, 1e-300] + [0] * 300 + [4] + [0] * 330 + [1, 0, 0] + [0] * 1100 + [9, 8],
+        7: [1] + [0] * 1074 + [3] + [0] * 1075 + [3, 2] + [0] * 1073 + [5],
     }
-    found = values(log_ops.smooth_loss(log(spark, runs), decay), "loss_smooth")
+
+
+@pytest.mark.parametrize("decay", [0.1, 0.5, 0.51, 0.95])
+@pytest.mark.parametrize("chunk", [50, 700])
+def test_smoothing_over_many_chunks(spark, decay, chunk):
+    runs = smooth_runs()
+    found = values(log_ops.smooth_loss(log(spark, runs), decay, chunk), "loss_smooth")
     for run, losses in runs.items():
         expected = smoothed(losses, decay)
         assert [found[run, i] for i in range(len(losses))] == pytest.approx(expected, rel=1e-9, abs=1e-200)
 
 
+@pytest.mark.parametrize("decay", [0.1, 0.3, 0.5, 0.9])
+def test_maps_of_chunks_give_the_averages_of_the_fold(decay):
+    """Any cut into chunks, without Spark: each chunk begins with the fold's own average."""
+    for losses in smooth_runs().values():
+        states = [0.0, *smoothed(losses, decay)]
+        for size in (1, 2, 7, 333, 1100):
+            maps = [log_ops._chunk_map(losses[k : k + size], decay) for k in range(0, len(losses), size)]
+            found = log_ops._states_before(maps, decay)
+            expected = states[: len(losses) : size]
+            assert found == pytest.approx(expected, rel=1e-9, abs=1e-200)
+            assert [x == 0 for x in found] == [x == 0 for x in expected]
+
+
+def test_smoothing_leaves_nulls_out_and_keeps_columns(spark):
+    rows = [(1, 0, 4.0, "a"), (1, 1, None, "b"), (1, 2, 2.0, None)]
+    found = log_ops.smooth_loss(spark.createDataFrame(rows, "run long, step long, loss double, chunk string"), 0.5)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 4.0, "a", 4.0), (1, 1, None, "b", 4.0), (1, 2, 2.0, None, 3.0)]
+    with pytest.raises(ValueError, match="decay"):
+        log_ops.smooth_loss(found, 1.0)
+
+
 @pytest.mark.parametrize("chunk", [3, 7, 10_000])
 def test_step_times_and_rolling_mean(spark, chunk):
     table = log(spark, {1: range(40), 2: range(5)})

@@ -298,13 +298,54 @@ def test_reading_in_ranges(spark, monkeypatch):
     path = new_folder(spark, "files")
     token_files.export_token_shards(stream(spark, [30]), path, 100)
     monkeypatch.setattr(token_files, "TASK_IDS", 14)
-    monkeypatch.setattr(token_files, "ROW_IDS", 8)
-    back = token_files.import_token_shards(spark, path).orderBy("start").collect()
-    runs = [(0, 8), (8, 6), (14, 8), (22, 6), (28, 2)]
+    reader = token_files.TokenFileReader(path, True, row_ids=8)
+    assert len(reader.partitions()) > 1
+    back = token_files.import_token_shards(spark, path, row_ids=8).orderBy("start").collect()
+    runs = [(0, 8), (8, 8), (16, 8), (24, 6)]
     assert [(r.start, r.n_tokens) for r in back] == runs
     assert sum((r.tokens for r in back), []) == list(range(30))
 
 
+def planned(path, row_ids=10, **wanted):
+    """Ids that the reader would read."""
+    ranges = wanted.pop("ranges", None)
+    reader = token_files.TokenFileReader(path, True, row_ids, token_files.Wanted(**wanted), ranges)
+    return sum(r.count for task in reader.partitions() for r in task.ranges)
+
+
+def test_only_what_is_wanted_is_read(spark):
+    path = new_folder(spark, "files")
+    token_files.export_token_shards(stream(spark, [95, 30, 40]), path, 50_257)
+    assert planned(path) == 165
+    assert planned(path, split="val") == 0
+    assert planned(path, split="train", first_shard=1) == 70
+    assert planned(path, last_shard=1) == 125
+    assert planned(path, first_shard=0, last_shard=0, start=81) == 14
+    assert planned(path, start=40) == 55
+    assert planned(path, ranges={("train", 0): [(3, 5), (90, 5)]}) == 10
+    with pytest.raises(ValueError, match="behind"):
+        planned(path, ranges={("train", 1): [(26, 5)]})
+
+
+@pytest.mark.parametrize("start", [0, 4, 10, 94, 95])
+def test_reading_on_from_a_cursor(spark, start):
+    path = new_folder(spark, "files")
+    token_files.export_token_shards(stream(spark, [95, 30]), path, 50_257)
+    read = token_files.read_from(spark, path, "train", 0, start, row_ids=10).orderBy("shard", "start").collect()
+    assert sum((r.tokens for r in read), []) == list(range(start, 95)) + list(range(1000, 1030))
+    assert all(r.n_tokens == len(r.tokens) for r in read) and (start == 95 or read[0].start == start)
+
+
+def test_windows_out_of_files(spark):
+    path = new_folder(spark, "files")
+    token_files.export_token_shards(stream(spark, [95, 30]), path, 50_257)
+    windows = blocks.shard_windows(token_files.token_file_manifest(spark, path), 40, 8)
+    read = token_files.read_windows(spark, path, windows, 8).collect()
+    assert sorted(r.window for r in read) == list(range(40)) and {r.shard for r in read} == {0, 1}
+    for r in read:
+        assert r.ids == [1000 * r.shard + r.first + k for k in range(9)]
+
+
 def test_faulty_files(spark, tmp_path):
     def write(shard, magic=20240520, count=4, size=100, ids=(1, 2, 3, 4), odd=b""):
         header = np.zeros(256, "<i4")
