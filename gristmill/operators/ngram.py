@@ -147,6 +147,30 @@ def penalised_top_k(
     return kept.select("doc_id", "context", "next", "score")
 
 
+def sample_next(
+    prompts: DataFrame,
+    scores: DataFrame,
+    k: int = 50,
+    penalty: float = 1.15,
+    temperature: float = 0.8,
+    seed: int = 42,
+    most_recent: int = RECENT,
+) -> DataFrame:
+    """``(doc_id, next)``: one id per prompt, drawn from its ``k`` best after penalty and temperature.
+
+    An exponential race: each candidate arrives at -ln(u) / exp(score), with u hashed from
+    prompt and candidate, and the first to arrive is drawn, which happens with the softmax
+    probability of its score. So there is no sum over a prompt's candidates to divide by or to
+    walk along; the least arrival is a partial aggregate. A temperature divides all scores, so
+    it changes no order and comes last.
+    """
+    best = penalised_top_k(prompts, scores, k, penalty, most_recent)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("next").cast("string"))
+    u = (hash_number(seeded_hash(seed, key)) + 0.5) / float(16**8)
+    arrival = F.log(-F.log(u)) - F.col("score") / temperature
+    return best.groupBy("doc_id").agg(F.min_by("next", F.struct(arrival, "next")).alias("next"))
+
+
 def repetition_penalty(
     scores: DataFrame, penalty: float = 1.15, recent: str = "recent"
 ) -> DataFrame:

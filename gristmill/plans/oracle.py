@@ -727,13 +727,24 @@ ORACLE["weighted_draw"] = on_packed(
     / 4294967296::DOUBLE), max(next)) AS next
 FROM (SELECT *, sum(p) OVER (PARTITION BY context ORDER BY next) AS through FROM weighted) GROUP BY context""",
 )
-ORACLE["repetition_penalty"] = on_packed(
+RECENT_STEPS = (
     *NGRAM_STEPS,
     f"""ids AS MATERIALIZED (
   SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) - 1 AS back
   FROM doc_tokens JOIN split_docs USING (doc_id)),
 recent AS (SELECT DISTINCT doc_id, token FROM ids WHERE back BETWEEN 1 AND {S.RECENT})""",
     PENALISED,
+)
+ORACLE["repetition_penalty"] = on_packed(
+    *RECENT_STEPS,
     f"""SELECT doc_id, context, next, round(score + 1e-9::DOUBLE, 6) AS score FROM penalised
 QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY score DESC) <= {S.TOP_K}""",
 )
+ORACLE["sample_next"] = on_packed(
+    *RECENT_STEPS,
+    f"""best AS MATERIALIZED (
+  SELECT doc_id, next, exp(score / {S.TEMPERATURE}::DOUBLE) AS weight,
+    (CAST('0x' || substr({hashed("doc_id || ':' || next")}, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+  FROM penalised QUALIFY rank() OVER (PARTITION BY doc_id ORDER BY score DESC) <= {S.TOP_K})""",
+    "SELECT doc_id, CAST(arg_min(next, -ln(u) / weight) AS BIGINT) AS next FROM best GROUP BY doc_id",
+)

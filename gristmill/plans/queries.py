@@ -879,9 +879,8 @@ def weighted_draw(spark, folder):
     return drawn.select(F.col("context").cast("long"), F.col("next").cast("long"))
 
 
-@query
-def repetition_penalty(spark, folder):
-    """Candidates after each document's last id before the end, given its last 50 ids."""
+def _prompts_and_candidates(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Each document's last id before the end with its last 50 ids, and what follows an id."""
     corpus, counts = _corpus_and_counts(spark, folder)
     ids = F.slice("tokens", 1, F.size("tokens") - 1)
     recent = F.when(F.size(ids) > S.RECENT, F.slice(ids, -S.RECENT, S.RECENT)).otherwise(ids)
@@ -889,5 +888,18 @@ def repetition_penalty(spark, folder):
         "doc_id", recent.alias("recent"), F.element_at(ids, -1).alias("context")
     )
     candidates = stage(ngram.candidate_scores(ngram.bigram_counts(counts)), "candidates")
-    best = ngram.penalised_top_k(stage(prompts, "prompts"), candidates, S.TOP_K, S.PENALTY)
+    return stage(prompts, "prompts"), candidates
+
+
+@query
+def repetition_penalty(spark, folder):
+    best = ngram.penalised_top_k(*_prompts_and_candidates(spark, folder), S.TOP_K, S.PENALTY)
     return _shown_scores(best, F.col("doc_id"))
+
+
+@query
+def sample_next(spark, folder):
+    """One step of generation for every document: penalty, top k, temperature and draw."""
+    prompts, candidates = _prompts_and_candidates(spark, folder)
+    drawn = ngram.sample_next(prompts, candidates, S.TOP_K, S.PENALTY, S.TEMPERATURE, S.SEED)
+    return drawn.select("doc_id", F.col("next").cast("long").alias("next"))

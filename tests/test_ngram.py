@@ -50,6 +50,20 @@ def test_document_loss_does_not_depend_on_the_broadcast_head(spark, counts, head
         assert found[doc].loss == pytest.approx(sum(losses) / len(losses))
 
 
+def test_drawn_ids_are_as_frequent_as_their_softmax(spark):
+    scores = {7: 3.0, 8: 2.5, 9: 2.0, 10: 1.0, 11: 0.2}
+    frame = spark.createDataFrame([(1, i, s) for i, s in scores.items()], "context int, next int, score double")
+    prompts = spark.createDataFrame([(d, 1, [7, 3]) for d in range(6000)], "doc_id long, context int, recent array<int>")
+    drawn = [r.next for r in ngram.sample_next(prompts, frame, k=4, penalty=1.5, temperature=0.9).collect()]
+    raised = {i: math.exp((s / 1.5 if i == 7 else s) / 0.9) for i, s in scores.items() if i != 11}
+    for i, weight in raised.items():
+        p = weight / sum(raised.values())
+        assert abs(drawn.count(i) / 6000 - p) < 4 * math.sqrt(p * (1 - p) / 6000)
+    assert len(drawn) == 6000 and set(drawn) == set(raised)
+    again = [r.next for r in ngram.sample_next(prompts.repartition(3), frame, k=4, penalty=1.5, temperature=0.9).collect()]
+    assert sorted(again) == sorted(drawn)
+
+
 def test_phase_shares_add_up(spark):
     rows = [(1, 0, p, float(i + 1)) for i, p in enumerate(["a", "b", "c", "b"])]
     frame = spark.createDataFrame(rows, "run int, step int, phase string, seconds double")
