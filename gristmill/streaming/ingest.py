@@ -111,10 +111,14 @@ def ingest_step(
     step = before.step + 1
     measured = stage(measure(taken), "measured")
     left = target_tokens - before.words / words_per_token
-    last = budget_cutoff(measured, left, words_per_token) if left > 0 else None
+    count, words = measured.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    # Well below the budget no document can be the one that reaches it, so none is looked for.
+    near = words >= left * words_per_token * (1 - 1e-9)
+    last = budget_cutoff(measured, left, words_per_token) if near and left > 0 else None
     within = up_to(["doc_id"], last) if left > 0 else F.lit(False)
     inside = measured.filter(within)
-    count = inside.count()
+    if last is not None or left <= 0:
+        count = inside.count()
     closed = before.shards + (-(-count // rows) if docs is None else count // rows)
     shards = row_shards(inside, rows, first_shard=before.shards)
     numbered = shards.assign(taken.filter(within))
@@ -156,18 +160,25 @@ def incremental_ingest(stream: DataFrame, folder: str, **settings) -> None:
     done. A later call goes on where this one ended, with what waits first.
     """
     spark = stream.sparkSession
+    met = []
+
+    def take(docs: DataFrame, batch: int) -> None:
+        try:
+            ingest_step(docs, batch, spark, folder, **settings)
+        except BudgetMet:
+            met.append(batch)
+            raise
+
     query = (
-        stream.writeStream.foreachBatch(
-            lambda docs, batch: ingest_step(docs, batch, spark, folder, **settings)
-        )
+        stream.writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
     )
     try:
         query.awaitTermination()
-    except StreamingQueryException as ended:
-        if BudgetMet.__name__ not in str(ended):
+    except StreamingQueryException:
+        if not met:  # it ended for another reason than the budget
             raise
     ingest_step(None, -1, spark, folder, **settings)
 
