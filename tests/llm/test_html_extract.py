@@ -2,6 +2,8 @@
 
 import html
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -85,3 +87,54 @@ def test_sections_and_headings_of_an_article_are_named_by_whole_tokens_only():
         f"<section class='x comments'><p>{LONG}</p></section></article>"
     )
     assert main_text(page) == f"Effects\n\n{LONG}\n\nHolders"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article class='notice-period'><p>{LONG}</p></article>", LONG),
+        (f"<div class='social-science has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='notice'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><section class='user-comments'><p>{LONG} Not this.</p></section></article>", LONG),
+        (f"<article><p>{LONG}</p><article><p>{LONG} Not this.</p></article></article>", LONG),
+        (f"<main><article><p>{LONG}</p></article><section><h2>2 comments</h2><article><p>no.</p></article></section></main>", LONG),
+        (f"<main><article><p>{LONG}</p><h2>Responses</h2><p>Of the state.</p></article></main>", f"{LONG}\n\nResponses\n\nOf the state."),
+        (f"<p>{LONG}<span class='ad'> buy <b>this</b> <span>now</span></span><span hidden>no</span> End</p>", f"{LONG} End"),
+        (f"<div><span class=ad>buy</div><p>{LONG}</p>", LONG),
+        (f"<p><i class='nation'>{LONG}</i><img class='ad'> End</p>", f"{LONG} End"),
+        (f"<body><div><a>Home</a><a>News</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright 2020</div>", f"{LONG}\n\n{LONG}"),
+        (f"<body><p><a>Home</a> <a>News</a></p><h1>Head</h1><p>{LONG}</p><ul><li>one</ul><p>© 2020 X</p>", f"Head\n\n{LONG}\n\none"),
+    ],
+)
+def test_names_inline_elements_comments_and_unnamed_menus(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 20_000 + f"<p>{LONG}</p>" + "</div>" * 20_000,
+        "<div>" * 20_000 + f"<p>{LONG}</p>",
+        "<div>x" * 20_000,
+        "<ul>" + "<div>" * 20_000 + "<li>x" * 20_000,
+        "<td>" + "<div>" * 20_000 + "</p>x</p>" * 20_000,
+        "<a b=\"<p title='" * 20_000,
+        "<!" * 50_000 + "<b",
+        "<span class='ad'>" * 20_000 + "x",
+    ],
+)
+def test_deep_and_unclosed_tags_cost_under_a_second(page):
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 1
+
+
+def test_test_pages_without_their_article_elements(spark):
+    """Recall and precision in words, with only classes and paths to go by."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    found, right, wanted = 0, 0, 0
+    for row in pages:
+        page = row.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        text, article = Counter(main_text(page).split()), Counter(main_text(row.html).split())
+        found, wanted, right = found + text.total(), wanted + article.total(), right + (text & article).total()
+    assert right / wanted > 0.99 and right / found > 0.99
