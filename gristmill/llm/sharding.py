@@ -27,6 +27,38 @@ def _slot(seed: int, slots: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(slots))
 
 
+def slotted(
+    docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, slots: int = SLOTS, seed: int = SEED
+) -> tuple[DataFrame, DataFrame]:
+    """``(doc, slot)`` of every row, and rows and bytes per slot.
+
+    Rows that repeat id and text share a hash slot. The rows of slots over ``bucket_bytes``, or
+    over four times the mean where that is more, are written once with a number each, which
+    deals them over all slots. There are fewer such slots than a quarter of ``slots``, which
+    bounds the broadcast.
+    """
+    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        size = record_bytes(F.col("doc.text"))
+        return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+
+    rows = docs.select(whole, _slot(seed, slots).alias("slot"))
+    first = stage(counted(rows), "slots")
+    mean = (first.agg(F.sum("bytes")).first()[0] or 0) / slots
+    hot = first.filter(F.col("bytes") > max(bucket_bytes, 4 * mean)).select("slot")
+    if hot.isEmpty():
+        return rows, first
+    dealt = F.pmod(F.xxhash64(F.lit(seed), "doc.doc_id", "number"), F.lit(slots))
+    numbered = rows.join(F.broadcast(hot), "slot", "left_semi").select(
+        "doc", F.monotonically_increasing_id().alias("number")
+    )
+    spread = stage(numbered, "hot-rows").select("doc", dealt.alias("slot"))
+    apart = first.join(F.broadcast(hot), "slot", "left_anti").unionByName(counted(spread))
+    again = apart.groupBy("slot").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    return rows.join(F.broadcast(hot), "slot", "left_anti").unionByName(spread), stage(again, "dealt-slots")
+
+
 def shuffle_into_shards(
     docs: DataFrame,
     path: str,
@@ -45,16 +77,14 @@ def shuffle_into_shards(
     scatters the rows to their buckets, the only time that texts move. Pass two takes a bucket
     into memory, puts it in a fixed order, permutes it by Fisher-Yates (the built-in ``shuffle``)
     and writes it out. One bucket is the most a task holds; a slot with a single huge record is
-    the one thing that makes a bucket larger. The cut into shards is by place alone.
+    the one thing that makes a bucket larger. The cut into shards is by place alone. Reruns
+    agree, but for rows that repeat id and text by megabytes: those are dealt out by the order
+    in which they are read.
 
     Nulls are ordinary values, an empty table writes no file, repeated rows are kept, and extra
     columns of any orderable type travel inside ``doc``, so that no name can clash.
     """
-    slot = _slot(seed, slots)
-    counted = docs.groupBy(slot.alias("slot")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(record_bytes(F.col("text"))).alias("bytes")
-    )
-    counted = stage(counted, "slots")
+    records, counted = slotted(docs, bucket_bytes, slots, seed)
     rows, size = counted.agg(F.sum("rows"), F.sum("bytes")).first()
     if not rows:
         return
@@ -71,10 +101,9 @@ def shuffle_into_shards(
         "buckets",
     )
 
-    whole = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
     # A bucket is a partition of its own, so a task holds one and its permutation depends on
     # the seed and the bucket alone.
-    scattered = docs.select(bucket(slot).alias("bucket"), whole.alias("doc")).repartitionById(
+    scattered = records.select(bucket(F.col("slot")).alias("bucket"), "doc").repartitionById(
         buckets, F.col("bucket")
     )
     held = scattered.groupBy("bucket").agg(

@@ -74,3 +74,20 @@ def test_a_hot_text_is_spread(spark, documents):
     slot = sharding._slot(sharding.SEED, 16)
     sizes = [r["count"] for r in docs.groupBy(slot.alias("slot")).count().collect()]
     assert max(sizes) < 3 * 600 / 16
+
+
+def test_many_repeats_of_one_row_are_dealt_over_all_buckets(spark, documents):
+    rows = [(7, "x" * 184)] * 3000 + [(None, "y" * 184)] * 1000 + corpus(500)
+    docs = documents(rows)
+    options = {"bucket_bytes": 20_000, "slots": 1 << 12}
+    records, counted = sharding.slotted(docs, **options)
+    sizes = [r.bytes for r in counted.collect()]
+    assert sum(sizes) == sum(len(t) + 16 for _, t in rows)
+    assert max(sizes) < 4000
+    assert records.count() == 4500
+    found = place(docs, **options)
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((i, len(t) + 16) for i, t in rows)
+    counts = Counter(r.shard for r in found)
+    assert set(counts) == set(range(40)) and set(counts.values()) <= {112, 113}
+    for k, n in counts.items():
+        assert sorted(r.slot for r in found if r.shard == k) == list(range(n))
