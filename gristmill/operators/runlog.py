@@ -78,7 +78,7 @@ def cumulative_tokens(log: DataFrame, tokens_per_step: int) -> DataFrame:
     return log.withColumn("tokens_total", (F.col("step") + 1) * tokens_per_step)
 
 
-def _fold(losses: Sequence[float], state: float, decay: float) -> list[float]:
+def fold(losses: Sequence[float], state: float, decay: float) -> list[float]:
     """The average after each loss; a missing one (not a number) changes nothing."""
     states = []
     for loss in losses:
@@ -111,11 +111,11 @@ def _chunk_map(losses: Sequence[float], decay: float) -> tuple:
     rest = known[zeros:]
     if not rest:
         return zeros, None, None, None, None
-    fresh = _fold(rest, 0.0, decay)[-1]
-    least = _fold(rest[1:], (1 - decay) * rest[0], decay)
+    fresh = fold(rest, 0.0, decay)[-1]
+    least = fold(rest[1:], (1 - decay) * rest[0], decay)
     if decay > 0.5 or 0.0 not in least:
         return zeros, fresh, decay ** len(rest), least[-1] if least else (1 - decay) * rest[0], None
-    if 0.0 in _fold(rest, sys.float_info.max, decay):
+    if 0.0 in fold(rest, sys.float_info.max, decay):
         return zeros, fresh, 0.0, fresh, None
     return zeros, None, None, None, rest
 
@@ -127,7 +127,7 @@ def _states_before(chunks: Sequence[tuple], decay: float) -> list[float]:
         states.append(state)
         state = _faded(state, int(zeros), decay)
         if losses is not None and len(losses):
-            state = _fold(losses, state, decay)[-1]
+            state = fold(losses, state, decay)[-1]
         elif fresh is not None and fresh == fresh:
             state = scale * state + offset if state else fresh
     return states
@@ -170,7 +170,7 @@ def smooth_loss(log: DataFrame, decay: float = DECAY, chunk: int = 10_000) -> Da
     @F.pandas_udf("array<double>")
     def averages(losses: pd.Series, state: pd.Series) -> pd.Series:
         pairs = zip(losses, state, strict=True)
-        return pd.Series([_fold(np.asarray(one, float).tolist(), first, decay) for one, first in pairs])
+        return pd.Series([fold(np.asarray(one, float).tolist(), first, decay) for one, first in pairs])
 
     smoothed = chunks.join(stage(begins, "log-states"), ["run", "chunk"]).select(
         "rows", averages(losses, F.col("state")).alias("smooth")

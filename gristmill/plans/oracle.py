@@ -597,12 +597,13 @@ ORACLE["cumulative_tokens"] = on_log(
     f"""SELECT run, step, CAST(sum({S.TOKENS_PER_STEP}) OVER (PARTITION BY run ORDER BY step) AS BIGINT) AS tokens_total
 FROM log"""
 )
-ORACLE["smooth_loss"] = on_log(
-    """smooth AS (
+SMOOTH = """smooth AS (
   SELECT run, step, loss AS e FROM log WHERE step = 0
   UNION ALL
   SELECT n.run, n.step, CASE WHEN p.e = 0 THEN n.loss ELSE 0.95::DOUBLE * p.e + 0.05::DOUBLE * n.loss END
-  FROM smooth p JOIN log n ON n.run = p.run AND n.step = p.step + 1)""",
+  FROM smooth p JOIN log n ON n.run = p.run AND n.step = p.step + 1)"""
+ORACLE["smooth_loss"] = on_log(
+    SMOOTH,
     "SELECT run, step, round(e + 1e-9::DOUBLE, 6) AS loss_smooth FROM smooth",
     recursive=True,
 )
@@ -667,6 +668,15 @@ rated AS (SELECT *, (steps - 1) * {S.TOKENS_PER_STEP} / nullif(s, 0) AS rate FRO
   final_loss, round(exp(least(final_loss, 20)) + 1e-9::DOUBLE, 2) AS final_perplexity,
   best_loss, round(exp(least(best_loss, 20)) + 1e-9::DOUBLE, 2) AS best_perplexity FROM rated""",
 )
+ORACLE["live_step_log"] = on_log(
+    TIMED,
+    SMOOTH,
+    f"""SELECT run, step, step_s, round({RATE} + 1e-9::DOUBLE, 6) AS tokens_per_s, min(loss) OVER upto AS best,
+  coalesce(loss < min(loss) OVER earlier, true) AS improved, round(e + 1e-9::DOUBLE, 6) AS loss_smooth
+FROM timed JOIN smooth USING (run, step) WINDOW upto AS (PARTITION BY run ORDER BY step),
+  earlier AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    recursive=True,
+)
 ORACLE["live_throughput"] = ORACLE["batch_throughput"] = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events,
   round(count(*) / 86400::DOUBLE + 1e-9::DOUBLE, 6) AS per_s

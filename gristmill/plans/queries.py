@@ -16,7 +16,7 @@ from gristmill.plans import corpus as C
 from gristmill.plans import settings as S
 from gristmill.session import new_folder, stage
 from gristmill.sources import raw_shards, tables, token_files
-from gristmill.streaming import ingest, throughput
+from gristmill.streaming import ingest, steps, throughput
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -822,6 +822,18 @@ def batch_throughput(spark, folder):
     return _shown_rates(throughput.batch_throughput(tables.table_events(spark, folder)))
 
 
+@query
+def live_step_log(spark, folder):
+    """The step log streamed from its files, a few at a time."""
+    log = C.step_log(spark, folder).select("run", "step", "ts", "loss")
+    path = new_folder(spark, "log-files")
+    log.repartitionByRange(S.LOG_FILES, "ts").write.parquet(path)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", S.LOG_FILES_PER_BATCH).parquet(path)
+    live = steps.run_follow_steps(spark, arriving, new_folder(spark, "live-steps"), S.TOKENS_PER_STEP)
+    shown = live.select("run", "step", "step_s", "tokens_per_s", "best", "improved", "loss_smooth")
+    return _rounded(shown, "tokens_per_s", "loss_smooth")
+
+
 # --- n-gram jobs ------------------------------------------------------------------------
 
 

@@ -41,6 +41,8 @@ WINDOWS = 200
 TOKENS_PER_STEP = 32 * 17 * 2048
 PARAMETERS = 353_600_000
 LOG_EVERY = 10
+LOG_FILES = 12
+LOG_FILES_PER_BATCH = 4
 LAST_STEPS = 20
 STEPS = 100
 SAVE_EVERY = 5

@@ -1,10 +1,14 @@
 """Streams against their batch twins."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
+from gristmill.operators import runlog as log_ops
 from gristmill.session import new_folder
 from gristmill.sources import tables
-from gristmill.streaming import ingest, throughput
+from gristmill.streaming import ingest, steps, throughput
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -97,3 +101,48 @@ def test_live_rates_equal_the_batch_twin(spark):
     batch = throughput.batch_throughput(tables.table_events(spark, FOLDER))
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
     assert live.count() > 0
+
+
+def test_streamed_step_logs_equal_the_table_over_files_restarts_and_disorder(spark):
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [
+        (run, step, start + timedelta(milliseconds=1700 * step + step % 3), rng.choice([None, 0.0, rng.random()]))
+        for run, length in ((1, 90), (2, 41), (None, 5), (3, 1))
+        for step in range(length)
+    ]
+    schema = "run long, step long, ts timestamp, loss double"
+    incoming, out = new_folder(spark, "log"), new_folder(spark, "live")
+    parts = [rows[k::3] for k in range(3)]
+    rng.shuffle(parts[1])
+
+    def arrive(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(incoming)
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+        return steps.run_follow_steps(spark, log, out, 100, decay=0.5)
+
+    assert arrive(parts[0]).count() == 2
+    arrive(parts[1] + parts[0][:20])
+    found = {(r.run, r.step): r for r in arrive(parts[2]).collect()}
+    assert len(found) == len(rows) == spark.read.parquet(f"{out}/steps").count()
+
+    log = spark.createDataFrame(rows, schema)
+    rates = {(r.run, r.step): r for r in log_ops.step_throughput(log.filter("run IS NOT NULL"), 100).collect()}
+    bests = {(r.run, r.step): r for r in log_ops.best_so_far(log.filter("run IS NOT NULL")).collect()}
+    smooth = {(r.run, r.step): r for r in log_ops.smooth_loss(log.filter("run IS NOT NULL"), decay=0.5).collect()}
+    for run, step, ts, loss in rows:
+        got = found[run, step]
+        assert (got.ts, got.loss) == (ts, loss)
+        if run is not None:
+            want = rates[run, step]
+            assert (got.step_s, got.tokens_per_s) == (want.step_s, want.tokens_per_s)
+            assert (got.best, got.improved) == (bests[run, step].best, bests[run, step].improved)
+            assert abs(got.loss_smooth - smooth[run, step].loss_smooth) < 1e-12
+
+
+def test_streamed_step_log_without_rows(spark):
+    schema = "run string, step int, ts timestamp, loss float, extra int"
+    folder = new_folder(spark, "log")
+    spark.createDataFrame([("a", None, None, 1.0, 1)], schema).write.parquet(folder)
+    log = spark.readStream.schema(schema).parquet(folder)
+    assert steps.run_follow_steps(spark, log, new_folder(spark, "live"), 100).count() == 0
