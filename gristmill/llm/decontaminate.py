@@ -35,45 +35,67 @@ def _placed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
     return rows.select(*keep, tokens, F.explode(places).alias(f"{tokens}_at"))
 
 
-def _best_window(matches: Column, size: Column) -> Column:
-    """Most agreeing positions in any run of ``size`` aligned positions."""
-    sums = F.transform(
-        F.sequence(F.lit(0), F.size(matches) - size),
-        lambda i: F.aggregate(F.slice(matches, i + 1, size), F.lit(0), lambda a, x: a + x),
-    )
-    return F.array_max(sums)
+def _agree(i: Column) -> Column:
+    """Whether position ``i`` of the item and the aligned one of the document hold the same token.
+
+    Positions outside of either agree with nothing.
+    """
+    token = F.get("b", i)
+    return F.coalesce(F.get("t", F.col("start") + i) == token, F.lit(False))
+
+
+def _further(mask: str) -> list[int]:
+    """Positions that agree, besides those of a hit of ``mask``, if it also hits one place earlier."""
+    ones = {k for k, bit in enumerate(mask) if bit == "1"}
+    return sorted({k - 1 for k in ones} - ones)
+
+
+def _first_hit() -> Column:
+    """Whether the mask does not hit one place earlier on the same alignment.
+
+    Every alignment with a hit keeps the first of each unbroken run of hits, so it is compared
+    about once, also where one word repeated makes every place hit every other one.
+    """
+    further = [_further(mask) for mask in MASKS]
+    agreed = []
+    for number in range(max(map(len, further))):
+        places = [some[number] if number < len(some) else some[0] for some in further]
+        at = F.element_at(F.array(*map(F.lit, places)), F.col("mask") + 1)
+        agreed.append(_agree(F.col("b_at") + at))
+    return ~reduce(Column.__and__, agreed)
 
 
-def _overlaps(docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int, keys: tuple[str, ...]) -> DataFrame:
+def _overlaps(
+    docs: DataFrame, seeds: DataFrame, items: DataFrame, window: int, similarity: float, keys: tuple[str, ...]
+) -> DataFrame:
     """Verified overlaps of all documents with one block of the benchmark.
 
     One pass and no shuffle of documents: token places exist only inside a generated loop, the
-    two broadcast look-ups keep those that hit, and the aligned positions are compared there.
+    two broadcast look-ups keep those that hit, and the windows of their alignments are compared
+    there, once for each run of hits. The loop ends in the partial maximum of ``best``, so a
+    task holds no row with the tokens of a text but the one at hand.
     """
     placed = _placed(docs, "t", *keys)
     hits = placed.select(
         *keys,
         "t",
         "t_at",
-        F.explode(F.array(*[_seed("t", F.col("t_at"), m, n) for n, m in enumerate(MASKS)])).alias("seed"),
+        F.posexplode(F.array(*[_seed("t", F.col("t_at"), m, n) for n, m in enumerate(MASKS)])).alias("mask", "seed"),
     )
     found = hits.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
-    start = F.col("t_at") - F.col("b_at")
-    # Positions of the document outside its text agree with nothing.
-    aligned = found.withColumn(
-        "matches",
-        F.transform(
-            "b", lambda x, i: F.when(F.get("t", start + i) == x, 1).otherwise(0)
-        ),
-    )
+    aligned = found.withColumn("start", F.col("t_at") - F.col("b_at")).filter(_first_hit())
     size = F.least(F.size("b"), F.lit(window))
-    return aligned.select(
-        *keys,
-        "item_id",
-        start.alias("start"),
-        size.alias("compared"),
-        _best_window(F.col("matches"), size).alias("matched"),
+    windows = aligned.select(
+        *keys, "item_id", "start", "t", "b", size.alias("compared"),
+        F.explode(F.sequence(F.lit(0), F.size("b") - size)).alias("low"),
+    )
+    matched = sum((_agree(F.col("low") + k).cast("int") for k in range(window)), F.lit(0))
+    enough = F.ceil(F.col("compared") * F.lit(similarity) - F.lit(1e-9))
+    compared = windows.select(*keys, "item_id", "start", "compared", matched.alias("matched")).filter(
+        F.col("matched") >= enough
     )
+    best = F.col("matched").cast("long") * (1 << 33) + (F.lit(1 << 31) - F.col("start"))
+    return compared.select(*keys, "item_id", "compared", best.alias("best"))
 
 
 def find_contamination(
@@ -99,7 +121,9 @@ def find_contamination(
     what is broadcast is bounded; each further block is another pass over the documents.
     Items of the same tokens are one item, under the smallest id. Items of fewer tokens than the
     shortest mask, null or empty texts and empty tables find nothing. Null doc_ids are kept, a
-    null item_id is shown as -1; rows that repeat a doc_id give one row.
+    null item_id is shown as -1; rows that repeat a doc_id give one row. A word repeated very
+    often meets every place of an item that repeats it; of those only the first of each
+    alignment is compared.
     """
     least = min(map(len, MASKS))
     tokens = benchmark.select("item_id", _tokens(F.col("text")).alias("b")).filter(F.size("b") >= least)
@@ -119,19 +143,18 @@ def find_contamination(
             "b_at",
             F.explode(F.array(*[_seed("b", F.col("b_at"), m, n) for n, m in enumerate(MASKS)])).alias("seed"),
         ).filter("seed IS NOT NULL")
-        parts.append(_overlaps(texts, seeds, some, window, keys))
+        parts.append(_overlaps(texts, seeds, some, window, similarity, keys))
     scored = reduce(DataFrame.unionByName, parts)
-    enough = F.col("matched") >= F.ceil(F.col("compared") * F.lit(similarity) - F.lit(1e-9))
-    best = scored.filter(enough).groupBy(*keys, "item_id").agg(
-        F.max(F.struct("matched", (-F.col("start")).alias("early"), "compared")).alias("best")
-    )
+    # One number holds the agreeing positions above the start, the earliest one being largest.
+    best = scored.groupBy(*keys, "item_id", "compared").agg(F.max("best").alias("best"))
+    matched = F.shiftright("best", 33).cast("int")
     return best.select(
         *keys,
         "item_id",
-        (-F.col("best.early")).alias("start"),
-        F.col("best.matched").alias("matched"),
-        F.col("best.compared").alias("compared"),
-        (F.col("best.matched") / F.col("best.compared")).alias("similarity"),
+        (F.lit(1 << 31) - F.col("best").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("start"),
+        matched.alias("matched"),
+        "compared",
+        (matched / F.col("compared")).alias("similarity"),
     )
 
 

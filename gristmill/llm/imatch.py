@@ -48,9 +48,12 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return hashed.select("term", sum(bits, F.lit(0)).alias("mask")).filter("mask > 0")
 
 
-def signatures(ordered: Column) -> Column:
+def signatures(ordered: Column, whole: Column) -> Column:
     """Per lexicon, a hash of the sorted distinct terms it keeps; zeros if it keeps none.
 
+    A text with no term in any lexicon has the digest ``whole`` of its text in every place, so it
+    is like an equal text and unlike all others.
+
     ``ordered`` is a sorted array of (term, mask) structs. It is used once per lexicon, so it
     should be a computed column, not an expression.
     """
@@ -60,10 +63,12 @@ def signatures(ordered: Column) -> Column:
         return F.array_join(F.transform(mine, lambda t: t["term"]), " ")
 
     joined = F.array(*[kept(1 << j) for j in range(len(RATES))])
-    return F.transform(
+    marks = F.transform(
         joined,
         lambda terms: F.when(terms == "", EMPTY).otherwise(F.substring(F.md5(terms.cast("binary")), 1, DIGITS)),
     )
+    alone = F.array_repeat(F.substring(whole, 1, DIGITS), len(RATES))
+    return F.when(F.size(ordered) == 0, alone).otherwise(marks)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -122,7 +127,7 @@ def fingerprint_pairs(docs: DataFrame, band: tuple[float, float] = BAND, bucket_
     """``(doc_id, n_chars, edited_sha256, marks, edited_marks, near_edited, near_next)``.
 
     ``marks`` are the signatures of the whole text. Null texts count as empty; a text without
-    terms in the band has empty marks, which are like each other and unlike all else. Repeated
+    terms in any lexicon has its own digest as marks, and is like equal texts alone. Repeated
     rows stay; equal ids are ordered by text, null ids come last. An empty table gives no row.
 
     The frequencies cost one shuffle of term counts, the texts are moved once, and terms are
@@ -145,19 +150,22 @@ def fingerprint_pairs(docs: DataFrame, band: tuple[float, float] = BAND, bucket_
         F.array(F.struct(F.lit(2).alias("side"), F.lit(None).cast("string").alias("term"))),
     )
     listed = sides.select(
-        BUCKET, "at", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), F.explode(entries).alias("e")
-    ).select(BUCKET, "at", "extra", "doc_id", "n_chars", "sha", "e.side", "e.term")
+        BUCKET, "at", "extra", "doc_id", "n_chars",
+        F.sha2("text", 256).alias("own_sha"), F.sha2("edited", 256).alias("sha"), F.explode(entries).alias("e"),
+    ).select(BUCKET, "at", "extra", "doc_id", "n_chars", "own_sha", "sha", "e.side", "e.term")
     found = listed.join(F.broadcast(words), "term", "left").filter("mask IS NOT NULL OR side = 2")
     term = F.struct("term", "mask")
     last = F.col("side") == 2
     gathered = found.groupBy(BUCKET, "at").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, term))).alias("own"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, term))).alias("other"),
-        F.first(F.when(last, F.struct("extra", "doc_id", "n_chars", "sha")), ignorenulls=True).alias("doc"),
+        F.first(F.when(last, F.struct("extra", "doc_id", "n_chars", "own_sha", "sha")), ignorenulls=True).alias("doc"),
     )
     marked = gathered.select(
-        BUCKET, "at", "doc.*", signatures(F.col("own")).alias("marks"), signatures(F.col("other")).alias("edited_marks")
-    )
+        BUCKET, "at", "doc.*",
+        signatures(F.col("own"), F.col("doc.own_sha")).alias("marks"),
+        signatures(F.col("other"), F.col("doc.sha")).alias("edited_marks"),
+    )
     following = F.lead("marks").over(Window.partitionBy(BUCKET).orderBy("at"))
     beside = marked.withColumn("next_marks", following).filter(~F.col("extra"))
     return beside.select(

@@ -121,7 +121,9 @@ def _imatch_sql() -> str:
         f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (b{j})), 1, {imatch.DIGITS}), '{imatch.EMPTY}')"
         for j in range(len(imatch.RATES))
     )
-    none = ", ".join([f"'{imatch.EMPTY}'"] * len(imatch.RATES))
+
+    def alone(text: str) -> str:
+        return f"list_transform(range({len(imatch.RATES)}), lambda j: substr(sha256({text}), 1, {imatch.DIGITS}))"
 
     def near(a: str, b: str) -> str:
         numbers = f"range(1, {len(imatch.RATES) + 1})"
@@ -150,7 +152,7 @@ WITH docs AS (
 ), marked AS (
   SELECT rn, side, [{marks}] AS marks FROM terms JOIN lexicon USING (term) GROUP BY rn, side
 ), both_sides AS (
-  SELECT s.*, coalesce(a.marks, [{none}]) AS marks, coalesce(b.marks, [{none}]) AS edited_marks
+  SELECT s.*, coalesce(a.marks, {alone("s.text")}) AS marks, coalesce(b.marks, {alone("s.edited")}) AS edited_marks
   FROM sides s LEFT JOIN marked a ON a.rn = s.rn AND a.side = 0 LEFT JOIN marked b ON b.rn = s.rn AND b.side = 1
 )
 SELECT x.doc_id, x.n::BIGINT AS n_chars, sha256(x.edited) AS edited_sha256,

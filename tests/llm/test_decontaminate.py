@@ -101,3 +101,13 @@ def test_only_the_contaminated_text_of_an_id_goes(spark, documents, benchmark):
     rows = [(None, leak), (None, "clean and without id"), (None, None), (5, leak), (5, "clean under the same id"), (6, leak)]
     kept = decontaminate.decontaminate(documents(rows, clash=("mark", "t")), table(spark, benchmark))
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, rows[1][1]), (None, None), (5, rows[4][1])}
+
+
+def test_words_repeated_very_often(spark, documents):
+    rows = [(1, "a " * 300), (2, "a " * 20 + "b " * 40 + "a " * 20), (3, "a b " * 60), (4, "c " * 300)]
+    items = [(1, "a " * 30), (2, "a b " * 12), (3, "b " * 6 + "a " * 14)]
+    found = decontaminate.find_contamination(documents(rows), table(spark, items))
+    assert contaminated(found) == brute(rows, items)
+    large = [(1, "a " * 4_000), (2, "clean words of no item at all, many of them")]
+    kept = decontaminate.decontaminate(documents(large), table(spark, [(1, "a " * 50)]))
+    assert [r.doc_id for r in kept.collect()] == [2]

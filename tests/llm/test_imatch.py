@@ -28,7 +28,8 @@ def plain(rows):
         for j in range(len(imatch.RATES)):
             mine = sorted(w for w in terms(text) & band if j in kept[w])
             found.append(hashlib.md5(" ".join(mine).encode()).hexdigest()[:8] if mine else "0" * 8)
-        return found
+        alone = hashlib.sha256(text.encode()).hexdigest()[:8]
+        return found if any(kept[w] for w in terms(text) & band) else [alone] * len(found)
 
     def near(a, b):
         if a == b:
@@ -70,3 +71,11 @@ def test_long_texts_and_empty_table(spark, documents):
     rows = [(i, " ".join(f"t{(i + j) % 30_000}" for j in range(20_000))) for i in range(9)]
     assert found(documents(rows)) == plain(rows)
     assert found(documents([])) == []
+
+
+def test_texts_without_terms_are_like_equal_ones_alone(spark, documents):
+    rows = [(1, "of the and"), (2, "of the and"), (3, "and to be"), (4, ""), (5, None), (6, "?!")]
+    rows += [(100 + i, "of the and to be") for i in range(30)]
+    marks = {r.doc_id: r.marks for r in imatch.fingerprint_pairs(documents(rows)).collect()}
+    assert marks[1] == marks[2] and marks[4] == marks[5]
+    assert len({tuple(marks[i]) for i in (1, 3, 4, 6, 100)}) == 5
