@@ -140,19 +140,23 @@ def fingerprint_pairs(docs: DataFrame, band: tuple[float, float] = BAND, bucket_
         F.when(~F.col("extra"), edited(F.col("text"), n, F.col("next_text"))).alias("edited"),
     )
 
-    def side(text: Column, number: int) -> Column:
-        return F.transform(term_set(text), lambda w: F.struct(F.lit(number).alias("side"), w.alias("term")))
+    none = F.lit(None).cast("string")
+
+    def entry(number: int, term: Column, own_sha: Column = none, sha: Column = none) -> Column:
+        return F.struct(
+            F.lit(number).alias("side"), term.alias("term"), own_sha.alias("own_sha"), sha.alias("sha")
+        )
 
-    # The last entry, without a term, keeps documents that have no term at all.
-    entries = F.concat(
-        side(F.col("text"), 0),
-        side(F.col("edited"), 1),
-        F.array(F.struct(F.lit(2).alias("side"), F.lit(None).cast("string").alias("term"))),
+    def side(text: Column, number: int) -> Column:
+        return F.transform(term_set(text), lambda w: entry(number, w))
+
+    # The last entry, without a term, keeps documents that have no term at all. It alone has the
+    # digests: beside the others they would be worked out for every term.
+    digests = [F.sha2("text", 256), F.sha2("edited", 256)]
+    entries = F.concat(side(F.col("text"), 0), side(F.col("edited"), 1), F.array(entry(2, none, *digests)))
+    listed = sides.select(BUCKET, "at", "extra", "doc_id", "n_chars", F.explode(entries).alias("e")).select(
+        BUCKET, "at", "extra", "doc_id", "n_chars", "e.*"
     )
-    listed = sides.select(
-        BUCKET, "at", "extra", "doc_id", "n_chars",
-        F.sha2("text", 256).alias("own_sha"), F.sha2("edited", 256).alias("sha"), F.explode(entries).alias("e"),
-    ).select(BUCKET, "at", "extra", "doc_id", "n_chars", "own_sha", "sha", "e.side", "e.term")
     found = listed.join(F.broadcast(words), "term", "left").filter("mask IS NOT NULL OR side = 2")
     term = F.struct("term", "mask")
     last = F.col("side") == 2
