@@ -192,18 +192,17 @@ def warmup_flag(log: DataFrame, steps: int = WARMUP_STEPS) -> DataFrame:
 
 
 def phase_share(phases: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Percent of each step's time per phase, from ``(run, step, phase, seconds)``."""
+    """Percent of each step's time per phase, from ``(run, step, phase, seconds)``.
+
+    A step whose seconds add up to zero has shares as of floating point: nothing of zero is NaN.
+    """
     total = F.sum("seconds")
-    return phases.groupBy("run", "step").agg(
-        *[
-            (
-                F.coalesce(F.sum(F.when(F.col("phase") == name, F.col("seconds"))), F.lit(0.0))
-                / total
-                * 100
-            ).alias(f"{name}_percent")
-            for name in names
-        ]
-    )
+
+    def share(name: str) -> Column:
+        part = F.coalesce(F.sum(F.when(F.col("phase") == name, F.col("seconds"))), F.lit(0.0))
+        return F.when(total == 0, part * float("inf")).otherwise(F.try_divide(part, total)) * 100
+
+    return phases.groupBy("run", "step").agg(*[share(name).alias(f"{name}_percent") for name in names])
 
 
 def mean_eval_loss(batches: DataFrame) -> DataFrame:

@@ -160,6 +160,15 @@ def test_phase_share(spark):
     assert tuple(row)[2:] == pytest.approx((10.0, 30.0, 60.0))
 
 
+def test_phase_share_of_no_time(spark):
+    """As the SQL has it: 0 / 0 is NaN, a part of nothing is infinite, null seconds stay null."""
+    rows = [(1, 0, "data", 0.0), (2, 0, "data", 2.0), (2, 0, "forward", -2.0), (3, 0, "data", None), (4, 0, "data", 2.0)]
+    phases = spark.createDataFrame(rows, "run long, step long, phase string, seconds double")
+    found = {r.run: tuple(r)[2:] for r in log_ops.phase_share(phases, ["data", "forward"]).collect()}
+    assert all(math.isnan(share) for share in found.pop(1))
+    assert found == {2: (math.inf, -math.inf), 3: (None, None), 4: (100.0, 0.0)}
+
+
 def test_top_k_keeps_ties(spark):
     rows = [(1, i, s) for i, s in enumerate([5.0, 4.0, 4.0, 3.0])]
     scores = spark.createDataFrame(rows, "context long, next long, score double")
