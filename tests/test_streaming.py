@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from gristmill.operators import runlog as log_ops
+from gristmill.plans.queries import QUERIES
 from gristmill.session import new_folder
 from gristmill.sources import tables
 from gristmill.streaming import ingest, steps, throughput
@@ -103,6 +104,23 @@ def test_live_rates_equal_the_batch_twin(spark):
     assert live.count() > 0
 
 
+def test_streams_of_tables_in_several_files(spark):
+    """A table is a file in some folders and a folder of files in others."""
+    for parts in (1, 3):
+        folder = new_folder(spark, "tables")
+        docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(9)], "doc_id long, text string, source string")
+        docs.repartition(parts).write.parquet(f"{folder}/documents.parquet")
+        start = datetime(2024, 1, 1)
+        events = [(start + timedelta(hours=5 * i), "view") for i in range(60)]
+        events = spark.createDataFrame(events, "ts timestamp, event_type string")
+        events.repartition(parts).write.parquet(f"{folder}/events.parquet")
+        streamed = QUERIES["stream_documents"](spark, folder)
+        assert streamed.columns == ["doc_id", "text", "url"]
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, docs.collect()))
+        live, batch = (QUERIES[name](spark, folder).collect() for name in ("live_throughput", "batch_throughput"))
+        assert len(live) > 9 and sorted(map(tuple, live)) == sorted(map(tuple, batch))
+
+
 def test_streamed_step_logs_equal_the_table_over_files_restarts_and_disorder(spark):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
