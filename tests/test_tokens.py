@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -64,6 +67,45 @@ def test_encode_and_decode(spark, vocab):
     }
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 3, 7])
+def test_parts_of_a_batch_give_the_same_ids(spark, vocab, monkeypatch, at_once):
+    whole = {r.doc_id: r.tokens for r in tokens.encode_documents(docs(spark).coalesce(1), vocab).collect()}
+    lists = spark.createDataFrame(
+        [(0, []), (1, None), (2, ["the", None, "zzé", ""]), (3, []), (4, [None]), (5, None)], "i int, pieces array<string>"
+    ).coalesce(1)
+    expected = {r.i: r.ids for r in lists.select("i", tokens.encoder(vocab)("pieces").alias("ids")).collect()}
+    assert expected[2] == [*vocab_ids(vocab, "the"), vocab.eot, *"zzé".encode()] and expected[4] == [vocab.eot]
+    monkeypatch.setattr(tokens, "PIECES_AT_ONCE", at_once)
+    assert {r.doc_id: r.tokens for r in tokens.encode_documents(docs(spark).coalesce(1), vocab).collect()} == whole
+    assert {r.i: r.ids for r in lists.select("i", tokens.encoder(vocab)("pieces").alias("ids")).collect()} == expected
+
+
+def vocab_ids(vocab, piece):
+    return [256 + vocab.pieces.index(piece)] if piece in vocab.pieces else list(piece.encode())
+
+
+def test_encoding_needs_little_besides_the_batch(vocab):
+    """Two ids' worth of bytes per piece, for the parts and the whole, and not eight."""
+    rows, each = 2_000, 1_000
+    batch = pa.array([["the", " of", "zz", None] * (each // 4)] * rows, pa.list_(pa.string()))
+    encode = tokens.encoder(vocab).func
+    tracemalloc.start()
+    found = next(encode(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == rows and peak < 8 * len(found.flatten()) + 20e6
+
+
+def test_rows_reach_python_in_small_batches(spark):
+    @F.arrow_udf("long")
+    def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    ids = spark.range(3_000).coalesce(1).select(F.sequence(F.lit(1), F.lit(2_500) + F.col("id") % 2).alias("ids"))
+    assert ids.select(size("ids").alias("size")).agg(F.max("size")).first()[0] < 6e6
+
+
 def test_marker_is_text_in_documents_and_an_id_in_samples(spark, vocab):
     text = f"a{chats.END_OF_TEXT}\nb{chats.END_OF_TEXT}"
     document = tokens.encode_documents(docs(spark, [text]), vocab).first().tokens
