@@ -13,6 +13,9 @@ import regex
 from pyspark.sql import functions as F
 
 from gristmill.operators import blocks, chats, packing, quality, tokens
+from gristmill.plans import corpus as C
+from gristmill.plans import settings as S
+from gristmill.plans.queries import QUERIES
 from gristmill.session import new_folder
 from gristmill.sources import token_files
 
@@ -388,6 +391,25 @@ def test_windows_out_of_files(spark):
         assert r.ids == [1000 * r.shard + r.first + k for k in range(9)]
 
 
+def test_starts_of_blocks_and_of_shards(spark):
+    """Every block that begins with end-of-text is found, not the turned shards alone."""
+    texts = [(i, " ".join(["zq"] * (200 + 37 * i % 101)), "s", "en") for i in range(150)]
+    folder = new_folder(spark, "tables")
+    rows = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    rows.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{folder}/documents.parquet")
+    corpus = C.token_corpus(spark, folder)
+    shards = {}
+    for row in corpus.stream.orderBy("split", "shard", "start").collect():
+        shards.setdefault((row.split, row.shard), []).extend(row.tokens)
+    expected = [(split, 0) for split in {split for split, _ in shards}]
+    for (split, shard), ids in shards.items():
+        starts = range(0, len(ids), S.BLOCK)
+        expected += [(split, shard * 1_000_000 + at // S.BLOCK) for at in starts if ids[at] == corpus.vocab.eot]
+    found = QUERIES["check_start"](spark, folder).collect()
+    assert sorted((r.split, r.shard) for r in found) == sorted(expected) and len(expected) > 2
+    assert {(r.level, r.rule, r.detail) for r in found} == {("warning", "start", str(corpus.vocab.eot))}
+
+
 def test_faulty_files(spark, tmp_path):
     def write(shard, magic=20240520, count=4, size=100, ids=(1, 2, 3, 4), odd=b""):
         header = np.zeros(256, "<i4")
