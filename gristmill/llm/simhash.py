@@ -100,7 +100,8 @@ def stars(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     listed = _spread(fps).select("fp", F.explode(segments).alias("key"))
     pivots = listed.groupBy("key").agg(F.min("fp").alias("pivot"))
     near = (_apart("fp", "pivot") <= distance) & (F.col("fp") != F.col("pivot"))
-    return listed.join(pivots, "key").filter(near).select("fp", "pivot").distinct()
+    # Spark sizes rows of an explode as those before it, so the hint keeps them from a broadcast.
+    return listed.join(pivots.hint("merge"), "key").filter(near).select("fp", "pivot").distinct()
 
 
 def _first_meeting(a: str, b: str, key: str) -> Column:
@@ -130,10 +131,12 @@ def links(labelled: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Two fingerprints within four bits agree in at least one of the variants, so they meet in
     that variant's bucket, where the exact distance is part of the join. Pairs of one label
     are connected already and do not come out, and every other pair comes out once.
+
+    The 64 rows of a fingerprint are shuffled, never broadcast: Spark sizes them as one row.
     """
     listed = _spread(labelled).select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key"))
     met = listed.alias("x").join(
-        listed.alias("y"),
+        listed.alias("y").hint("merge"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.root") < F.col("y.root"))
         & (_apart("x.fp", "y.fp") <= distance)

@@ -5,6 +5,8 @@ import re
 
 import xxhash
 
+import corpus_pipeline
+from gristmill.llm import components as contraction
 from gristmill.llm import simhash
 from gristmill.llm.components import connected_components
 
@@ -96,6 +98,39 @@ def test_crowd_of_close_copies_gives_few_rows(spark):
     assert simhash.stars(frame).count() <= 3 * len(fps)
 
 
+def broadcast(plan):
+    """The lines of a plan that lie below an exchange to all executors."""
+    found, above = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if above is not None and depth > above:
+            found.append(line)
+        else:
+            above = depth if "BroadcastExchange" in line else None
+    return found
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_stage_broadcasts_no_exploded_rows(spark, documents, monkeypatch):
+    plans = []
+
+    def recorded(df, name, stage=simhash.stage):
+        plans.append((name, executed(df)))
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash, "stage", recorded)
+    monkeypatch.setattr(contraction, "stage", recorded)
+    rng = random.Random(11)
+    docs = documents([(i, " ".join(rng.choices("abcdefghijklm", k=30 + i))) for i in range(40)])
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 40
+    exploded = [name for name, plan in plans if "Generate explode" in plan]
+    assert exploded == ["fingerprints", "pivots", "edges"]
+    assert not [line for _, plan in plans for line in broadcast(plan) if "Generate explode" in line]
+
+
 def test_one_of_each_group_stays(spark, documents):
     long = " ".join(f"word{i}" for i in range(100))
     rows = [(3, long), (1, long), (2, "quite another text about nothing in particular"), (1, long), (None, long)]
