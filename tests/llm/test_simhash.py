@@ -114,6 +114,15 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_row_for_each_variant_is_not_broadcast(spark, tmp_path):
+    spark.range(500).selectExpr("xxhash64(id) AS fp", "xxhash64(id) AS root").write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")
+    for found in (simhash.stars(fps.select("fp")), simhash.links(fps)):
+        found.collect()
+        assert "Join" in executed(found)
+        assert not broadcast(executed(found))
+
+
 def test_near_copies_stage_broadcasts_no_exploded_rows(spark, documents, monkeypatch):
     plans = []
 
